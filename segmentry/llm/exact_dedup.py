@@ -89,12 +89,16 @@ def exact_groups(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     best = known.groupBy(*group).agg(
         F.max(F.struct("doc_id", *KEY)).alias("best"), F.count(F.lit(1)).alias("group_size")
     )
-    return known.join(best, group).select(
+    # stored, so that the join below reads plain shuffles and a large group can be split
+    best = stored(best.where("group_size > 1"), "groups")
+    alone = F.col("group_size").isNull()
+    stays = (F.col("key_file") == F.col("best.key_file")) & (F.col("key_row") == F.col("best.key_row"))
+    return known.join(best, group, "left").select(
         *KEY,
         "doc_id",
-        F.col("best.doc_id").alias("keep_id"),
-        "group_size",
-        ((F.col("key_file") == F.col("best.key_file")) & (F.col("key_row") == F.col("best.key_row"))).alias("kept"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
+        (alone | stays).alias("kept"),
         "text_sha256",
     )
 
