@@ -35,7 +35,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def is_file_scan(df: DataFrame) -> bool:
-    return df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
+    """Whether rows come one by one from files: a scan, or columns computed from one."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.getClass().getSimpleName() == "Project":
+        plan = plan.child()
+    return plan.getClass().getSimpleName() == "LogicalRelation"
 
 
 def with_row_key(docs: DataFrame) -> DataFrame:

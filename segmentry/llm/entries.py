@@ -9,6 +9,14 @@ import corpus_pipeline
 #: query -> (module, SQL it is held against or None)
 _QUERIES = {
     "op1_mix_sources": "mixing",
+    "op2_chat_format": "chat",
+    "op3_license_scan": "licenses",
+    "op4_personal_data": "pii",
+    "op5_quality_rules": "quality_rules",
+    "op6_quality_model": "quality_model",
+    "op7_near_dedup": "near_dedup",
+    "op8_bpe_round_trip": "bpe",
+    "op9_language_id": "langid",
     "op10_exact_dedup": "exact_dedup",
 }
 
