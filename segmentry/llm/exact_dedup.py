@@ -84,7 +84,11 @@ def identities(keyed: DataFrame, text: Column, block_chars: int = BLOCK_CHARS) -
 
 def exact_groups(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): key, doc_id, keep_id, group_size, kept, text_sha256."""
-    known = stored(identities(with_row_key(docs), F.col("row.text"), block_chars), "identities")
+    return _groups(with_row_key(docs), block_chars)
+
+
+def _groups(keyed: DataFrame, block_chars: int) -> DataFrame:
+    known = stored(identities(keyed, F.col("row.text"), block_chars), "identities")
     group = ["n_blocks", "name"]
     best = known.groupBy(*group).agg(
         F.max(F.struct("doc_id", *KEY)).alias("best"), F.count(F.lit(1)).alias("group_size")
@@ -106,7 +110,7 @@ def exact_groups(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
 def drop_exact_copies(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     keyed = with_row_key(docs)
-    dropped = exact_groups(docs, block_chars).where("not kept").select(*KEY)
+    dropped = _groups(keyed, block_chars).where("not kept").select(*KEY)
     return keyed.join(dropped, KEY, "left_anti").select("row.*")
 
 

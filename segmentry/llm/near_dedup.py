@@ -72,9 +72,9 @@ def _simhash(texts: pa.Array) -> pa.Array:
     return pa.array(np.array(prints, np.uint64).view(np.int64))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, key_file, key_row, print: the 64 bits as a signed long)."""
-    keyed = with_row_key(docs).select("key_file", "key_row", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"))
+def fingerprints(keyed: DataFrame) -> DataFrame:
+    """(doc_id, key_file, key_row, print: the 64 bits as a signed long) for rows of ``with_row_key``."""
+    keyed = keyed.select("key_file", "key_row", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"))
     return keyed.select("doc_id", "key_file", "key_row", _simhash("text").alias("print"))
 
 
@@ -142,7 +142,11 @@ def components(pairs: DataFrame) -> DataFrame:
 
 def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row per row of ``docs``: doc_id, key, print, component_id, label (the component's smallest print)."""
-    known = stored(fingerprints(docs), "prints")
+    return _groups(with_row_key(docs), radius)
+
+
+def _groups(keyed: DataFrame, radius: int) -> DataFrame:
+    known = stored(fingerprints(keyed), "prints")
     classes = stored(known.groupBy("print").agg(F.min("doc_id").alias("first_id")), "classes")
     reached = components(links(classes.select("print"), radius)).withColumnRenamed("node", "print")
     labelled = classes.join(reached, "print", "left").select("print", "first_id", F.coalesce("label", "print").alias("label"))
@@ -153,11 +157,12 @@ def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row of each component stays: the one with the smallest doc_id, then the smallest row key."""
-    grouped = stored(near_groups(docs, radius), "near-groups")
+    keyed = with_row_key(docs)
+    grouped = stored(_groups(keyed, radius), "near-groups")
     me = F.struct(F.col("doc_id").isNull(), "doc_id", "key_file", "key_row")
     best = stored(grouped.groupBy("label").agg(F.min(me).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1"), "best")
     dropped = grouped.join(best, "label").where((F.col("key_file") != F.col("best.key_file")) | (F.col("key_row") != F.col("best.key_row")))
-    return with_row_key(docs).join(dropped.select("key_file", "key_row"), ["key_file", "key_row"], "left_anti").select("row.*")
+    return keyed.join(dropped.select("key_file", "key_row"), ["key_file", "key_row"], "left_anti").select("row.*")
 
 
 def op7_near_dedup(spark, sf_dir):
