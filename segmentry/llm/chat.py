@@ -21,16 +21,16 @@ from pyspark.sql import functions as F
 from segmentry.llm.common import read, text_or_empty
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
-_BEHIND = r"(?=\||/?s>|/?INST\])"
+_ANGLE, _SQUARE = r"\||/?s>", r"/?INST\]"
 
 
 def escape(column: Column) -> Column:
     doubled = F.replace(column, F.lit("\\"), F.lit("\\\\"))
-    return F.regexp_replace(doubled, rf"([<\[]){_BEHIND}", r"$1\\")
+    return F.regexp_replace(doubled, rf"(<(?={_ANGLE})|\[(?={_SQUARE}))", r"$1\\")
 
 
 def unescape(column: Column) -> Column:
-    plain = F.regexp_replace(column, rf"([<\[])\\{_BEHIND}", "$1")
+    plain = F.regexp_replace(column, rf"(?<=<)\\(?={_ANGLE})|(?<=\[)\\(?={_SQUARE})", "")
     return F.replace(plain, F.lit("\\\\"), F.lit("\\"))
 
 

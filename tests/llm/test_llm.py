@@ -45,11 +45,12 @@ def test_mix_targets(spark):
 
 
 def test_chat(spark):
-    rows = [(1, 0, "user", r"a<|end|>\b<\|"), (1, 1, "assistant", "[INST]x[/INST] </s>\\"), (1, 2, "user", None), (2, 0, None, "q"), (None, None, "assistant", "r"), (3, 1, "assistant", "z"), (3, 0, "system", "s"), (3, 1, "assistant", "z")]
+    rows = [(4, 0, "assistant", "[| [s> <INST] [\\| <\\s>"), (1, 0, "user", r"a<|end|>\b<\|"), (1, 1, "assistant", "[INST]x[/INST] </s>\\"), (1, 2, "user", None), (2, 0, None, "q"), (None, None, "assistant", "r"), (3, 1, "assistant", "z"), (3, 0, "system", "s"), (3, 1, "assistant", "z")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     made = chat.examples(df).cache()
     turns = {(r["conv_id"], r["example"]): [tuple(t) for t in r["t"]] for r in made.select("conv_id", "example", chat.parse(F.col("formatted")).alias("t")).collect()}
     assert turns[1, 3] == [("user", r"a<|end|>\b<\|"), ("assistant", "[INST]x[/INST] </s>\\"), ("user", "")]
+    assert turns[4, 1] == [("assistant", "[| [s> <INST] [\\| <\\s>")]
     assert turns[3, 2] == [("system", "s"), ("assistant", "z")] and len(turns[3, 3]) == 3
     for r in made.where("loss_start is not null").collect():
         piece = r["formatted"][r["loss_start"] : r["loss_start"] + r["loss_chars"]]
