@@ -20,13 +20,14 @@ def top_k(scored: DataFrame, k, score: str = "score", ascending: bool = False) -
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(order, "id"))).where(F.col("rank") <= k)
 
 
-def knn_exact(corpus: DataFrame, queries: DataFrame, k: int = 5, metric: str = "ip", normalize: bool = True) -> DataFrame:
-    """(query_id, id, score, rank): ``corpus`` (id, vec), ``queries`` (query_id, vec), a batch.
+def scores(corpus: DataFrame, queries: DataFrame, k: int | None = None, metric: str = "ip", normalize: bool = True) -> DataFrame:
+    """(query_id, id, score): ``corpus`` (id, vec), ``queries`` (query_id, vec), a batch; all rows, or the best ``k`` a
+    query of each block of the corpus.
 
-    Each task multiplies its blocks of the corpus with the query batch and keeps k a query, so only those are shuffled."""
+    Each task multiplies its blocks of the corpus with the query batch; nothing is shuffled."""
     batch = queries.toPandas().sort_values("query_id").reset_index(drop=True)
     if batch.empty:
-        return corpus.sparkSession.createDataFrame([], "query_id long, id long, score double, rank int")
+        return corpus.sparkSession.createDataFrame([], "query_id long, id long, score double")
     unit = normalize and metric == "ip"
 
     def scaled(m: np.ndarray) -> np.ndarray:
@@ -47,12 +48,21 @@ def knn_exact(corpus: DataFrame, queries: DataFrame, k: int = 5, metric: str = "
                 dots = part @ c.T
                 score = dots if metric == "ip" else (part**2).sum(1)[:, None] - 2 * dots + (c**2).sum(1)[None]
                 score = np.round(score, 6)
-                best = np.lexsort((np.broadcast_to(name, score.shape), -score if metric == "ip" else score), axis=1)[:, :k]
+                if k is None:
+                    best = np.broadcast_to(np.arange(len(name)), score.shape)
+                else:
+                    best = np.lexsort((np.broadcast_to(name, score.shape), -score if metric == "ip" else score), axis=1)[:, :k]
                 row = np.repeat(np.arange(len(part)), best.shape[1])
                 yield pd.DataFrame({"query_id": names[at : at + QUERY_BLOCK][row], "id": name[best.ravel()], "score": score[row, best.ravel()] + 0.0})
 
-    found = corpus.select("id", "vec").mapInPandas(local, "query_id long, id long, score double")
-    return top_k(found, k, ascending=metric != "ip")
+    return corpus.select("id", "vec").mapInPandas(local, "query_id long, id long, score double")
+
+
+def knn_exact(corpus: DataFrame, queries: DataFrame, k: int = 5, metric: str = "ip", normalize: bool = True) -> DataFrame:
+    """(query_id, id, score, rank): the ``k`` best of ``corpus`` (id, vec) for each of ``queries`` (query_id, vec), a batch.
+
+    Tasks keep k a query and block, so only those are shuffled."""
+    return top_k(scores(corpus, queries, k, metric, normalize), k, ascending=metric != "ip")
 
 
 def train_cells(corpus: DataFrame, cells: int = 16, sample: int = 100_000, seed: int = 0) -> list[list[float]]:

@@ -143,7 +143,7 @@ def scan_list_file(spark, d):
 def discover_files(spark, d):
     path = files.shared_folder(spark, "media")
     table(spark, d, "documents").select("source", F.lit("x").alias("value")).write.partitionBy("source").text(path)
-    return files.discover_files(spark, path, exts=("txt",), limit=50).select(F.regexp_extract("path", r"(source=[^/]*)/", 1).alias("place"), "length")
+    return files.discover_files(spark, path, exts=("txt",)).select(F.regexp_extract("path", r"(source=[^/]*)/", 1).alias("place"), "length")
 
 
 @query("binary_magic_check")

@@ -12,7 +12,7 @@ from segmentry.plans.views import SEGMENTS, duck, segments
 from segmentry.sources.files import shared_folder
 
 SEG = duck(SEGMENTS)
-PAIRS = "q as (select vec_id as query_id, embedding::double[] as qv from embeddings where vec_id % 25 = 0)"
+PAIRS = "q as (select vec_id as query_id, embedding::double[] as qv from embeddings where vec_id % 20 = 0)"
 IP = f"""with {SEG}, {PAIRS},
 scored as (select query_id, vec_id as id, round(list_dot_product(qv, embedding::double[]), 6) as score from q, embeddings),
 ranked as (select *, row_number() over (partition by query_id order by score desc, id) as rank from scored)"""
@@ -23,7 +23,7 @@ def corpus(spark, d):
 
 
 def asked(spark, d):
-    return corpus(spark, d).where("id % 25 = 0").withColumnRenamed("id", "query_id")
+    return corpus(spark, d).where("id % 20 = 0").withColumnRenamed("id", "query_id")
 
 
 @query("vec_normalize", "select vec_id, cast(p as int) as pos, round(coalesce(x / nullif(n, 0), 0), 6) as v from (select vec_id, unnest(embedding::double[]) as x, generate_subscripts(embedding, 1) - 1 as p, sqrt(list_dot_product(embedding::double[], embedding::double[])) as n from embeddings) t")
@@ -55,8 +55,7 @@ def knn_exact_ip(spark, d):
 @query("knn_exact_l2", f"""with {PAIRS}, scored as (select query_id, vec_id as id, round(list_dot_product(qv, qv) - 2 * list_dot_product(qv, embedding::double[]) + list_dot_product(embedding::double[], embedding::double[]), 5) as score from q, embeddings)
 select query_id, count(*) as n, min(score) as best from scored where score < 0.5 group by query_id""")
 def knn_exact_l2(spark, d):
-    found = search.knn_exact(corpus(spark, d), asked(spark, d), 2000, metric="l2", normalize=False)
-    near = found.withColumn("score", F.round("score", 5)).where("score < 0.5")
+    near = search.scores(corpus(spark, d), asked(spark, d), metric="l2").withColumn("score", F.round("score", 5)).where("score < 0.5")
     return near.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("best"))
 
 
@@ -101,9 +100,10 @@ def kis_envelope(spark, d):
     return top.groupBy("query_id").agg(F.max("total").alias("total_results"), (F.max("total") > 5).alias("has_next"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda s: s["id"]), ",").alias("results"))
 
 
-@query("pairwise_similarity", "select a.vec_id as a, b.vec_id as b, round(list_dot_product(a.embedding::double[], b.embedding::double[]), 6) as score from embeddings a, embeddings b where a.vec_id % 25 = 0 and b.vec_id % 25 = 1")
+@query("pairwise_similarity", "select a.vec_id as a, b.vec_id as b, round(list_dot_product(a.embedding::double[], b.embedding::double[]), 6) as score from embeddings a, embeddings b where a.vec_id % 20 = 0")
 def pairwise_similarity(spark, d):
-    found = search.knn_exact(corpus(spark, d).where("id % 25 = 1"), asked(spark, d), 10**6, normalize=False)
+    """The queries against all rows, in blocks."""
+    found = search.scores(corpus(spark, d), asked(spark, d), normalize=False)
     return found.select(F.col("query_id").alias("a"), F.col("id").alias("b"), "score")
 
 
@@ -122,7 +122,7 @@ def knn_ivf(spark, d):
 @query("ann_recall_at_k")
 def ann_recall_at_k(spark, d):
     index, centroids = _cells(spark, d)
-    q = asked(spark, d).orderBy(F.xxhash64("query_id")).limit(200)
+    q = asked(spark, d)
     exact = search.knn_exact(corpus(spark, d), q, 10)
     parts = [search.recall_at_k(search.knn_ivf(index, q, centroids, 10, n), exact).agg(F.lit(n).alias("nprobe"), F.avg(F.col("hits") / F.col("truth")).alias("recall")) for n in (1, 4, 16)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
@@ -164,19 +164,29 @@ def index_incremental(spark, d):
     return found.select("query_id", "id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("paired_recall", """with p as (select a.vec_id as i, a.embedding::double[] as x, b.embedding::double[] as y from embeddings a join embeddings b on b.vec_id = a.vec_id + 1 where a.vec_id % 10 = 0),
-s as (select l.i, r.i as j, round(list_dot_product(l.x, r.y), 6) as score from p l, p r),
+@query("paired_recall", """with p as (select a.vec_id as i, a.embedding::double[] as x, b.embedding::double[] as y from embeddings a join embeddings b on b.vec_id = a.vec_id + 1),
+s as (select l.i, r.i as j, round(list_dot_product(l.x, r.y), 6) as score from p l, p r where l.i % 20 = 0),
 k as (select i, 1 + count(*) filter (score > own or (score = own and j < i)) as rank from (select *, max(score) filter (i = j) over (partition by i) as own from s) t group by i)
 select cast(count(*) as bigint) as n, round(avg((rank <= 1)::int), 6) as r1, round(avg((rank <= 5)::int), 6) as r5, round(avg((rank <= 10)::int), 6) as r10 from k""")
 def paired_recall(spark, d):
-    p = _neighbours(spark, d).where("vec_id % 10 = 0")
-    found = search.knn_exact(p.select(F.col("vec_id").alias("id"), F.col("b").alias("vec")), p.select(F.col("vec_id").alias("query_id"), F.col("a").alias("vec")), 10**6, normalize=False)
-    own = found.where("query_id = id")
-    return own.agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg((F.col("rank") <= k).cast("int")), 6).alias(f"r{k}") for k in (1, 5, 10)])
+    """Every pair's second half is searched; only the ten best are ranked, as no deeper place is asked for."""
+    p = _neighbours(spark, d)
+    asked_for = p.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("a").alias("vec"))
+    found = search.knn_exact(p.select(F.col("vec_id").alias("id"), F.col("b").alias("vec")), asked_for, 10, normalize=False)
+    own = asked_for.select("query_id").join(found.where("query_id = id").select("query_id", "rank"), "query_id", "left")
+    return own.agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(F.coalesce(F.col("rank") <= k, F.lit(False)).cast("int")), 6).alias(f"r{k}") for k in (1, 5, 10)])
+
+
+#: Pairs in a contrastive batch; both losses compare within a batch only, so their work is linear in the table.
+BATCH = 32
+CONTRAST = f"""with p as (select a.vec_id as i, a.vec_id // {BATCH} as batch, a.embedding::double[] as x, b.embedding::double[] as y from embeddings a join embeddings b on b.vec_id = a.vec_id + 1),
+s as (select l.i, r.i as j, 10 * round(list_dot_product(l.x, r.y), 6) as z from p l join p r using (batch))"""
 
 
-CONTRAST = """with p as (select a.vec_id as i, a.embedding::double[] as x, b.embedding::double[] as y from embeddings a join embeddings b on b.vec_id = a.vec_id + 1 where a.vec_id % 10 = 0),
-s as (select l.i, r.i as j, 10 * round(list_dot_product(l.x, r.y), 6) as z from p l, p r)"""
+def _in_batch(left, right):
+    """Scores of all pairs in each batch of ``BATCH`` ids: ``left`` (i, x), ``right`` (j, y)."""
+    of = lambda df, key: df.withColumn("batch", F.floor(F.col(key) / BATCH))
+    return of(left, "i").join(of(right, "j"), "batch").select("batch", "i", "j", F.round(search.inner_product("x", "y"), 6).alias("score"))
 
 
 @query("infonce_metrics", CONTRAST + """,
@@ -185,22 +195,26 @@ rl as (select s.i, max(m) + ln(sum(exp(z - m))) - max(own) as loss, max((own >=
 cl as (select s.j, max(m) + ln(sum(exp(z - m))) - max(own) as loss, max((own >= m)::int) as ok from s join c on c.j = s.j group by s.j)
 select round((select avg(loss) from rl) + (select avg(loss) from cl), 4) as loss, round((select avg(ok) from rl), 6) as acc_row, round((select avg(ok) from cl), 6) as acc_col""")
 def infonce_metrics(spark, d):
-    p = _neighbours(spark, d).where("vec_id % 10 = 0")
-    s = search.knn_exact(p.select(F.col("vec_id").alias("id"), F.col("b").alias("vec")), p.select(F.col("vec_id").alias("query_id"), F.col("a").alias("vec")), 10**6, normalize=False)
-    s = s.select(F.col("query_id").alias("i"), F.col("id").alias("j"), (10 * F.col("score")).alias("z"))
+    """Over every pair of the table, each against the others of its batch."""
+    p = _neighbours(spark, d)
+    s = _in_batch(p.select(F.col("vec_id").alias("i"), F.col("a").alias("x")), p.select(F.col("vec_id").alias("j"), F.col("b").alias("y")))
+    s = s.select("i", "j", (10 * F.col("score")).alias("z"))
 
     def side(key: str, name: str):
-        top = s.groupBy(key).agg(F.max("z").alias("m"), F.max(F.when(F.col("i") == F.col("j"), F.col("z"))).alias("own"))
-        each = s.join(top, key).groupBy(key, "m", "own").agg((F.col("m") + F.log(F.sum(F.exp(F.col("z") - F.col("m")))) - F.col("own")).alias("loss"))
-        return each.agg(F.avg("loss").alias(f"loss_{name}"), F.round(F.avg((F.col("own") >= F.col("m")).cast("int")), 6).alias(f"acc_{name}"))
+        each = s.groupBy(key).agg(F.collect_list("z").alias("z"), F.max(F.when(F.col("i") == F.col("j"), F.col("z"))).alias("own"))  # a batch
+        top = F.array_max("z")
+        total = F.aggregate(F.transform("z", lambda z: F.exp(z - top)), F.lit(0.0), lambda a, x: a + x)
+        return each.agg(F.avg(top + F.log(total) - F.col("own")).alias(f"loss_{name}"), F.round(F.avg((F.col("own") >= top).cast("int")), 6).alias(f"acc_{name}"))
 
+    # two tables of one row
     return side("i", "row").join(side("j", "col")).select(F.round(F.col("loss_row") + F.col("loss_col"), 4).alias("loss"), "acc_row", "acc_col")
 
 
-@query("uniformity", "with p as (select vec_id as i, embedding::double[] as x from embeddings where vec_id % 10 = 0) select round(coalesce(ln(avg(exp(-2 * (2 - 2 * round(list_dot_product(a.x, b.x), 6))))), 0), 4) as uniformity from p a join p b on a.i < b.i")
+@query("uniformity", f"with p as (select vec_id as i, vec_id // {BATCH} as batch, embedding::double[] as x from embeddings) select round(coalesce(ln(avg(exp(-2 * (2 - 2 * round(list_dot_product(a.x, b.x), 6))))), 0), 4) as uniformity from p a join p b on a.batch = b.batch and a.i < b.i")
 def uniformity(spark, d):
-    p = corpus(spark, d).where("id % 10 = 0")
-    s = search.knn_exact(p, p.withColumnRenamed("id", "query_id"), 10**6, normalize=False).where("query_id < id")
+    """Over all pairs within each batch of the table."""
+    p = corpus(spark, d)
+    s = _in_batch(p.select(F.col("id").alias("i"), F.col("vec").alias("x")), p.select(F.col("id").alias("j"), F.col("vec").alias("y"))).where("i < j")
     return s.agg(F.round(F.coalesce(F.log(F.avg(F.exp(-2 * (2 - 2 * F.col("score"))))), F.lit(0.0)), 4).alias("uniformity"))
 
 
@@ -303,9 +317,9 @@ def text_embed_hash(spark, d):
     return n.withColumn("v", F.round(F.col("n") / F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("id"))), 6)).drop("n")
 
 
-# Answers: every fifth segment is asked for; its answers are the segments of the same place in other videos and its own.
+# Answers: every segment is asked for; its answers are the segments of the same place in other videos and its own.
 ANSWERS = SEGMENTS + """,
-truth as (select segment_id as query_id, video_id, start_frame as s, end_frame - 1 as e, concat('answer ', cast(i % 4 as string)) as answer from segments where segment_id % 5 = 0),
+truth as (select segment_id as query_id, video_id, start_frame as s, end_frame - 1 as e, concat('answer ', cast(i % 4 as string)) as answer from segments),
 answers as (select t.query_id, row_number() over (partition by t.query_id order by abs(a.label * 7 - t.query_id % 70), a.segment_id) as rank, a.video_id, a.midpoint_frame as frame, concat(' ANSWER  ', cast(a.i % 4 as string), ' ') as answer
             from truth t join segments a on a.i = cast(floor(t.s / 20) as int)),
 scored as (select a.query_id, a.rank, case when a.video_id = t.video_id and a.frame between t.s and t.e then 1 else 0 end as kis,

@@ -126,16 +126,16 @@ def segment_pipeline(spark, d):
 
 
 DOC = f"""{SEGMENTS}, told as (select s.*, d.text as asr_text from segments s left join {{documents}} d on d.doc_id = s.segment_id and s.segment_id % 4 > 0),
-spoken as (select 'L' as x, concat('L', lpad(cast(doc_id % 10 as string), 2, '0'), '_V001') as video_id, cast(doc_id * 3 % 900 as int) as sf, cast(doc_id * 3 % 900 + 25 as int) as ef, doc_id, substr(text, 1, 20) as text from {{documents}})"""
+spoken as (select 'L' as x, concat('L', lpad(cast(doc_id % 10 as string), 2, '0'), '_V001') as video_id, cast(doc_id * 3 % 900 as int) as sf, cast(doc_id * 3 % 900 + 25 as int) as ef, doc_id, text from {{documents}})"""
 for _name, _select in {
     "segment_midpoint": "select segment_id, least(cast(floor((start_frame + end_frame) / 2) as int), end_frame - 1) as midpoint_frame from segments",
-    "segment_lookup": "select segment_id, video_id, start_frame from segments where segment_id in (select doc_id from {documents} where doc_id % 50 = 0)",
+    "segment_lookup": "select segment_id, video_id, start_frame from segments where segment_id in (select doc_id from {documents} where doc_id % 20 = 0)",
     "segments_by_video": "select segment_id, start_frame, row_number() over (order by start_frame) as place from segments where video_id = 'L03_V001'",
     "segments_missing_text": "select segment_id, video_id, start_frame from told where asr_text is null",
     "segment_count": "select level, count(*) as n from segments group by level",
-    "segment_assign_ids": "select 1000 + row_number() over (order by video_id, start_frame) as new_id, video_id, start_frame from segments where segment_id % 7 = 0",
-    "text_update": "select s.segment_id, substr(coalesce(u.text, s.asr_text), 1, 30) as asr_text from told s left join (select doc_id, upper(source) as text from {documents} where doc_id % 6 = 0) u on u.doc_id = s.segment_id",
-    "text_update_unknown": "select u.doc_id from {documents} u left anti join segments s on s.segment_id = u.doc_id + 400 where u.doc_id % 6 = 0",
+    "segment_assign_ids": "select 1000 + row_number() over (order by video_id, start_frame) as new_id, video_id, start_frame from segments",
+    "text_update": "select s.segment_id, coalesce(u.text, s.asr_text) as asr_text from told s left join (select doc_id, upper(source) as text from {documents} where doc_id % 6 = 0) u on u.doc_id = s.segment_id",
+    "text_update_unknown": "select u.doc_id from {documents} u left anti join segments s on s.segment_id = u.doc_id + 400",
     "range_join_overlap": "select s.segment_id, count(*) as n, min(p.sf) as first, max(p.ef) as last, cast(sum(length(p.text)) as bigint) as chars from segments s join spoken p on p.video_id = s.video_id and p.sf < s.end_frame and p.ef > s.start_frame group by s.segment_id",
     "frame_time_convert": "select segment_id, round(midpoint_frame / cast(fps as double), 2) as seconds, cast(round(midpoint_frame / cast(fps as double) * fps) as int) as frame from segments",
     "batch_assign": "select segment_id, cast(floor((row_number() over (order by segment_id) - 1) / 32) as int) as batch, e.epoch from segments join (select 0 as epoch union all select 1) e on true",

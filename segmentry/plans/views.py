@@ -23,7 +23,7 @@ regions as (select event_type as video_id, event_id, s as start_s, s + cast(floo
 REGIONS_SPARK = REGIONS % "unix_micros(cast(ts as timestamp)) / 1000000"
 REGIONS_DUCK = REGIONS % "epoch_us(ts) / 1000000"
 SAMPLES = """
-samples as (select concat(source, '/', cast(doc_id as string), '.txt') as path, trim(substr(text, 1, 80)) as caption,
+samples as (select concat(source, '/', cast(doc_id as string), '.txt') as path, trim(text) as caption,
                    case when doc_id % 3 = 0 then 'image' else 'video' end as media_type, source, doc_id,
                    cast(n_chars as int) as num_frames from {documents})"""
 
