@@ -12,6 +12,8 @@ from segmentry.functions.vectors import inner_product, l2_normalize, sq_l2
 
 #: Queries that are held in each task at once; larger batches are answered block by block.
 QUERY_BLOCK = 4096
+#: Batches of up to so many queries are broadcast (164 MB at 1,024 dimensions); larger ones meet the corpus by partitions.
+MAX_BATCH = 20_000
 
 
 def top_k(scored: DataFrame, k, score: str = "score", ascending: bool = False) -> DataFrame:
@@ -20,11 +22,16 @@ def top_k(scored: DataFrame, k, score: str = "score", ascending: bool = False) -
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(order, "id"))).where(F.col("rank") <= k)
 
 
-def scores(corpus: DataFrame, queries: DataFrame, k: int | None = None, metric: str = "ip", normalize: bool = True) -> DataFrame:
+def scores(corpus: DataFrame, queries: DataFrame, k: int | None = None, metric: str = "ip", normalize: bool = True, max_batch: int = MAX_BATCH) -> DataFrame:
     """(query_id, id, score): ``corpus`` (id, vec), ``queries`` (query_id, vec), a batch; all rows, or the best ``k`` a
     query of each block of the corpus.
 
-    Each task multiplies its blocks of the corpus with the query batch; nothing is shuffled."""
+    Each task multiplies its blocks of the corpus with the query batch; nothing is shuffled. A batch over ``max_batch``
+    is never collected: its partitions meet those of the corpus and every score is given."""
+    if queries.count() > max_batch:
+        fit = l2_normalize if normalize and metric == "ip" else F.col
+        pairs = corpus.select("id", fit("vec").alias("vec")).join(queries.select("query_id", fit("vec").alias("q")), F.lit(True))
+        return pairs.select("query_id", "id", F.round((inner_product if metric == "ip" else sq_l2)("q", "vec"), 6).alias("score"))
     batch = queries.toPandas().sort_values("query_id").reset_index(drop=True)
     if batch.empty:
         return corpus.sparkSession.createDataFrame([], "query_id long, id long, score double")

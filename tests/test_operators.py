@@ -82,3 +82,12 @@ def test_validation_rejects(spark):
     rows = [good, ("v", 10, 10, 10, [0.0] * 4, "coarse"), ("v", 0, 10, 10, [0.0] * 4, "coarse"), ("v", 0, 10, 5, [0.0] * 3, "coarse"), ("v", 0, 10, 5, [0.0] * 4, "odd"), (None, 0, 10, 5, [0.0] * 4, "fine")]
     ok, bad = files.validate_segments(spark.createDataFrame(rows, files.SEGMENT), 4)
     assert (ok.count(), bad.count()) == (1, 5)
+
+
+@pytest.mark.parametrize("metric", ["ip", "l2"])
+def test_scores_of_a_large_batch(spark, metric):
+    rng = np.random.default_rng(2)
+    rows = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(30)], "id long, vec array<double>")
+    few = rows.where("id % 5 = 0").withColumnRenamed("id", "query_id")
+    one, other = ({(r["query_id"], r["id"]): r["score"] for r in search.scores(rows, few, metric=metric, max_batch=n).collect()} for n in (100, 0))
+    assert one.keys() == other.keys() and len(one) == 180 and all(abs(one[k] - other[k]) < 1e-5 for k in one)
