@@ -50,19 +50,26 @@ def _pieces(text: bytes) -> Iterator[list[bytes]]:
         at = end
 
 
-def simhash(text: bytes, shingle: int = SHINGLE) -> int:
+def shingle_hashes(text: bytes, shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 of each shingle, piece by piece; fewer words than a shingle has are one."""
     hashed = partial(xxhash.xxh64_intdigest, seed=42)
-    ones, n, carry = np.zeros(BITS, np.int64), 0, []
+    n, carry = 0, []
     for piece in _pieces(text):
         tokens = carry + piece
         shingles = [b" ".join(x) for x in zip(*(tokens[i:] for i in range(shingle)))]
         if shingles:
-            h = np.fromiter(map(hashed, shingles), np.uint64, len(shingles))
-            ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            yield np.fromiter(map(hashed, shingles), np.uint64, len(shingles))
             n += len(shingles)
         carry = tokens[len(tokens) - min(len(tokens), shingle - 1) :]
-    if not n:
-        return hashed(b" ".join(carry)) if carry else 0
+    if not n and carry:
+        yield np.array([hashed(b" ".join(carry))], np.uint64)
+
+
+def simhash(text: bytes, shingle: int = SHINGLE) -> int:
+    ones, n = np.zeros(BITS, np.int64), 0
+    for h in shingle_hashes(text, shingle):
+        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(h)
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
@@ -148,7 +155,12 @@ def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def _groups(keyed: DataFrame, radius: int) -> DataFrame:
     known = stored(fingerprints(keyed), "prints")
     classes = stored(known.groupBy("print").agg(F.min("doc_id").alias("first_id")), "classes")
-    reached = components(links(classes.select("print"), radius)).withColumnRenamed("node", "print")
+    return placed_rows(known, classes, components(links(classes.select("print"), radius)))
+
+
+def placed_rows(known: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """``known`` (doc_id, key, print) with component_id and label, from ``classes`` (print, first_id) and ``components``."""
+    reached = labels.withColumnRenamed("node", "print")
     labelled = classes.join(reached, "print", "left").select("print", "first_id", F.coalesce("label", "print").alias("label"))
     first = stored(labelled.groupBy("label").agg(F.min("first_id").alias("component_id")), "components")
     places = stored(labelled.select("print", "label").join(first, "label"), "places")
@@ -158,7 +170,11 @@ def _groups(keyed: DataFrame, radius: int) -> DataFrame:
 def drop_near_copies(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row of each component stays: the one with the smallest doc_id, then the smallest row key."""
     keyed = with_row_key(docs)
-    grouped = stored(_groups(keyed, radius), "near-groups")
+    return keep_first(keyed, stored(_groups(keyed, radius), "near-groups"))
+
+
+def keep_first(keyed: DataFrame, grouped: DataFrame) -> DataFrame:
+    """The rows of ``keyed`` without those of ``grouped`` (stored) that are not the first of their label."""
     me = F.struct(F.col("doc_id").isNull(), "doc_id", "key_file", "key_row")
     best = stored(grouped.groupBy("label").agg(F.min(me).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1"), "best")
     dropped = grouped.join(best, "label").where((F.col("key_file") != F.col("best.key_file")) | (F.col("key_row") != F.col("best.key_row")))
