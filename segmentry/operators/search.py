@@ -81,13 +81,27 @@ def train_cells(corpus: DataFrame, cells: int = 16, sample: int = 100_000, seed:
     return [c.tolist() for c in KMeans(k=cells, seed=seed, maxIter=10).fit(points).clusterCenters()]
 
 
-def nearest_cells(df: DataFrame, centroids: list[list[float]], n: int) -> DataFrame:
-    """Adds cell_id: one row for each of the ``n`` nearest centroids (a fixed, small number)."""
+def nearest_cells(df: DataFrame, centroids: list[list[float]], n: int, place: str | None = None) -> DataFrame:
+    """Adds cell_id: one row for each of the ``n`` nearest centroids (a fixed, small number), and its place from 0 if named."""
     centers = F.array(*[F.struct(sq_l2("vec", F.array(*map(F.lit, c))).alias("d"), F.lit(i).alias("cell")) for i, c in enumerate(centroids)])
-    return df.withColumn("cell_id", F.explode(F.transform(F.slice(F.sort_array(centers), 1, n), lambda s: s["cell"])))
+    cells = F.transform(F.slice(F.sort_array(centers), 1, n), lambda s: s["cell"])
+    return df.select("*", F.posexplode(cells).alias(place, "cell_id")) if place else df.withColumn("cell_id", F.explode(cells))
 
 
-def knn_ivf(index: DataFrame, queries: DataFrame, centroids, k: int = 5, nprobe: int = 4) -> DataFrame:
+def probes(index: DataFrame, centroids, k: int = 5, least: float = 0.9, sample: int = 1000) -> int:
+    """The fewest cells whose search finds ``least`` of the true ``k`` nearest, measured against exact search.
+
+    The queries are a bounded sample of the rows of ``index`` (id, vec, cell_id), each without itself as a neighbour."""
+    asked = index.orderBy(F.xxhash64("id")).limit(sample).select(F.col("id").alias("query_id"), "vec")
+    true = knn_exact(index, asked, k + 1).where("id != query_id").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where(F.col("rank") <= k)
+    ranked = nearest_cells(asked.withColumn("vec", l2_normalize("vec")), centroids, len(centroids), place="place").select("query_id", "cell_id", "place")
+    found = true.join(index.select("id", "cell_id"), "id").join(ranked, ["query_id", "cell_id"]).groupBy("place").count()
+    hits = {r["place"]: r["count"] for r in found.collect()}  # at most a row a cell
+    reached = np.cumsum([hits.get(i, 0) for i in range(len(centroids))])
+    return int(np.searchsorted(reached, least * reached[-1])) + 1 if reached[-1] else len(centroids)
+
+
+def knn_ivf(index: DataFrame, queries: DataFrame, centroids, k: int, nprobe: int) -> DataFrame:
     """``index`` (id, vec, cell_id): only the ``nprobe`` nearest cells of a query are compared, by a join on cell_id."""
     probes = nearest_cells(queries.withColumn("vec", l2_normalize("vec")), centroids, nprobe).withColumnRenamed("vec", "q")
     scored = index.join(probes, "cell_id").select("query_id", "id", F.round(inner_product("q", "vec"), 6).alias("score"))

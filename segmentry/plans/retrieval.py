@@ -116,7 +116,7 @@ def _cells(spark, d):
 @query("knn_ivf")
 def knn_ivf(spark, d):
     index, centroids = _cells(spark, d)
-    return search.knn_ivf(index, asked(spark, d), centroids, 5, 4)
+    return search.knn_ivf(index, asked(spark, d), centroids, 5, search.probes(index, centroids, 5))
 
 
 @query("ann_recall_at_k")
