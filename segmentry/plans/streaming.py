@@ -40,13 +40,11 @@ def stream_dedup(spark, d):
 
 @query("stream_sessions", MERGED + " select video_id, start_s, end_s from m")
 def stream_sessions(spark, d):
-    """Sessions close at start + length + gap + 1; a last far-off row per video moves the watermark past all others."""
+    """Sessions close at start + length + gap + 1; a last far-off row moves the watermark past all others."""
     rows = regions(spark, d).select("start_s", "video_id", "end_s")
-    close = rows.groupBy("video_id").agg((F.max("end_s") + 86400 * 365).alias("start_s")).select("start_s", "video_id", F.col("start_s").alias("end_s"))
-    merged = jobs.sessions(jobs.source(rows.unionByName(close), "regions"), 0, 31)
-    path, place = shared_folder(spark, "sessions"), shared_folder(spark, "sessions-checkpoint")
-    merged.writeStream.format("parquet").option("path", path).option("checkpointLocation", place).trigger(availableNow=True).start().awaitTermination()
-    done = spark.read.schema(merged.schema).parquet(path)
+    folder = shared_folder(spark, "regions")
+    rows.repartitionByRange(3, "start_s").write.parquet(folder)
+    done = jobs.all_sessions(rows, folder, 0, 31)
     return done.select("video_id", F.unix_seconds("w.start").alias("start_s"), (F.unix_seconds("w.end") - 31).alias("end_s"))
 
 

@@ -38,13 +38,35 @@ def totals(aggregated: DataFrame, name: str) -> DataFrame:
     return aggregated.sparkSession.read.schema(aggregated.schema).parquet(path)
 
 
-def sessions(stream: DataFrame, pad: int, gap: int) -> DataFrame:
+def sessions(stream: DataFrame, pad: int, gap: int, delay: str = "30 days") -> DataFrame:
     """Regions (video_id, start_s, end_s) merged as sessions; append mode needs the watermark it sets."""
-    timed = stream.withColumn("at", F.timestamp_seconds(F.greatest(F.col("start_s") - pad, F.lit(0)))).withWatermark("at", "30 days")
+    timed = stream.withColumn("at", F.timestamp_seconds(F.greatest(F.col("start_s") - pad, F.lit(0)))).withWatermark("at", delay)
     length = F.concat((F.col("end_s") - F.col("start_s") + 2 * pad + gap).cast("string"), F.lit(" seconds"))
     return timed.groupBy("video_id", F.session_window("at", length).alias("w")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def all_sessions(rows: DataFrame, folder: str, pad: int, gap: int) -> DataFrame:
+    """The sessions of all files in ``folder``, which hold ``rows`` (start_s, video_id, end_s), in whatever order they arrive.
+
+    The watermark waits for the whole span of ``rows``, so none is late. A closing row that moves it past all of them is
+    written once they are used up, and read by a second run from the same checkpoint."""
+    spark = rows.sparkSession
+    first, last, video = rows.agg(F.min("start_s"), F.max("end_s"), F.max("video_id")).first()
+    delay = (last or 0) - (first or 0) + 2 * pad + gap + 86400
+    path, place = shared_folder(spark, "sessions"), shared_folder(spark, "sessions-checkpoint")
+
+    def run():
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        merged = sessions(stream, pad, gap, f"{delay} seconds")
+        merged.writeStream.format("parquet").option("path", path).option("checkpointLocation", place).trigger(availableNow=True).start().awaitTermination()
+        return merged.schema
+
+    run()
+    at = (last or 0) + 2 * delay
+    spark.createDataFrame([(at, video, at)], rows.schema).coalesce(1).write.mode("append").parquet(folder)
+    return spark.read.schema(run()).parquet(path)
+
+
 def sliding(stream: DataFrame, size: str, stride: str) -> DataFrame:
     return stream.groupBy(F.window("ts", size, stride).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 3).alias("value"))
 
