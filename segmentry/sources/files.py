@@ -13,10 +13,21 @@ SEGMENT = "video_id string, start_frame int, end_frame int, midpoint_frame int,
 MEDIA = ("mp4", "mkv", "mov", "avi", "webm")
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's checkpoint folder. Where none is named, local mode makes
+    one; a cluster needs the setting."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        found = spark.sparkContext.getCheckpointDir()
+    return found
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder where driver and executors both reach it: under the session's checkpoint folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{base}/segmentry/{name}-{uuid.uuid4().hex}"
+    """A new folder under ``shared_root``."""
+    return f"{shared_root(spark)}/segmentry/{name}-{uuid.uuid4().hex}"
 
 
 def validate_segments(df: DataFrame, dim: int = 1536) -> tuple[DataFrame, DataFrame]:
