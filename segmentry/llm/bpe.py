@@ -6,8 +6,9 @@ lowest rank of each word, merges there, and closes the gaps; words without a mer
 words is bounded and only saves work. The vocabulary file is read where its path points, once a worker.
 
 Defined cases: null text counts as empty and has no tokens; strings of special tokens inside a text become those tokens,
-as in the library; texts of any length are cut at white space, which no word spans; repeated rows are encoded each; an
-empty table gives an empty result.
+as in the library; texts of any length are cut at white space, which no word spans; of pairs of one rank in a word the
+first goes first; repeated rows are encoded each; columns other than doc_id and text are not looked at; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,9 +29,27 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 
 from segmentry.llm.common import read
 
-PIECE_CHARS, KNOWN_WORDS = 1 << 18, 150_000
+#: The table of known words is emptied beyond so many words, or characters in them.
+PIECE_CHARS, KNOWN_WORDS, KNOWN_CHARS = 1 << 18, 150_000, 1 << 24
 _NONE = np.iinfo(np.int64).max
 _CUT = re.compile(r"[ \t-\r]")
+# Code points that newer Unicode tables than the library's have as letters or digits.
+_NEWER = """
+558 58b-58c 88f c5c cdc 1c89 208f 209d-209f a7cb-a7cc a7ce-a7cf a7d2 a7d4 a7da a7dc-a7dd a7e2 a7f1
+ab6c-ab6d 107bb-107bf 10940-10959 10d50-10d65 10ec5-10ec7 10ed9-10eee 11b0a 11db0-11ddb 11de0-11de9 11df1
+1246f 12475-1247f 12550-12686 16ea0-16eb8 16ebb-16ed3 16ff2-16ff6 187f8-187ff 18cd6-18cda 18d09-18d20
+18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 1b168 1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96
+1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e
+2cea2-2cead 323b0-33479 3d000-3fc3f
+"""
+_NEWER_SET = "".join("-".join(chr(int(x, 16)) for x in part.split("-")) for part in _NEWER.split())
+_HAS_NEWER = re.compile(f"[{_NEWER_SET}]")
+# Capitals of newer Unicode tables, which the library lower-cases: first, last, small form of the first.
+_NEWER_CAPITALS = """
+1c89 1c89 1c8a, a7cb a7cb 264, a7cc a7cc a7cd, a7ce a7ce a7cf, a7d2 a7d2 a7d3, a7d4 a7d4 a7d5, a7da a7da a7db, a7dc a7dc 19b,
+10d50 10d65 10d70, 16ea0 16eb8 16ebb
+"""
+_NEWER_SMALL = {a + i: small + i for a, b, small in ([int(x, 16) for x in row.split()] for row in _NEWER_CAPITALS.split(",")) for i in range(b - a + 1)}
 
 
 def default_vocabulary() -> str:
@@ -53,8 +72,15 @@ class Bpe:
         model, steps = spec["model"], spec["normalizer"]["normalizers"]
         self.nfc, self.lower = (any(s["type"] == kind for s in steps) for kind in ("NFC", "Lowercase"))
         split = spec["pre_tokenizer"]["pretokenizers"][0]
-        white = r"\t-\r\x20\x85\xa0  -     　"
-        self.words = regex.compile(split["pattern"]["Regex"].replace(r"\s", white))
+        white = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+        pattern = split["pattern"]["Regex"].replace(r"\s", white)
+        self.words = regex.compile(pattern)
+        # the same with the newer letters and digits among the other signs
+        others = rf"[^{white}\p{{L}}\p{{N}}]"
+        newer = pattern.replace(others, f"(?:{others}|[{_NEWER_SET}])")
+        for kind in (r"\p{L}", r"\p{N}"):
+            newer = newer.replace(f"[{kind}]", f"[{kind}--[{_NEWER_SET}]]")
+        self.words_of_newer = regex.compile(newer, regex.V1)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         vocab, end = model["vocab"], model["end_of_word_suffix"] or ""
@@ -76,6 +102,7 @@ class Bpe:
         self.keys, self.ranks, self.made = (left * self.size + right)[order], rank[order], made[order]
         self.one_by_one = (first_use[made] < rank)[order]
         self.known: dict[str, bytes] = {}
+        self.known_chars = 0
 
     def merged(self, words: list[str]) -> list[bytes]:
         """The ids of each (non-empty) word, as little-endian unsigned 32-bit integers."""
@@ -129,20 +156,24 @@ class Bpe:
                 continue
             if self.nfc:
                 part = unicodedata.normalize("NFC", part)
+            newer = _HAS_NEWER.search(part)
             if self.lower:
+                if newer:
+                    part = part.translate(_NEWER_SMALL)
                 part = part.replace("Σ", "σ").lower()  # sigma by itself, whatever follows
-            found += self.words.findall(part)
+            found += (self.words_of_newer if newer else self.words).findall(part)
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.split(t) for t in texts]
         need = set().union(*split)
-        if len(self.known) > KNOWN_WORDS:
-            self.known = {}
+        if len(self.known) > KNOWN_WORDS or self.known_chars > KNOWN_CHARS:
+            self.known, self.known_chars = {}, 0
         if not self.known:
             self.known = {t: np.array([i], "<u4").tobytes() for t, i in self.special.items()}
         if new := list(need - self.known.keys()):
             self.known.update(zip(new, self.merged(new)))
+            self.known_chars += sum(map(len, new))
         return [b"".join(map(self.known.__getitem__, s)) for s in split]
 
     def decode(self, ids: bytes) -> str:

@@ -9,8 +9,8 @@ backslash is put behind the first character of any control string (``<|`` as wel
 other templates); ``unescape`` takes both back exactly.
 
 Defined cases: null text and null role are empty; a null conv_id is a conversation of its own; turns with the same (or a
-null) number are ordered by role and text, nulls first; repeated rows are repeated turns; an empty table gives no
-examples. An example is one row and so holds one conversation; that is its meaning, not a grouping choice.
+null) number are ordered by role and text, nulls first; repeated rows are repeated turns; very long texts stay whole;
+columns other than conv_id, turn, role and text are not looked at; an empty table gives no examples. An example is one row and so holds one conversation; that is its meaning, not a grouping choice.
 """
 
 from __future__ import annotations

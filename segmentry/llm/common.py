@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import string
-import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from segmentry.sources.files import shared_root
+
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,44 +19,30 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back: lineage ends there, lost executors reread it."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/llm/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def is_file_scan(df: DataFrame) -> bool:
-    """Whether rows come one by one from files: a scan, or columns computed from one."""
-    plan = df._jdf.queryExecution().analyzed()
-    while plan.getClass().getSimpleName() == "Project":
-        plan = plan.child()
-    return plan.getClass().getSimpleName() == "LogicalRelation"
-
-
-def with_row_key(docs: DataFrame) -> DataFrame:
+def with_row_key(docs: DataFrame, scan_only: bool = False) -> DataFrame:
     """``docs`` as (row: struct of all columns, key_file, key_row): the place of each row in its file.
 
-    Unlike doc_id this is unique even with null or repeated ids, and the same in every pass and retry.
-    What is not a plain file scan is stored first."""
-    if not is_file_scan(docs):
-        docs = stored(docs, "rows")
-    meta = docs.metadataColumn("_metadata")
-    return docs.select(
-        F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"),
-        F.xxhash64(meta.getField("file_path")).alias("key_file"),
-        meta.getField("row_index").alias("key_row"),
-    )
+    Unlike doc_id this is unique even with null or repeated ids, and the same in every pass and retry. ``scan_only`` says
+    that ``docs`` has the rows of files as they are (a scan, or columns computed from one) if it comes from files; all else
+    is stored first."""
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
+    if scan_only:
+        try:
+            meta = docs.metadataColumn("_metadata")
+            keyed = docs.select(row, F.xxhash64(meta.getField("file_path")).alias("key_file"), meta.getField("row_index").alias("key_row"))
+            keyed.schema  # noqa: B018  (resolved here)
+            return keyed
+        except AnalysisException:  # rows that are not of files have no such column
+            pass
+    return with_row_key(stored(docs, "rows"), True)
 
 
 def text_or_empty(column: Column | str = "text") -> Column:

@@ -21,7 +21,7 @@ import itertools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segmentry.llm.common import ascii_lower, stored, text_or_empty, with_row_key
+from segmentry.llm.common import ascii_lower, read, stored, text_or_empty, with_row_key
 
 BLOCK_CHARS = 4096
 KEY = ["key_file", "key_row"]
@@ -82,9 +82,9 @@ def identities(keyed: DataFrame, text: Column, block_chars: int = BLOCK_CHARS) -
     return rows.select(*KEY, "doc_id", "text_sha256", n_blocks.alias("n_blocks")).join(name, KEY, "left").fillna({"name": -1})
 
 
-def exact_groups(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def exact_groups(docs: DataFrame, block_chars: int = BLOCK_CHARS, scan_only: bool = False) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): key, doc_id, keep_id, group_size, kept, text_sha256."""
-    return _groups(with_row_key(docs), block_chars)
+    return _groups(with_row_key(docs, scan_only), block_chars)
 
 
 def _groups(keyed: DataFrame, block_chars: int) -> DataFrame:
@@ -107,17 +107,15 @@ def _groups(keyed: DataFrame, block_chars: int) -> DataFrame:
     )
 
 
-def drop_exact_copies(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def drop_exact_copies(docs: DataFrame, block_chars: int = BLOCK_CHARS, scan_only: bool = False) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    keyed = with_row_key(docs)
+    keyed = with_row_key(docs, scan_only)
     dropped = _groups(keyed, block_chars).where("not kept").select(*KEY)
     return keyed.join(dropped, KEY, "left_anti").select("row.*")
 
 
 def op10_exact_dedup(spark, sf_dir):
-    from segmentry.llm.common import read
-
-    return exact_groups(read(spark, sf_dir, "documents")).drop(*KEY)
+    return exact_groups(read(spark, sf_dir, "documents"), scan_only=True).drop(*KEY)
 
 
 ORACLE = """

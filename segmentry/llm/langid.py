@@ -6,18 +6,22 @@ at once. A text's is the product over its words (runs of letters, lower-cased),
 posterior under equal priors is predicted.
 
 Training: expectation-maximisation with the same forward pass and a backward one, over the word counts of a sample:
-at most about ``max_docs`` documents a language, taken by a hash of the id (all of them where there are fewer). Every
-document is scored, each on its whole text.
+at most about ``max_docs`` documents a language, taken by a hash of the id (all of them where there are fewer), of the
+``max_langs`` languages with the most documents (ties by name); words of more than 32 letters are not learned from. Every
+document is scored, each on its whole text and every word as a whole; words of more letters go through the same forward
+pass by themselves, rescaled as they go.
 
 Defined cases: null text, or a text without a letter, is ``und`` with score 0, as is all when no language was learned;
 ties go to the first language in order; characters outside the vocabulary are one piece of their own; null or repeated
-ids and repeated rows are scored each; rows with a null id are not learned from; an empty table gives an empty result.
+ids and repeated rows are scored each; rows with a null id are not learned from; columns other than doc_id, text and lang
+are not looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -30,9 +34,10 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from segmentry.llm.common import crc_mod, read, stored, text_or_empty
 
-MAX_DOCS, ROUNDS, SMOOTH = 5000, 3, 0.02
+MAX_DOCS, MAX_LANGS, ROUNDS, SMOOTH = 5000, 200, 3, 0.02
+#: Longer words are scored one by one and not learned from; the table of known words is emptied beyond so many.
 WORD_CHARS, BATCH_CHARS, KNOWN_WORDS = 32, 1 << 19, 300_000
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS, _NO_LETTER = re.compile(r"[^\W\d_]+"), re.compile(r"[\W\d_]")
 
 
 def default_vocabulary() -> str:
@@ -61,11 +66,11 @@ class Pieces:
             self.piece_at[nodes[piece]] = i
         self.keys = np.array(sorted(steps), np.int64)
         self.to = np.array([steps[k] for k in self.keys.tolist()], np.int64)
-        self.piece_at = np.array(self.piece_at)
+        self.piece_at, self.longest = np.array(self.piece_at), max(map(len, pieces))
 
-    def edges(self, words: list[str]) -> tuple[np.ndarray, ...]:
+    def edges(self, words: list[str], mark: str = "▁") -> tuple[np.ndarray, ...]:
         """(word, start, end, piece) of every piece in every word, by end."""
-        marked = ["▁" + w for w in words]
+        marked = [mark + w for w in words]
         sizes = np.array([len(w) for w in marked])
         chars = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).astype(np.int64)
         word = np.repeat(np.arange(len(words)), sizes)
@@ -90,16 +95,43 @@ class Pieces:
     def forward(self, words: list[str], p: np.ndarray):
         """Sums over all segmentations of each prefix: [word, chars of it, language]; and the edges."""
         word, start, end, piece = edges = self.edges(words)
-        alpha = np.zeros((len(words), WORD_CHARS + 2, p.shape[1]))
+        alpha = np.zeros((len(words), max(map(len, words), default=0) + 2, p.shape[1]))
         alpha[:, 0] = 1
         for j in range(1, end.max(initial=0) + 1):
             e = slice(*np.searchsorted(end, [j, j + 1]))
             np.add.at(alpha, (word[e], j), alpha[word[e], start[e]] * p[piece[e]])
         return alpha, edges
 
-    def score(self, words: list[str], p: np.ndarray) -> np.ndarray:
-        alpha, _ = self.forward(words, p)
-        return np.log(alpha[np.arange(len(words)), [len(w) + 1 for w in words]] + 1e-300)
+    def score(self, words: list[str], p: np.ndarray, most: int = WORD_CHARS) -> np.ndarray:
+        """Log probabilities: [word, language]."""
+        out, short = np.zeros((len(words), p.shape[1])), np.array([len(w) <= most for w in words], bool)
+        few = [w for w in words if len(w) <= most]
+        if few:
+            alpha, _ = self.forward(few, p)
+            out[short] = np.log(alpha[np.arange(len(few)), [len(w) + 1 for w in few]] + 1e-300)
+        for i in np.flatnonzero(~short):
+            out[i] = self.score_long(words[i], p)
+        return out
+
+    def score_long(self, word: str, p: np.ndarray, part: int = 4096) -> np.ndarray:
+        """The same forward pass over a word of any length, which keeps only the sums that a piece can still reach."""
+        marked, room = "▁" + word, self.longest + 1
+        alpha, log = np.zeros((room, p.shape[1])), np.zeros(p.shape[1])
+        alpha[0] = 1
+        for at in range(0, len(marked), part):
+            _, start, end, piece = self.edges([marked[at : at + part + self.longest]], mark="")
+            order = np.argsort(start, kind="stable")
+            start, end, chance = start[order], end[order], p[piece[order]]
+            cuts = np.searchsorted(start, np.arange(part + 1))
+            for j in range(min(part, len(marked) - at)):
+                e, here = slice(cuts[j], cuts[j + 1]), (at + j) % room
+                alpha[(at + end[e]) % room] += alpha[here] * chance[e]
+                alpha[here] = 0
+                if j % 8 == 0:
+                    top = alpha.max(axis=0)
+                    alpha /= top
+                    log += np.log(top)
+        return np.log(alpha[len(marked) % room] + 1e-300) + log
 
     def expected(self, words: list[str], counts: np.ndarray, p: np.ndarray) -> np.ndarray:
         """Expected uses of each piece; counts: [word, language]."""
@@ -120,23 +152,29 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def _chunks(word: str) -> list[str]:
-    return [word[i : i + WORD_CHARS] for i in range(0, len(word), WORD_CHARS)]
+def _stretches(text: str, size: int) -> Iterator[str]:
+    """Stretches of ``text`` that end before a character that is no letter."""
+    at = 0
+    while at < len(text):
+        cut = _NO_LETTER.search(text, at + size)
+        end = cut.start() if cut else len(text)
+        yield text[at:end]
+        at = end
 
 
-def train(docs: DataFrame, max_docs: int = MAX_DOCS, rounds: int = ROUNDS, path: str | None = None) -> tuple[list[str], np.ndarray]:
+def train(docs: DataFrame, max_docs: int = MAX_DOCS, rounds: int = ROUNDS, path: str | None = None, max_langs: int = MAX_LANGS) -> tuple[list[str], np.ndarray]:
     """Languages and their piece probabilities, from rows of ``docs`` (doc_id, text, lang) with a language and an id."""
     path = path or default_vocabulary()
     docs = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    # distinct languages are a short catalogue; only their names and counts come to the driver
-    n_docs = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
+    n_docs = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
     langs = sorted(n_docs)
     share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, max_docs / n_docs[lang]))]) if langs else None
     if not langs:
         return [], np.zeros((pieces(path).n, 0))
     chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)
-    token = F.regexp_extract_all(F.lower(text_or_empty()), F.lit(rf"\p{{L}}{{1,{WORD_CHARS}}}"), F.lit(0))
-    counts = stored(docs.where(chosen).select("lang", F.explode(token).alias("word")).groupBy("word", "lang").count(), "word-counts")
+    token = F.regexp_extract_all(F.lower(text_or_empty()), F.lit(r"\p{L}+"), F.lit(0))
+    tokens = docs.where(chosen).select("lang", F.explode(token).alias("word")).where(F.length("word") <= WORD_CHARS)
+    counts = stored(tokens.groupBy("word", "lang").count(), "word-counts")
     column = {lang: i for i, lang in enumerate(langs)}
     p = np.full((pieces(path).n, len(langs)), 1 / pieces(path).n)
     for _ in range(rounds):
@@ -170,16 +208,17 @@ class Scorer:
         self.forget()
 
     def forget(self):
-        self.row, self.rows = {"": 0}, np.zeros((1, self.p.shape[1]))
+        self.row, self.rows, self.chars = {"": 0}, np.zeros((1, self.p.shape[1])), 0
 
     def sums(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Log probabilities of texts, and their numbers of words."""
-        split = [[c for w in _LETTERS.findall(t.lower()) for c in (_chunks(w) if w.isalpha() else _chunks("".join(filter(str.isalpha, w))))] for t in texts]
-        if len(self.row) > KNOWN_WORDS:
+        split = [[w if w.isalpha() else "".join(filter(str.isalpha, w)) for w in _LETTERS.findall(t.lower())] for t in texts]
+        if len(self.row) > KNOWN_WORDS or self.chars > KNOWN_WORDS * WORD_CHARS:
             self.forget()
         if new := list(set().union(*split) - self.row.keys()):
             scored = [self.pieces.score(new[i : i + 5000], self.p) for i in range(0, len(new), 5000)]
             self.row.update(zip(new, range(len(self.row), len(self.row) + len(new))))
+            self.chars += sum(map(len, new))
             self.rows = np.concatenate([self.rows, *scored])
         n = np.array([len(s) for s in split])
         at = np.fromiter((self.row[w] for s in split for w in s), np.int64, n.sum())
@@ -216,9 +255,9 @@ def predict(text: Column | str, langs: list[str], p: np.ndarray, path: str | Non
 
         for row, text in enumerate(texts):
             text = text.as_py() or ""
-            for at in range(0, len(text), BATCH_CHARS):
-                group.append((row, text[at : at + BATCH_CHARS]))
-                chars += len(group[-1][1])
+            for part in _stretches(text, BATCH_CHARS):
+                group.append((row, part))
+                chars += len(part)
                 if chars >= BATCH_CHARS:
                     settle()
                     chars = 0

@@ -1,13 +1,13 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
-Every document has a 60-bit hash of its id and text. Tokens are summed by source and hash bucket (the leading 12 bits);
+Every document has a 60-bit hash of its id and text, and another of its place that parts equal rows. Tokens are summed by source and hash bucket (the leading 12 bits);
 the running sums give the bucket in which a source's budget ends, and only that bucket is summed again by its next 12
-bits, until it holds one document. The mix is then a filter ``hash < threshold``: no sort, and a smaller budget takes a
+bits, until it holds one document (the bits of the place follow those of id and text). The mix is then a filter ``hash < threshold``: no sort, and a smaller budget takes a
 subset of a larger one. Budgets beyond one pass over a source take every document once and the threshold for the rest.
 
 Defined cases: null text has size 0 and is never taken; null source is a source of its own, last in order; null and
-repeated doc_ids are allowed; rows equal in id, text and source share a hash and go together; an empty table gives an
-empty mix. Sources are a catalogue: their table (a row each) is ordered in one task; documents never are.
+repeated doc_ids are allowed; of rows equal in id and text as many are taken as the budget asks for, by their place;
+very long texts count whole; other columns of any name are kept as they are; an empty table gives an empty mix. Sources are a catalogue: their table (a row each) is ordered in one task; documents never are.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from segmentry.llm.common import read, stored, text_or_empty, words
+from segmentry.llm.common import read, stored, text_or_empty, with_row_key, words
 
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2
 HASH_BITS, STEP = 60, 12
@@ -24,10 +24,21 @@ BROADCAST_SOURCES = 50_000
 
 
 def _hash():
-    digest = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text_or_empty()))
+    digest = F.md5(F.concat_ws(":", F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")), text_or_empty(F.col("row.text"))))
     return F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
+def _hashed(keyed: DataFrame, *columns) -> DataFrame:
+    tie = F.xxhash64("key_file", "key_row").bitwiseAND(F.lit((1 << HASH_BITS) - 1))
+    return keyed.select(*columns, F.col("row.source").alias("source"), _hash().alias("hash"), tie.alias("tie"))
+
+
+def _prefix(steps: int):
+    """The first ``steps`` digits of 12 bits, in two columns: those of the hash, then those of the tie."""
+    shift = 2 * HASH_BITS - STEP * steps
+    return F.shiftright("hash", max(shift - HASH_BITS, 0)), F.shiftright("tie", min(shift, HASH_BITS))
+
+
 def _small(sources: DataFrame) -> DataFrame:
     return F.broadcast(sources) if sources.count() <= BROADCAST_SOURCES else sources
 
@@ -57,79 +68,81 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float
     )
 
 
-def _refined(sized: DataFrame, edge: DataFrame, shift: int) -> DataFrame:
-    """The bucket of ``shift`` low bits in which each source's budget ends."""
-    inside = _by_source(sized, _small(edge.select("source", "rest", "below", "prefix")))
-    if shift < HASH_BITS - STEP:
-        inside = inside.where(F.shiftright("hash", shift + STEP) == F.col("prefix"))
-    bucket = F.shiftright("hash", shift)
-    sums = inside.groupBy("source", bucket.alias("prefix")).agg(
+def _refined(sized: DataFrame, edge: DataFrame, steps: int) -> DataFrame:
+    """The bucket of ``steps`` digits in which each source's budget ends; ``edge`` has that of one digit less."""
+    inside = _by_source(sized, _small(edge.select("source", "rest", "below", "first", "second")))
+    first, second = _prefix(steps - 1)
+    inside = inside.where((first == F.col("first")) & (second == F.col("second")))
+    first, second = _prefix(steps)
+    sums = inside.groupBy("source", first.alias("first"), second.alias("second")).agg(
         F.sum("size").alias("mass"), F.sum((F.col("size") > 0).cast("long")).alias("n"),
         F.first("rest").alias("rest"), F.first("below").alias("start"),
     )
-    running = F.col("start") + F.sum("mass").over(Window.partitionBy("source").orderBy("prefix"))
+    # a source has at most 4,096 rows here
+    running = F.col("start") + F.sum("mass").over(Window.partitionBy("source").orderBy("first", "second"))
     return (
         sums.withColumn("upto", running)
         .where((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("mass") <= F.col("rest")))
-        .select("source", "rest", (F.col("upto") - F.col("mass")).alias("below"), "prefix", "mass", "n")
+        .select("source", "rest", (F.col("upto") - F.col("mass")).alias("below"), "first", "second", "mass", "n")
     )
 
 
 def thresholds(sized: DataFrame, budgets: DataFrame) -> tuple[DataFrame, int]:
-    """Per source: full passes, and the prefix (of the hash without its low ``shift`` bits) where the rest ends."""
+    """Per source: full passes, and the digits (their number is given beside) where the rest of the budget ends."""
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     budgets = budgets.withColumn("passes", passes.cast("long"))
-    edge = budgets.select("source", (F.col("target") - F.col("passes") * F.col("source_size")).alias("rest"), F.lit(0).cast("long").alias("below"), F.lit(0).cast("long").alias("prefix"))
-    for shift in range(HASH_BITS - STEP, -1, -STEP):
-        edge = stored(_refined(sized, edge, shift), "edge")
+    zero = F.lit(0).cast("long")
+    edge = budgets.select("source", (F.col("target") - F.col("passes") * F.col("source_size")).alias("rest"), zero.alias("below"), zero.alias("first"), zero.alias("second"))
+    for steps in range(1, 2 * HASH_BITS // STEP + 1):
+        edge = stored(_refined(sized, edge, steps), "edge")
         if (edge.agg(F.max("n")).first()[0] or 0) <= 1:
             break
     left = F.col("rest") - F.col("below")
-    edge = edge.select("source", "prefix", (F.col("mass") - left <= left).alias("takes_edge"))
-    return _by_source(budgets, edge.withColumnRenamed("prefix", "edge"), "left"), shift
+    edge = edge.select("source", F.col("first").alias("edge"), F.col("second").alias("edge_tie"), (F.col("mass") - left <= left).alias("takes_edge"))
+    return _by_source(budgets, edge, "left"), steps
 
 
-def _taken(sized: DataFrame, limits: DataFrame, shift: int) -> DataFrame:
-    prefix = F.shiftright("hash", shift)
-    once_more = (prefix < F.col("edge")) | ((prefix == F.col("edge")) & F.col("takes_edge"))
+def _taken(hashed: DataFrame, limits: DataFrame, steps: int) -> DataFrame:
+    first, second = _prefix(steps)
+    at_edge = (second < F.col("edge_tie")) | ((second == F.col("edge_tie")) & F.col("takes_edge"))
+    once_more = (first < F.col("edge")) | ((first == F.col("edge")) & at_edge)
     times = F.col("passes") + F.coalesce(once_more, F.lit(False)).cast("long")
-    return _by_source(sized, _small(limits)).withColumn("times", times)
+    return _by_source(hashed, _small(limits)).withColumn("times", times)
 
 
-def _limits(docs: DataFrame, weights, share, cap) -> tuple[DataFrame, DataFrame, int]:
-    sized = stored(
-        docs.select("doc_id", "source", F.size(words(text_or_empty())).cast("long").alias("size"), _hash().alias("hash")), "sized"
-    )
+def _limits(keyed: DataFrame, weights, share, cap) -> tuple[DataFrame, DataFrame, int]:
+    size = F.size(words(text_or_empty(F.col("row.text")))).cast("long").alias("size")
+    sized = stored(_hashed(keyed, F.col("row.doc_id").alias("doc_id"), size), "sized")
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     budgets = stored(targets(sizes, weights, share, cap), "targets")
-    limits, shift = thresholds(sized, budgets)
-    return sized, stored(limits, "limits"), shift
+    limits, steps = thresholds(sized, budgets)
+    return sized, stored(limits, "limits"), steps
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, scan_only: bool = False) -> DataFrame:
     """(doc_id, source, size, source_size, target, times, taken) for every row of ``docs`` (doc_id, text, source)."""
-    sized, limits, shift = _limits(docs, weights, share, cap)
-    return _taken(sized, limits, shift).select(
+    keyed = with_row_key(docs.select("doc_id", "text", "source"), scan_only)
+    sized, limits, steps = _limits(keyed, weights, share, cap)
+    return _taken(sized, limits, steps).select(
         "doc_id", "source", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken")
     )
 
 
-def mixed_rows(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+def mixed_rows(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, scan_only: bool = False) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with all their columns."""
-    _, limits, shift = _limits(docs, weights, share, cap)
-    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
-    hashed = docs.select(row.alias("row"), docs["source"].alias("source"), _hash().alias("hash"))
-    taken = _taken(hashed, limits, shift).where("times > 0")
+    keyed = with_row_key(docs, scan_only)
+    _, limits, steps = _limits(keyed, weights, share, cap)
+    taken = _taken(_hashed(keyed, "row"), limits, steps).where("times > 0")
     return taken.select("row", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int"))).alias("copy")).select("row.*")
 
 
 def op1_mix_sources(spark, sf_dir):
-    return mix(read(spark, sf_dir, "documents")).drop("times", "source")
+    return mix(read(spark, sf_dir, "documents"), scan_only=True).drop("times", "source")
 
 
 ORACLE = r"""
 with d as (
-  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
+  select row_number() over () as r, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
          ('0x' || substr(md5(coalesce(cast(doc_id as varchar), '') || ':' || coalesce(text, '')), 1, 15))::bigint as h
   from documents),
 s as (select source, sum(size)::bigint as source_size from d group by source),
@@ -141,11 +154,10 @@ l as (select *, (sum(source_size) over () * 1.5::double
              row_number() over (order by most / weight, source nulls last) as place from w),
 t as (select source, source_size, least(most, coalesce((select arg_min(level, place) from l where level * weight <= most) * weight, most)) as target from l),
 b as (select *, case when source_size > 0 then floor(target / source_size)::bigint else 0 end as passes from t),
-g as (select source, h, sum(size) as mass from d group by source, h),
-c as (select g.*, b.target - b.passes * b.source_size as rest, sum(mass) over (partition by g.source order by h) - mass as below
-      from g join b on g.source is not distinct from b.source),
-x as (select source, h, (below + mass <= rest or (below <= rest and mass - (rest - below) <= rest - below))::bigint as more from c)
-select d.doc_id, d.size, b.source_size, b.target, ((b.passes + x.more) * d.size)::bigint as taken
-from d join b on d.source is not distinct from b.source
-       join x on d.source is not distinct from x.source and d.h = x.h
+c as (select d.*, b.source_size, b.target, b.passes, b.target - b.passes * b.source_size as rest,
+             sum(size) over (partition by d.source order by h, r rows unbounded preceding) - size as below
+      from d join b on d.source is not distinct from b.source)
+select doc_id, size, source_size, target,
+       ((passes + (below + size <= rest or (below <= rest and size - (rest - below) <= rest - below))::bigint) * size)::bigint as taken
+from c
 """

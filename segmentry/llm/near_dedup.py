@@ -1,13 +1,15 @@
 """SimHash near duplicates, paired by a vantage-point tree over Hamming distance.
 
 Fingerprint: the bit majority of XXH64 (seed 42) over a text's shingles of three words. Rows of one fingerprint are one
-class, so copies never meet each other. Classes go into a tree of a few levels. Each level has a vantage point (a
-fingerprint of the data) and a run of bits of its own; a class goes to the child of its Hamming distance to the vantage
-point within those bits, and the path of distances names its shard. By the triangle inequality the distances of two
-classes at a level differ by no more than their own distance within that level's bits, and as the runs are disjoint all
-these differences together are at most the radius. So a class queries its own shard and the overlapping ones whose
-paths differ by at most the radius in sum (one of each two directions), and every other branch is pruned. Each meeting
-in a shard is verified on all 64 bits. The number of levels follows from the number of classes, so shards stay small.
+class, so copies never meet each other. Classes go into a tree: every node of more than a shard's classes has a vantage
+point of its own, one of its classes, and deals the others to children by their Hamming distance to it within the level's
+eight bits. A shard that is still too large is split again by the next level, so dense regions get deeper branches.
+
+By the triangle inequality the distances of two classes to a vantage point differ by no more than their own distance
+within the level's bits. As the levels' bits are disjoint, these differences along a path are together at most the
+radius: a class goes down into every child whose distance still fits into what is left of the radius, and all other
+branches are pruned. (With whole distances each level would only be bounded by the radius itself, and far more branches
+would be left.) Each meeting in a shard is verified on all 64 bits, so no pair is lost and none is wrong.
 
 Linked classes become components by minimum labels that are passed over links to both ends and to their labels, then
 shortened (labels of labels), until no link joins two labels.
@@ -19,8 +21,6 @@ table gives an empty result. Long texts are hashed in pieces, all of their shing
 
 from __future__ import annotations
 
-import itertools
-import math
 import re
 from collections.abc import Iterator
 from functools import partial
@@ -28,15 +28,17 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from segmentry.llm.common import read, stored, with_row_key
 
 SHINGLE, RADIUS, BITS = 3, 2, 64
-#: Classes that a class meets in a shard, about; more levels are used to keep to it.
-SHARD_CLASSES = 128
+#: A node of more classes is split, while bits are left (eight levels of eight bits).
+SHARD_CLASSES, WIDTH = 128, 8
+#: A level's vantage points (16 bytes each) are broadcast up to so many; more are joined by shuffle.
+BROADCAST_NODES = 200_000
 PIECE_BYTES = 1 << 20
 _SPACE = re.compile(rb"[ \t-\r]")
 
@@ -85,48 +87,64 @@ def fingerprints(keyed: DataFrame) -> DataFrame:
     return keyed.select("doc_id", "key_file", "key_row", _simhash("text").alias("print"))
 
 
-def levels(classes: int, aim: int = SHARD_CLASSES) -> int:
-    """The fewest tree levels for which a class of random bits meets about ``aim`` classes in a shard."""
-    for m in range(1, 17):
-        b = BITS // m
-        if classes * (math.comb(2 * b, b) / 4**b) ** m <= aim:
-            return m
-    return 16
+def _small(nodes: DataFrame) -> DataFrame:
+    return F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes
+
+
+def _ring(point: Column, level: int) -> Column:
+    """Hamming distance to the vantage point within the level's bits."""
+    mask = ((1 << WIDTH) - 1) << WIDTH * level
+    mask -= (mask >> 63) << 64
+    return F.bit_count(point.bitwiseXOR(F.col("vantage")).bitwiseAND(F.lit(mask)))
+
+
+def _child(ring: Column) -> Column:
+    """A node's name is its path: a digit of four bits (1 + ring) for each level."""
+    return F.shiftleft("node", 4).bitwiseOR((ring + 1).cast("long"))
+
+
+def tree(classes: DataFrame, aim: int = SHARD_CLASSES) -> tuple[DataFrame, list[DataFrame]]:
+    """(print, node: its shard) of all ``classes`` (print, distinct), and (node, vantage) of the nodes split at each level."""
+    placed, splits = classes.select("print", F.lit(0).cast("long").alias("node")), []
+    point = F.min(F.struct(F.xxhash64("print"), "print"))["print"]
+    for level in range(BITS // WIDTH):
+        sizes = placed.groupBy("node").agg(F.count(F.lit(1)).alias("n"), point.alias("vantage"))
+        found = stored(sizes.where(F.col("n") > aim).select("node", "vantage"), "vantage-points")
+        if found.isEmpty():
+            break
+        splits.append(found)
+        ring = _ring(F.col("print"), level)
+        placed = placed.join(_small(found), "node", "left").select("print", F.when(F.col("vantage").isNull(), F.col("node")).otherwise(_child(ring)).alias("node"))
+        placed = stored(placed, "shards")
+    return placed, splits
+
 
+def _asks(classes: DataFrame, splits: list[DataFrame], radius: int) -> DataFrame:
+    """(a, node, apart): the shards that a class has to look into, its own one with apart false.
 
-def _probes(m: int, radius: int) -> list[tuple[int, ...]]:
-    """Differences of paths of at most ``radius`` in sum, one of each two opposite ones."""
-    found = {(0,) * m}
-    for spots in itertools.combinations_with_replacement(range(m), radius):
-        for signs in itertools.product((-1, 0, 1), repeat=radius):
-            step = [0] * m
-            for spot, sign in zip(spots, signs):
-                step[spot] += sign
-            found.add(tuple(step))
-    return sorted(s for s in found if s >= (0,) * m)
+    ``left`` is what remains of the radius. Until a path leaves the class's own one, it may only leave it outwards, so of
+    two classes one looks for the other."""
+    asks = classes.select(F.col("print").alias("a"), F.lit(0).cast("long").alias("node"), F.lit(radius).alias("left"), F.lit(False).alias("apart"))
+    for level, split in enumerate(splits):
+        at = asks.join(_small(split), "node", "left").withColumn("ring", _ring(F.col("a"), level))
+        first = F.when(F.col("apart"), F.greatest(-F.col("left"), -F.col("ring"))).otherwise(0)
+        steps = F.when(F.col("vantage").isNull(), F.array(F.lit(0))).otherwise(F.sequence(first, F.greatest(first, F.least(F.col("left"), WIDTH - F.col("ring")))))
+        at = at.withColumn("step", F.explode(steps))
+        asks = at.select(
+            "a",
+            F.when(F.col("vantage").isNull(), F.col("node")).otherwise(_child(F.col("ring") + F.col("step"))).alias("node"),
+            (F.col("left") - F.abs("step")).alias("left"),
+            (F.col("apart") | (F.col("step") != 0)).alias("apart"),
+        )
+    return asks.select("a", "node", "apart")
 
 
 def links(classes: DataFrame, radius: int = RADIUS, aim: int = SHARD_CLASSES) -> DataFrame:
     """(a, b) for every two prints of ``classes`` (print, distinct) that differ in 1 to ``radius`` bits."""
-    m = levels(classes.count(), aim)
-    vantage = [r[0] for r in classes.orderBy(F.xxhash64("print"), "print").limit(m).collect()] or [0]
-    bits = BITS // m
-    radix = bits + 1 + (BITS - bits * m) + 2 * radius  # room for steps beyond the nearest and farthest child
-    path = F.lit(0).cast("long")
-    for level in range(m):
-        top = BITS if level == m - 1 else bits * (level + 1)
-        mask = (1 << top) - (1 << bits * level)
-        mask -= (mask >> 63) << 64
-        distance = F.bit_count(F.col("print").bitwiseXOR(F.lit(vantage[level % len(vantage)])).bitwiseAND(F.lit(mask)))
-        path += (distance + radius) * F.lit(radix**level)
-    placed = classes.select("print", path.alias("shard"))
-    steps = [F.lit(sum(s * radix**level for level, s in enumerate(step))).cast("long") for step in _probes(m, radius)]
-    asks = placed.select(F.col("print").alias("a"), F.explode(F.array(*steps)).alias("step"), "shard")
-    asks = asks.select("a", "step", (F.col("shard") + F.col("step")).alias("shard"))
+    placed, splits = tree(classes, aim)
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
-    once = (F.col("step") != 0) | (F.col("a") < F.col("b"))
-    met = asks.join(placed.withColumnRenamed("print", "b"), "shard")
-    return met.where(near & once).select("a", "b")
+    met = _asks(classes, splits, radius).join(placed.withColumnRenamed("print", "b"), "node")
+    return met.where(near & (F.col("apart") | (F.col("a") < F.col("b")))).select("a", "b")
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -147,15 +165,16 @@ def components(pairs: DataFrame) -> DataFrame:
             return labels
 
 
-def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def near_groups(docs: DataFrame, radius: int = RADIUS, scan_only: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, key, print, component_id, label (the component's smallest print)."""
-    return _groups(with_row_key(docs), radius)
+    return _groups(with_row_key(docs, scan_only), radius)
 
 
 def _groups(keyed: DataFrame, radius: int) -> DataFrame:
     known = stored(fingerprints(keyed), "prints")
     classes = stored(known.groupBy("print").agg(F.min("doc_id").alias("first_id")), "classes")
-    return placed_rows(known, classes, components(links(classes.select("print"), radius)))
+    linked = stored(links(classes.select("print"), radius), "near-links")
+    return placed_rows(known, classes, components(linked))
 
 
 def placed_rows(known: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
@@ -167,9 +186,9 @@ def placed_rows(known: DataFrame, classes: DataFrame, labels: DataFrame) -> Data
     return known.join(places, "print").select("doc_id", "key_file", "key_row", "print", "component_id", "label")
 
 
-def drop_near_copies(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def drop_near_copies(docs: DataFrame, radius: int = RADIUS, scan_only: bool = False) -> DataFrame:
     """One row of each component stays: the one with the smallest doc_id, then the smallest row key."""
-    keyed = with_row_key(docs)
+    keyed = with_row_key(docs, scan_only)
     return keep_first(keyed, stored(_groups(keyed, radius), "near-groups"))
 
 
@@ -182,5 +201,5 @@ def keep_first(keyed: DataFrame, grouped: DataFrame) -> DataFrame:
 
 
 def op7_near_dedup(spark, sf_dir):
-    grouped = near_groups(read(spark, sf_dir, "documents"))
+    grouped = near_groups(read(spark, sf_dir, "documents"), scan_only=True)
     return grouped.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")

@@ -12,7 +12,9 @@ Positions are code points: texts are split at the matches of a pattern, and leng
 patterns are written so that Java scans them in linear time with the meaning of the plain ones.
 
 Defined cases: null text counts as empty; no candidates give empty results; null or repeated ids and repeated rows are
-worked on row by row (nothing is joined); an empty table gives an empty result.
+worked on row by row (nothing is joined); very long texts are searched whole; spans that begin at one place stand by kind
+and are all told; a probability equal to ``least`` is enough; columns other than doc_id and text are not looked at; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -7,14 +7,16 @@ bins gives the calibrated score.
 
 Only numbers travel: statistics and labels are joined, texts are never shuffled.
 
-Defined cases: null and empty texts have all statistics zero and are scored like any other; null or repeated ids are
-scored each and null ids never train; several labels of one id are averaged; without labels all scores are 0.5; an empty
-table gives an empty result.
+Defined cases: null and empty texts have all statistics zero and are scored like any other; very long texts are counted
+whole, piece by piece (a task holds their distinct words and lines); null or repeated ids are scored each and null ids
+never train; several labels of one id are averaged; rows of equal statistics get equal scores; without labels all scores
+are 0.5; columns other than doc_id and text, whatever their names, are not looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,27 +29,40 @@ from segmentry.llm.common import crc_mod, read, stored
 
 DIRECTIONS, WIDTH, RIDGE, BINS, SEED = 128, 4.0, 1.0, 400, 7
 PIECE_BYTES = 1 << 20
-_CUT = re.compile(rb"[\n ]")
+_SPACE, _LINE = re.compile(rb"[ \t-\r]"), re.compile(rb"\n")
 N_STATS = 13
 _KINDS = [bytes(range(65, 91)), bytes(range(97, 123)), b"0123456789", b"#*$%&|<>", b"!", b".,;:?", b"\n", bytes(range(128, 256)), b"|"]
 _CLASS = np.stack([np.isin(np.arange(256), list(kind)) for kind in _KINDS]).astype(np.float64)
 
 
-def statistics(text: bytes) -> np.ndarray:
-    """Statistics of a whole text; long texts are counted in pieces, whose word and line repeats are summed."""
-    if not text:
-        return np.zeros(N_STATS)
-    n_words = distinct = doubled = lines = repeated = 0
+def _pieces(text: bytes, cut: re.Pattern, size: int) -> Iterator[bytes]:
+    """Stretches of ``text`` that end before a match of ``cut``."""
     at = 0
     while at < len(text):
-        cut = _CUT.search(text, at + PIECE_BYTES)
-        end = cut.start() if cut else len(text)
-        words = text[at:end].split()
-        rows = [x for x in text[at:end].split(b"\n") if x]
-        n_words, distinct, lines = n_words + len(words), distinct + len(set(words)), lines + len(rows)
-        repeated += len(rows) - len(set(rows))
-        doubled += sum(map(bytes.__eq__, words, words[1:]))
+        found = cut.search(text, at + size)
+        end = found.start() if found else len(text)
+        yield text[at:end]
         at = end
+
+
+def statistics(text: bytes, piece: int = PIECE_BYTES) -> np.ndarray:
+    """Statistics of a whole text; it is read in pieces that end between words or lines, which does not change them."""
+    if not text:
+        return np.zeros(N_STATS)
+    n_words = doubled = lines = 0
+    seen, seen_lines, last = set(), set(), None
+    for part in _pieces(text, _SPACE, piece):
+        words = part.split()
+        if words:
+            n_words += len(words)
+            doubled += (words[0] == last) + sum(map(bytes.__eq__, words, words[1:]))
+            seen.update(words)
+            last = words[-1]
+    for part in _pieces(text, _LINE, piece):
+        rows = [x for x in part.split(b"\n") if x]
+        lines += len(rows)
+        seen_lines.update(rows)
+    distinct, repeated = len(seen), lines - len(seen_lines)
     upper, lower, digit, symbol, shout, stop, line, wide, bar = _CLASS @ np.bincount(np.frombuffer(text, np.uint8), minlength=256)
     n, w = len(text), max(n_words, 1)
     return np.array([

@@ -1,11 +1,15 @@
 import pytest
 
+#: Names that the operators use inside.
+CLASHING = "size row key_file key_row print label name hash tie target source_size start terms node stats fold w h l t".split()
+
 
 @pytest.fixture(scope="session")
 def make(spark):
     def make(rows):
-        """Documents with a clashing extra column; rows: (doc_id, text, lang, source)."""
-        return spark.createDataFrame([(*r, len(r[1] or ""), i) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, size long")
+        """Documents with extra columns of clashing names; rows: (doc_id, text, lang, source)."""
+        extra = ", ".join(f"`{name}` long" for name in CLASHING)
+        return spark.createDataFrame([(*r, len(r[1] or ""), *[i] * len(CLASHING)) for i, r in enumerate(rows)], f"doc_id long, text string, lang string, source string, n_chars long, {extra}")
 
     return make
 
