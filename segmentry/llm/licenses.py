@@ -2,13 +2,13 @@
 
 A text is a sequence of terms (line ends and comment signs are none), so wrapped notices are found like single lines. A
 span of a template's own number of terms is laid wherever a telling term of the template stands in the text, at the place
-that the term has in the template, and compared with it: cosine of term counts times inverse document frequency. What
+that the term has in the template, and compared with it: cosine of (1 + ln count) times inverse document frequency. What
 surrounds a span does not enter its cosine. Spans of long templates begin at multiples of an eighth of their length.
 
 Document frequencies are counted over all texts for all terms. Telling terms are the heaviest of a template, as many as
 leave less than ``least`` squared of its squared length to the others; so by the Cauchy-Schwarz inequality a span without
-one cannot reach ``least``, and the same bound gives the fewest template terms a span must hold. Texts are read in
-overlapping stretches of terms, so a text's length does not matter.
+one cannot reach ``least``, and the same bound gives the squared weight that a span's template terms must have. Texts are
+read in overlapping stretches of terms, so a text's length does not matter.
 
 A file's own licence is the one of its best span from ``least`` on (ties: by name). Files without one inherit from the
 nearest ancestor directory with a licence file (LICENSE, LICENCE, COPYING, NOTICE): each distinct directory is joined by
@@ -116,20 +116,19 @@ def inverse(n: int, df: float) -> float:
 
 
 class Template:
-    """A template's terms, the weights of its distinct ones, its telling terms and the fewest terms a span shares with it."""
+    """A template's terms, the weights of its distinct ones, its telling terms and the squared weight a span must share."""
 
     def __init__(self, name: str, text: str, idf: dict[str, float], least: float):
         self.name, self.terms = name, re.findall(_TERM, text.lower())
         self.stride = max(1, len(self.terms) // 8)
         counts = Counter(self.terms)
-        self.weights = {t: n * idf[t] for t, n in counts.items()}
+        self.weights = {t: (1 + math.log(n)) * idf[t] for t, n in counts.items()}
         self.size = math.sqrt(sum(w * w for w in self.weights.values()))
         heavy = sorted(counts, key=lambda t: (-self.weights[t], t))
-        # what is left without the first i of them, and what the first i have
+        # what is left without the first i of them
         left = [sum(self.weights[t] ** 2 for t in heavy[i:]) for i in range(len(heavy) + 1)]
-        need = (least * self.size) ** 2 * (1 - 1e-9)
-        self.telling = heavy[: next(i for i, x in enumerate(left) if x < need)]
-        self.fewest = next(i for i, x in enumerate(left) if self.size**2 - x >= need)
+        self.need = (least * self.size) ** 2 * (1 - 1e-9)
+        self.telling = heavy[: next(i for i, x in enumerate(left) if x < self.need)]
 
     def places(self, term: str) -> list[int]:
         return [i for i, t in enumerate(self.terms) if t == term]
@@ -154,8 +153,9 @@ def _spans(texts: DataFrame, given: list[Template]) -> DataFrame:
             at.setdefault(term, []).extend((i, place) for place in template.places(term))
     telling = sorted(at)
     numbers = lambda of: F.array(*[F.lit(of(t)) for t in given])
-    sizes, strides, fewest = numbers(lambda t: len(t.terms)), numbers(lambda t: t.stride), numbers(lambda t: t.fewest)
+    sizes, strides, need = numbers(lambda t: len(t.terms)), numbers(lambda t: t.stride), numbers(lambda t: t.need)
     words = F.array(*[F.array(*map(F.lit, sorted(t.weights))) for t in given])
+    squares = F.array(*[F.create_map(*[F.lit(x) for t in sorted(own.weights) for x in (t, own.weights[t] ** 2)]) for own in given])
     layout = F.array(*[F.array(*[F.struct(F.lit(i).alias("template"), F.lit(p).alias("place")) for i, p in at[t]]) for t in telling])
 
     hinted = texts.where(F.arrays_overlap("terms", F.array(*map(F.lit, telling))))
@@ -171,7 +171,8 @@ def _spans(texts: DataFrame, given: list[Template]) -> DataFrame:
     inside = lambda x: (x["start"] >= F.col("base")) & (x["start"] < F.col("base") + STRETCH)
     spans = stretches.select("key_file", "key_row", "base", "terms", F.explode(F.array_distinct(F.filter(F.flatten(F.transform(hits, laid)), inside))).alias("x"))
     spans = spans.select("key_file", "key_row", "x.*", F.slice("terms", F.col("x.start") - F.col("base") + 1, F.get(sizes, F.col("x.template"))).alias("terms"))
-    return spans.where(F.size(F.array_intersect("terms", F.get(words, F.col("template")))) >= F.get(fewest, F.col("template")))
+    shared = F.transform(F.array_intersect("terms", F.get(words, F.col("template"))), lambda t: F.get(squares, F.col("template"))[t])
+    return spans.where(F.aggregate(shared, F.lit(0.0), lambda a, x: a + x) >= F.get(need, F.col("template")))
 
 
 def _floor(value: Column, step: Column) -> Column:
@@ -192,7 +193,7 @@ def matches(keyed: DataFrame, least: float = LEAST, texts=None) -> DataFrame:
     rows = [(i, term, w / t.size) for i, t in enumerate(given) for term, w in t.weights.items()]
     weights = keyed.sparkSession.createDataFrame(rows, "template int, term string, weight double")  # of fixed size
     idf = F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1
-    weighed = tf.join(frequencies, "term").join(F.broadcast(weights), ["template", "term"], "left").select(*span, (F.col("n") * idf).alias("own"), F.coalesce("weight", F.lit(0.0)).alias("weight"))
+    weighed = tf.join(frequencies, "term").join(F.broadcast(weights), ["template", "term"], "left").select(*span, ((1 + F.log("n")) * idf).alias("own"), F.coalesce("weight", F.lit(0.0)).alias("weight"))
     scored = weighed.groupBy(*span).agg((F.sum(F.col("own") * F.col("weight")) / F.sqrt(F.sum(F.col("own") * F.col("own")))).alias("score"))
     names = F.array(*[F.lit(t.name) for t in given])
     found = scored.select("key_file", "key_row", F.get(names, F.col("template")).alias("license"), F.round("score", 6).alias("score")).where(F.col("score") >= least)

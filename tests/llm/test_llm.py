@@ -439,8 +439,8 @@ def test_license_cosine_by_brute_force(spark):
             starts = {max(at - place, 0) // own.stride * own.stride for at, t in enumerate(w) if t in own.telling for place in own.places(t)}
             for s in starts:
                 counts = Counter(w[s : s + len(own.terms)])
-                size = math.sqrt(sum((n * idf[t]) ** 2 for t, n in counts.items()))
-                score = round(sum(n * idf[t] * own.weights.get(t, 0) for t, n in counts.items()) / size / own.size, 6)
+                size = math.sqrt(sum(((1 + math.log(n)) * idf[t]) ** 2 for t, n in counts.items()))
+                score = round(sum((1 + math.log(n)) * idf[t] * own.weights.get(t, 0) for t, n in counts.items()) / size / own.size, 6)
                 if score >= licenses.LEAST:
                     best[i] = min(best.get(i, (0, "")), (-score, name))
     got = {r["doc_id"]: (-r["score"], r["own_license"]) for r in licenses.scan(df).collect() if r["own_license"]}
