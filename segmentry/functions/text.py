@@ -4,6 +4,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: White space as trim functions of other languages have it; F.trim takes blanks only.
+WHITE = r"\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+def strip(c: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(c, rf"^[{WHITE}]+|[{WHITE}]+$", "")
+
+
 def clip_id(video: Column, start: Column, end: Column) -> Column:
     return F.concat_ws("_", video, F.translate(start, ":.", "--"), F.translate(end, ":.", "--"))
 
@@ -20,9 +29,10 @@ def media_path(video_id: Column, base: str = "media") -> Column:
 
 def parse_fps(text: Column) -> Column:
     """``Video: ..., N fps`` or ``N/D fps`` first, else the first ``x.y fps``; null if absent or D is 0."""
-    pattern = r"Video:.*?,\s*([0-9]+(?:\.[0-9]+)?)(?:/([0-9]+))?\s*fps"
+    number = r"([0-9]+(?:\.[0-9]+)?)"
+    pattern = rf"(?i)video:[^\n]*?[ ,]{number}(?:/([0-9]+))? *fps"
     n, d = F.regexp_extract(text, pattern, 1), F.regexp_extract(text, pattern, 2)
-    loose = F.regexp_extract(text, r"([0-9]+(?:\.[0-9]+)?)\s*fps", 1)
+    loose = F.regexp_extract(text, rf"(?i){number} *fps", 1)
     ratio = F.try_divide(n.try_cast("double"), F.when(d == "", F.lit(1.0)).otherwise(d.try_cast("double")))
     return F.when(n != "", ratio).otherwise(loose.try_cast("double"))
 

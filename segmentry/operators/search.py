@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -10,10 +12,8 @@ from pyspark.sql import functions as F
 from segmentry.functions.text import tokens
 from segmentry.functions.vectors import inner_product, l2_normalize, sq_l2
 
-#: Queries that are held in each task at once; larger batches are answered block by block.
-QUERY_BLOCK = 4096
-#: Batches of up to so many queries are broadcast (164 MB at 1,024 dimensions); larger ones meet the corpus by partitions.
-MAX_BATCH = 20_000
+#: Query vectors (8 kB each at 1,024 dimensions) that are sent to the tasks at once; more go block by block.
+BLOCK = 4096
 
 
 def top_k(scored: DataFrame, k, score: str = "score", ascending: bool = False) -> DataFrame:
@@ -22,47 +22,63 @@ def top_k(scored: DataFrame, k, score: str = "score", ascending: bool = False) -
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(order, "id"))).where(F.col("rank") <= k)
 
 
-def scores(corpus: DataFrame, queries: DataFrame, k: int | None = None, metric: str = "ip", normalize: bool = True, max_batch: int = MAX_BATCH) -> DataFrame:
-    """(query_id, id, score): ``corpus`` (id, vec), ``queries`` (query_id, vec), a batch; all rows, or the best ``k`` a
-    query of each block of the corpus.
-
-    Each task multiplies its blocks of the corpus with the query batch; nothing is shuffled. A batch over ``max_batch``
-    is never collected: its partitions meet those of the corpus and every score is given."""
-    if queries.count() > max_batch:
-        fit = l2_normalize if normalize and metric == "ip" else F.col
-        pairs = corpus.select("id", fit("vec").alias("vec")).join(queries.select("query_id", fit("vec").alias("q")), F.lit(True))
-        return pairs.select("query_id", "id", F.round((inner_product if metric == "ip" else sq_l2)("q", "vec"), 6).alias("score"))
-    batch = queries.toPandas().sort_values("query_id").reset_index(drop=True)
-    if batch.empty:
-        return corpus.sparkSession.createDataFrame([], "query_id long, id long, score double")
+def _by_blocks(corpus: DataFrame, queries: DataFrame, metric: str, normalize: bool, block: int, each, schema: str) -> DataFrame:
+    """``each(query ids, corpus ids, scores)`` for every arrow batch of ``corpus`` (id, vec) and block of ``queries``.
+
+    Blocks are cut by a hash of query_id, so one of them is about ``block`` vectors at any number of queries; each is
+    broadcast and multiplied with the corpus where that lies, and nothing is shuffled."""
     unit = normalize and metric == "ip"
 
     def scaled(m: np.ndarray) -> np.ndarray:
         size = np.linalg.norm(m, axis=1, keepdims=True)
         return m / np.where(size == 0, 1, size) if unit else m
 
-    ids, matrix = batch["query_id"].to_numpy(), scaled(np.stack(batch["vec"]).astype(np.float64))
-    given = corpus.sparkSession.sparkContext.broadcast((ids, matrix))
-
-    def local(batches):
-        names, q = given.value
-        for rows in batches:
-            if rows.empty:
-                continue
-            c, name = scaled(np.stack(rows["vec"]).astype(np.float64)), rows["id"].to_numpy()
-            for at in range(0, len(q), QUERY_BLOCK):
-                part = q[at : at + QUERY_BLOCK]
-                dots = part @ c.T
-                score = dots if metric == "ip" else (part**2).sum(1)[:, None] - 2 * dots + (c**2).sum(1)[None]
-                score = np.round(score, 6)
-                if k is None:
-                    best = np.broadcast_to(np.arange(len(name)), score.shape)
-                else:
-                    best = np.lexsort((np.broadcast_to(name, score.shape), -score if metric == "ip" else score), axis=1)[:, :k]
-                row = np.repeat(np.arange(len(part)), best.shape[1])
-                yield pd.DataFrame({"query_id": names[at : at + QUERY_BLOCK][row], "id": name[best.ravel()], "score": score[row, best.ravel()] + 0.0})
-
-    return corpus.select("id", "vec").mapInPandas(local, "query_id long, id long, score double")
+    def part_of(n: int, blocks: int) -> DataFrame | None:
+        batch = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).toPandas().sort_values("query_id")
+        if batch.empty:
+            return None
+        given = corpus.sparkSession.sparkContext.broadcast((batch["query_id"].to_numpy(), scaled(np.stack(batch["vec"]).astype(np.float64))))
+
+        def local(batches):
+            names, q = given.value
+            for rows in batches:
+                if not rows.empty:
+                    c = scaled(np.stack(rows["vec"]).astype(np.float64))
+                    score = q @ c.T
+                    if metric != "ip":
+                        score = (q**2).sum(1)[:, None] - 2 * score + (c**2).sum(1)[None]
+                    yield each(names, rows["id"].to_numpy(), np.round(score, 6) + 0.0)
+
+        return corpus.select("id", "vec").mapInPandas(local, schema)
+
+    blocks = -(-queries.count() // block)
+    found = [part for part in (part_of(n, blocks) for n in range(blocks)) if part is not None]
+    return reduce(DataFrame.unionByName, found) if found else corpus.sparkSession.createDataFrame([], schema)
+
+
+def scores(corpus: DataFrame, queries: DataFrame, k: int | None = None, metric: str = "ip", normalize: bool = True, block: int = BLOCK) -> DataFrame:
+    """(query_id, id, score): ``corpus`` (id, vec), ``queries`` (query_id, vec), a batch; all rows, or the best ``k`` a
+    query of each block of the corpus."""
+
+    def best_of(names, ids, score):
+        if k is None:
+            best = np.broadcast_to(np.arange(len(ids)), score.shape)
+        else:
+            best = np.lexsort((np.broadcast_to(ids, score.shape), -score if metric == "ip" else score), axis=1)[:, :k]
+        row = np.repeat(np.arange(len(names)), best.shape[1])
+        return pd.DataFrame({"query_id": names[row], "id": ids[best.ravel()], "score": score[row, best.ravel()]})
+
+    return _by_blocks(corpus, queries, metric, normalize, block, best_of, "query_id long, id long, score double")
+
+
+def counts_over(corpus: DataFrame, queries: DataFrame, floor: float, normalize: bool = True, block: int = BLOCK) -> DataFrame:
+    """(query_id, n): rows of ``corpus`` whose inner product with the query is over ``floor``; counted in the tasks, then added."""
+
+    def count(names, ids, score):
+        return pd.DataFrame({"query_id": names, "n": (score > floor).sum(axis=1)})
+
+    local = _by_blocks(corpus, queries, "ip", normalize, block, count, "query_id long, n long")
+    return local.groupBy("query_id").agg(F.sum("n").alias("n"))
 
 
 def knn_exact(corpus: DataFrame, queries: DataFrame, k: int = 5, metric: str = "ip", normalize: bool = True) -> DataFrame:

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 
 def starts(total: Column, window: int, stride: int) -> Column:
-    """0, s, 2s ... and one window anchored at the end; a short stream has the one at 0; none without frames."""
+    """0, s, 2s ... and one window anchored at the end; a short stream has the one at 0; without frames it is an error."""
     steps = F.sequence(F.lit(0), total - window, F.lit(stride))
-    return F.when(total <= 0, F.array().cast("array<int>")).when(total <= window, F.array(F.lit(0))).otherwise(F.array_distinct(F.concat(steps, F.array(total - window))))
+    return F.when(total <= 0, F.raise_error(F.concat(F.lit("no frames: "), total.cast("string"))).cast("array<int>")).when(total <= window, F.array(F.lit(0))).otherwise(F.array_distinct(F.concat(steps, F.array(total - window))))
 
 
 def window_starts(df: DataFrame, window: int, stride: int, total: str = "num_frames") -> DataFrame:
@@ -94,6 +94,16 @@ def ward_segments(windows: DataFrame, threshold: float = 15.0) -> DataFrame:
     return windows.groupBy("video_id").applyInPandas(one, f"{fields}, label long")
 
 
+def next_valid(df: DataFrame, ok: Column, most: int = 32) -> DataFrame:
+    """Adds use_idx: the frame_idx (from 0, without gaps) of the first row with ``ok`` among a row and the ``most`` - 1 after
+    it in its video, going on at the video's start after its end; null if there is none."""
+    good = df.withColumn("_good", F.when(ok, F.col("frame_idx"))).withColumn("_at", F.col("frame_idx")).withColumn("_own", F.lit(True))
+    total = df.groupBy("video_id").agg(F.count(F.lit(1)).alias("_n"))
+    again = good.where(F.col("frame_idx") < most - 1).join(total, "video_id").withColumn("_at", F.col("_at") + F.col("_n")).withColumn("_own", F.lit(False)).drop("_n")
+    ahead = Window.partitionBy("video_id").orderBy("_at").rowsBetween(0, most - 1)
+    return good.unionByName(again).withColumn("use_idx", F.first("_good", ignorenulls=True).over(ahead)).where("_own").drop("_good", "_at", "_own")
+
+
 def merge_intervals(df: DataFrame, pad=0, gap=0) -> DataFrame:
     """(video_id, start_s, end_s) padded (start not below 0) and merged where a start is at most ``gap`` past all earlier ends."""
     padded = df.select("video_id", F.greatest(F.col("start_s") - pad, F.lit(0)).alias("s"), (F.col("end_s") + pad).alias("e"))

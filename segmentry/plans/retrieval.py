@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from segmentry.functions.vectors import cosine, l2_normalize, sq_l2
-from segmentry.operators import search
+from segmentry.operators import scoring, search
 from segmentry.plans.registry import query, shared, table
 from segmentry.plans.views import SEGMENTS, duck, segments
 from segmentry.sources.files import shared_folder
@@ -52,11 +52,10 @@ def knn_exact_ip(spark, d):
     return search.knn_exact(corpus(spark, d), asked(spark, d), 5, normalize=False).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("knn_exact_l2", f"""with {PAIRS}, scored as (select query_id, vec_id as id, round(list_dot_product(qv, qv) - 2 * list_dot_product(qv, embedding::double[]) + list_dot_product(embedding::double[], embedding::double[]), 5) as score from q, embeddings)
-select query_id, count(*) as n, min(score) as best from scored where score < 0.5 group by query_id""")
+@query("knn_exact_l2", f"""with {PAIRS}, scored as (select query_id, vec_id as id, round(list_dot_product(qv, qv) - 2 * list_dot_product(qv, embedding::double[]) + list_dot_product(embedding::double[], embedding::double[]), 6) + 0 as score from q, embeddings)
+select query_id, id, score, rank from (select *, row_number() over (partition by query_id order by score, id) as rank from scored) t where rank <= 5""")
 def knn_exact_l2(spark, d):
-    near = search.scores(corpus(spark, d), asked(spark, d), metric="l2").withColumn("score", F.round("score", 5)).where("score < 0.5")
-    return near.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("best"))
+    return search.knn_exact(corpus(spark, d), asked(spark, d), 5, metric="l2").withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("kis_topk", IP + " select query_id, id, score, rank from ranked where rank <= 1 + query_id % 4")
@@ -93,10 +92,8 @@ def hit_resolve(spark, d):
 @query("kis_envelope", IP + """, over as (select *, count(*) over (partition by query_id) as total from ranked where score > 0.2)
 select query_id, max(total) as total_results, max(total) > 5 as has_next, string_agg(id::varchar, ',' order by rank) as results from over where rank <= 5 group by query_id""")
 def kis_envelope(spark, d):
-    q = asked(spark, d).withColumnRenamed("vec", "q")
-    scored = corpus(spark, d).join(F.broadcast(q) if q.count() <= search.QUERY_BLOCK else q, F.lit(True)).select("query_id", "id", F.round(search.inner_product("q", "vec"), 6).alias("score")).where("score > 0.2")
-    w = Window.partitionBy("query_id")
-    top = search.top_k(scored.withColumn("total", F.count(F.lit(1)).over(w)), 5)
+    totals = search.counts_over(corpus(spark, d), asked(spark, d), 0.2, normalize=False).withColumnRenamed("n", "total")
+    top = search.knn_exact(corpus(spark, d), asked(spark, d), 5, normalize=False).where("score > 0.2").join(totals, "query_id")
     return top.groupBy("query_id").agg(F.max("total").alias("total_results"), (F.max("total") > 5).alias("has_next"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda s: s["id"]), ",").alias("results"))
 
 
@@ -343,9 +340,17 @@ _answers("submission_unified", """select query_id, video_id, frame as frame_inde
  union all select query_id, video_id, frame, null, trim(answer) from answers where rank <= 2 and query_id % 2 = 1
  union all select segment_id, video_id, midpoint_frame, cast(i % 3 as int), null from segments where i < 3""")
 _answers("submission_official", "select query_id, concat(video_id, ',', cast(frame as string), case when query_id % 2 = 1 then concat(',', trim(answer)) else '' end) as line, rank from answers where rank <= 100")
-_answers("qa_word_f1", """, w as (select query_id, rank, answer from answers where rank <= 3), f as (select w.query_id, w.rank, case when trim(lower(w.answer)) = t.answer then 1.0 else 0.0 end as same, 
- case when substr(trim(w.answer), 9, 2) = substr(t.answer, 8, 2) then 1 else 0 end as hit from w join truth t on t.query_id = w.query_id)
- select query_id, max(cast(same as double)) as exact, max(hit) as last_word, round(max(cast(2 * (1 + hit) / cast(4 as double) as double)), 6) as f1 from f group by query_id""")
+GIVEN = "select query_id, rank, concat(answer, case when query_id % 3 = 0 then ' answer' when query_id % 3 = 1 then ' of several words' else '' end) as answer from answers where rank <= 100"
+
+
+@query("qa_word_f1", duck("with " + ANSWERS.replace("@G", ", 'g'") + f", g as ({GIVEN})") + """,
+w as (select g.query_id, g.rank, string_split_regex(trim(lower(g.answer)), ' +') as w, string_split_regex(t.answer, ' +') as t from g join truth t using (query_id)),
+o as (select *, list_sum(list_transform(list_distinct(w), lambda x: least(len(list_filter(w, lambda y: y = x)), len(list_filter(t, lambda y: y = x))))) as shared from w)
+select query_id, rank, (w = t)::int as exact, round(2 * shared / (len(w) + len(t)), 6)::double as f1 from o""")
+def qa_word_f1(spark, d):
+    view = lambda select: spark.sql(f"with {ANSWERS.replace('@G', '')} {select}", embeddings=table(spark, d, "embeddings"))
+    return scoring.word_f1(view(GIVEN), view("select query_id, answer from truth"))
+
 
 shared("rscore_trake", f"""with {SEGMENTS},
 truth as (select label as query_id, video_id, i + 1 as event_index, start_frame as s, end_frame - 1 as e from segments where i < 4),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from segmentry.functions import text as t
+from segmentry.operators import dataprep
 from segmentry.operators import streams as op
 from segmentry.plans.registry import query, shared, table
 from segmentry.plans.views import FRAMES, REGIONS_DUCK, REGIONS_SPARK, SEGMENTS, duck, frames, regions, segments
@@ -133,12 +134,10 @@ for _name, _select in {
     "segments_by_video": "select segment_id, start_frame, row_number() over (order by start_frame) as place from segments where video_id = 'L03_V001'",
     "segments_missing_text": "select segment_id, video_id, start_frame from told where asr_text is null",
     "segment_count": "select level, count(*) as n from segments group by level",
-    "segment_assign_ids": "select 1000 + row_number() over (order by video_id, start_frame) as new_id, video_id, start_frame from segments",
     "text_update": "select s.segment_id, coalesce(u.text, s.asr_text) as asr_text from told s left join (select doc_id, upper(source) as text from {documents} where doc_id % 6 = 0) u on u.doc_id = s.segment_id",
     "text_update_unknown": "select u.doc_id from {documents} u left anti join segments s on s.segment_id = u.doc_id + 400",
     "range_join_overlap": "select s.segment_id, count(*) as n, min(p.sf) as first, max(p.ef) as last, cast(sum(length(p.text)) as bigint) as chars from segments s join spoken p on p.video_id = s.video_id and p.sf < s.end_frame and p.ef > s.start_frame group by s.segment_id",
     "frame_time_convert": "select segment_id, round(midpoint_frame / cast(fps as double), 2) as seconds, cast(round(midpoint_frame / cast(fps as double) * fps) as int) as frame from segments",
-    "batch_assign": "select segment_id, cast(floor((row_number() over (order by segment_id) - 1) / 32) as int) as batch, e.epoch from segments join (select 0 as epoch union all select 1) e on true",
     "group_counts": "select count(distinct video_id) as groups, count(*) as n from segments",
     "media_path": "select segment_id, concat('media/', substr(video_id, 1, 3), '/video/', video_id, '.mp4') as path from segments",
     "asof_text": "select segment_id, text_start from (select *, max(sf) over (partition by video_id order by f, k) as text_start from (select segment_id, video_id, midpoint_frame as f, 1 as k, cast(null as int) as sf from segments union all select null, video_id, sf, 0, sf from spoken) a) b where segment_id is not null",
@@ -149,6 +148,20 @@ from segmentry.plans.registry import SQL  # noqa: E402
 SQL["text_update_unknown"] = SQL["text_update_unknown"].replace("left anti join", "anti join")
 
 
+@query("segment_assign_ids", f"with {SEG} select 1000 + row_number() over (order by video_id, start_frame) as new_id, video_id, start_frame from segments")
+def segment_assign_ids(spark, d):
+    """New ids follow the highest one given so far."""
+    rows = segments(spark, d).select("video_id", "start_frame")
+    return dataprep.numbered(rows, "video_id", "start_frame", start=1001, name="new_id")
+
+
+@query("batch_assign", f"with {SEG}, b as (select segment_id, cast(floor((row_number() over (order by segment_id) - 1) / 32) as int) as batch from segments) select segment_id, batch, epoch from b join (select 0 as epoch union all select 1) e on true")
+def batch_assign(spark, d):
+    """Two epochs of the same batches of 32."""
+    placed = dataprep.numbered(segments(spark, d).select("segment_id"), "segment_id")
+    return placed.select("segment_id", F.floor(F.col("number") / 32).cast("int").alias("batch"), F.explode(F.array(F.lit(0), F.lit(1))).alias("epoch"))
+
+
 @query("segment_validate", f"""with {SEG}, x as (select segment_id, start_frame, case when segment_id % 11 = 0 then start_frame else end_frame end as end_frame, case when segment_id % 13 = 0 then -1 else midpoint_frame end as midpoint_frame, case when segment_id % 17 = 0 then 'odd' else level end as level from segments)
 select segment_id, coalesce(start_frame < end_frame and midpoint_frame between start_frame and end_frame - 1 and level in ('coarse', 'fine'), false) as valid from x""")
 def segment_validate(spark, d):
@@ -199,8 +212,8 @@ def frame_sampling(spark, d):
     return at.select("video_id", "k", F.bround(F.col("k") * (F.col("num_frames") - 1) / 7).cast("int").alias("frame_idx"))
 
 
-@query("next_valid_sample", f"with {FRM}, x as (select *, case when value >= 20 then frame_idx end as ok from frames) select video_id, frame_idx, (select min(ok) from x y where y.video_id = x.video_id and y.frame_idx between x.frame_idx and x.frame_idx + 31) as use_idx from x")
+@query("next_valid_sample", f"""with {FRM}, {N}, x as (select f.*, num_frames from frames f join n using (video_id)), ok as (select video_id, frame_idx from frames where value >= 20),
+c as (select x.video_id, x.frame_idx, ok.frame_idx as other, (ok.frame_idx - x.frame_idx + num_frames) % num_frames as step from x join ok on ok.video_id = x.video_id)
+select x.video_id, x.frame_idx, t.use_idx from x left join (select video_id, frame_idx, arg_min(other, step) as use_idx from c where step < 32 group by video_id, frame_idx) t on t.video_id = x.video_id and t.frame_idx = x.frame_idx""")
 def next_valid_sample(spark, d):
-    ok = F.when(F.col("value") >= 20, F.col("frame_idx"))
-    w = op.Window.partitionBy("video_id").orderBy("frame_idx").rowsBetween(0, 31)
-    return frames(spark, d).select("video_id", "frame_idx", F.first(ok, ignorenulls=True).over(w).alias("use_idx"))
+    return op.next_valid(frames(spark, d), F.col("value") >= 20).select("video_id", "frame_idx", "use_idx")

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from segmentry.functions.text import strip
+
 SEGMENT = "video_id string, start_frame int, end_frame int, midpoint_frame int, embedding array<float>, level string"
 MEDIA = ("mp4", "mkv", "mov", "avi", "webm")
 
@@ -58,9 +60,9 @@ def read_jsonl_tolerant(spark: SparkSession, path: str, schema: str | StructType
 
 
 def repair_jsonl(spark: SparkSession, source: str, target: str, key: str = "id") -> tuple[int, int]:
-    """Keeps lines that parse and have ``key``; (kept, dropped)."""
+    """Keeps lines that parse and have ``key``, if only with a null; (kept, dropped)."""
     lines = spark.read.text(source).where(F.trim("value") != "")
-    good = F.get_json_object("value", f"$.{key}").isNotNull() & F.col("value").rlike(r"\}\s*$")
+    good = F.coalesce(F.array_contains(F.json_object_keys("value"), key), F.lit(False)) & F.col("value").rlike(r"\}\s*$")
     n = lines.agg(F.count_if(good).alias("kept"), F.count_if(~good).alias("dropped")).first()
     lines.where(good).write.text(target)
     return n["kept"], n["dropped"]
@@ -77,7 +79,7 @@ def read_caption_parquet(spark: SparkSession, path: str, caption_col: str = "re_
 def read_list_file(spark: SparkSession, path: str) -> DataFrame:
     """Trimmed lines that are not blank; a comment starts with # in the first column."""
     raw = spark.read.text(path)
-    return raw.where(~F.col("value").startswith("#") & (F.trim("value") != "")).select(F.trim("value").alias("path"))
+    return raw.where(~F.col("value").startswith("#")).select(strip(F.col("value")).alias("path")).where("path <> ''")
 
 
 def discover_files(spark: SparkSession, root: str, exts=MEDIA, limit: int | None = None) -> DataFrame:

@@ -3,11 +3,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from segmentry.functions import text, vectors
-from segmentry.operators import dataprep, search, streams
+from segmentry.operators import dataprep, scoring, search, streams
 from segmentry.sources import files
 
 
-@pytest.mark.parametrize("total, window, stride, want", [(100, 20, 7, [*range(0, 78, 7), 80]), (10, 64, 8, [0]), (0, 64, 8, []), (64, 64, 8, [0])])
+@pytest.mark.parametrize("total, window, stride, want", [(100, 20, 7, [*range(0, 78, 7), 80]), (10, 64, 8, [0]), (64, 64, 8, [0])])
 def test_window_starts(spark, total, window, stride, want):
     df = spark.createDataFrame([(total,)], "num_frames int")
     assert [r["window_start"] for r in streams.window_starts(df, window, stride).collect()] == want
@@ -84,10 +84,81 @@ def test_validation_rejects(spark):
     assert (ok.count(), bad.count()) == (1, 5)
 
 
+def test_no_frames_is_an_error(spark):
+    with pytest.raises(Exception, match="no frames"):
+        streams.window_starts(spark.createDataFrame([(0,)], "num_frames int"), 64, 8).collect()
+
+
 @pytest.mark.parametrize("metric", ["ip", "l2"])
-def test_scores_of_a_large_batch(spark, metric):
+@pytest.mark.parametrize("k", [None, 3])
+def test_scores_do_not_depend_on_blocks(spark, metric, k):
     rng = np.random.default_rng(2)
-    rows = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(30)], "id long, vec array<double>")
-    few = rows.where("id % 5 = 0").withColumnRenamed("id", "query_id")
-    one, other = ({(r["query_id"], r["id"]): r["score"] for r in search.scores(rows, few, metric=metric, max_batch=n).collect()} for n in (100, 0))
-    assert one.keys() == other.keys() and len(one) == 180 and all(abs(one[k] - other[k]) < 1e-5 for k in one)
+    rows = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(30)], "id long, vec array<double>").repartition(1)
+    few = rows.where("id % 3 = 0").withColumnRenamed("id", "query_id")
+    one, two, other = (sorted(map(tuple, search.scores(rows, few, k, metric=metric, block=n).collect())) for n in (1, 7, 10**6))
+    assert one == two == other and len(one) == 10 * (k or 30)
+    over = {r["query_id"]: r["n"] for r in search.counts_over(rows, few, 0.2, block=4).collect()}
+    cosines = search.scores(rows, few).where("score > 0.2").groupBy("query_id").count().collect()
+    assert {q: n for q, n in over.items() if n} == {r["query_id"]: r["count"] for r in cosines}
+
+
+def test_clip_tasks_read_literals(spark):
+    rows = [
+        ("a", "[['0:00:01', '0:00:02'], ['0:00:03', '0:00:04']]", """["it's here", 'say "hi"']"""), ("b", "[['1', '2']]", "[' x ', 'y']"),
+        ("c", "[broken", "['x']"), ("d", "[['1', '2', '3']]", "['x']"), ("e", None, "['x']"), ("f", "[['1', '2']]", "['tab\\t\\u00e9']"),
+    ]
+    df = spark.createDataFrame([(v, "u", t, c) for v, t, c in rows], "video_id string, url string, timestamps string, captions string")
+    tasks, rejects = dataprep.expand_clip_tasks(df)
+    got = {r["clip_id"]: (r["start"], r["caption"]) for r in tasks.collect()}
+    assert got == {"a_000": ("0:00:01", "it's here"), "a_001": ("0:00:03", 'say "hi"'), "b_000": ("1", "x"), "f_000": ("1", "tab\té")}
+    assert sorted(r["video_id"] for r in rejects.collect()) == ["c", "d", "e"]
+
+
+def test_query_pack(spark, tmp_path):
+    files_ = {
+        "query-p1-1-kis.txt": "\n \ta man\n", "query-p1-2-kis.txt": "\n\n", "query-p1-3-QA.txt": "Scene Hỏi one Hỏi what colour?\n", "query-p1-4-qa.txt": "Scene Hỏi  \n",
+        "query-p1-5-trake.txt": "E1: run\r\nnote\r\n e2:  jump \r\nE3:", "query-p1-6-odd.txt": "x", "short-kis.txt": "x", "query-p1-7-qa.txt": "no separator",
+    }
+    for name, text_ in files_.items():
+        (tmp_path / name).write_bytes(text_.encode())
+    got = {r["file_name"]: r for r in dataprep.read_query_pack(spark, str(tmp_path)).collect()}
+    assert got["query-p1-1-kis.txt"]["query"] == "a man" and got["query-p1-1-kis.txt"]["query_id"] == "p1-1"
+    assert got["query-p1-3-QA.txt"]["scene"] == "Scene Hỏi one" and got["query-p1-3-QA.txt"]["question"] == "what colour?"
+    assert got["query-p1-5-trake.txt"]["events"] == ["run", "jump"]
+    errors = {"query-p1-2-kis.txt": "empty query", "query-p1-4-qa.txt": "no question", "query-p1-7-qa.txt": "no question", "query-p1-6-odd.txt": "unknown task", "short-kis.txt": "bad file name"}
+    assert {n: r["error"] for n, r in got.items() if r["error"]} == errors
+    named = spark.createDataFrame([("pack-x/query-p1-2-kis.txt", "q"), ("a\\query-p2-3-kis.txt", "q")], "file_name string, content string")
+    assert [r["query_id"] for r in dataprep.parse_query_pack(named).collect()] == ["p1-2", "p2-3"]
+
+
+def test_numbered(spark):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(int(x), i) for i, x in enumerate(rng.integers(0, 50, 500))], "x int, i int")
+    got = dataprep.numbered(df, "x", "i", start=10).collect()
+    assert [(r["x"], r["i"]) for r in sorted(got, key=lambda r: r["number"])] == sorted((r["x"], r["i"]) for r in got)
+    assert sorted(r["number"] for r in got) == list(range(10, 510)) and dataprep.numbered(df.limit(0), "x").count() == 0
+
+
+def test_next_valid_wraps(spark):
+    rows = [("a", i, i == 2) for i in range(50)] + [("b", i, False) for i in range(3)] + [("c", 0, True), ("c", 1, False)]
+    df = spark.createDataFrame(rows, "video_id string, frame_idx int, fine boolean")
+    got = {(r["video_id"], r["frame_idx"]): r["use_idx"] for r in streams.next_valid(df, F.col("fine")).collect()}
+    assert len(got) == 55 and got["a", 0] == got["a", 2] == got["a", 49] == got["a", 21] == 2 and got["a", 20] is None and got["a", 3] is None
+    assert got["b", 1] is None and got["c", 1] == 0
+
+
+def test_word_f1(spark):
+    answers = spark.createDataFrame([(1, 1, "The red  red car"), (1, 2, ""), (2, 1, " "), (3, 1, "x")], "query_id long, rank int, answer string")
+    truth = spark.createDataFrame([(1, "red car red blue"), (2, "")], "query_id long, answer string")
+    got = {(r["query_id"], r["rank"]): (r["exact"], r["f1"]) for r in scoring.word_f1(answers, truth).collect()}
+    assert got == {(1, 1): (0, 0.75), (1, 2): (0, 0.0), (2, 1): (1, 1.0)}
+
+
+def test_repair_keeps_a_null_key(spark, tmp_path):
+    (tmp_path / "in.jsonl").write_text('{"id": null, "a": 1}\n{"a": 2}\n{"id": 3}\n{"id": 4, "b\n\n')
+    assert files.repair_jsonl(spark, str(tmp_path / "in.jsonl"), str(tmp_path / "out")) == (2, 2)
+
+
+def test_list_file_strips_white_space(spark, tmp_path):
+    (tmp_path / "list.txt").write_text("\ta.mp4 \n# note\n \t\n  # kept\u00a0\n")
+    assert sorted(r["path"] for r in files.read_list_file(spark, str(tmp_path / "list.txt")).collect()) == ["# kept", "a.mp4"]
