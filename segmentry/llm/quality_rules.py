@@ -8,8 +8,8 @@ The threshold is the lower whisker of the trusted documents' own scores: the low
 interquartile ranges below the lower quartile (of documents of 50 words or more, in steps of 0.0005). So no trusted
 document is lost but an outlier, and the same counts give the same threshold.
 
-Only trusted ids are joined (Spark broadcasts them below its own threshold, else both sides are shuffled); counts and
-scores are added up by bucket and by step before they leave a task.
+Trusted ids are broadcast up to a number that is checked (8 bytes each); more are joined by one shuffle, whose result is
+stored. Counts and scores are added up by bucket and by step before they leave a task.
 
 Defined cases: null and empty texts have no words, and fail the base rules; without trusted documents the ratio is 0
 everywhere and the threshold is 0; null ids are never trusted; an id that several trusted rows name is trusted once;
@@ -25,10 +25,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segmentry.llm.common import WORD, let, read, text_or_empty, words
+from segmentry.llm.common import WORD, let, read, stored, text_or_empty, words
 
 BUCKETS, SMOOTH, FENCE, SCORE_STEP = 8192, 1.0, 6.0, 0.0005
 MIN_WORDS, MOST_REPEATED = 50, 50
+BROADCAST_IDS = 4_000_000
 SYMBOLS = "[#*$%&|<>]+"
 
 
@@ -37,7 +38,11 @@ def _bucket(hashed: Column) -> Column:
 
 
 def _trusted_docs(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text").join(trusted.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_semi")
+    ids = stored(trusted.select("doc_id").where("doc_id is not null").distinct(), "trusted-ids")
+    rows = docs.select("doc_id", "text")
+    if ids.count() <= BROADCAST_IDS:
+        return rows.join(F.broadcast(ids), "doc_id", "left_semi")
+    return stored(rows.join(ids, "doc_id", "left_semi"), "trusted-texts")
 
 
 def bucket_counts(docs: DataFrame) -> list[float]:
@@ -55,9 +60,9 @@ def bucket_counts(docs: DataFrame) -> list[float]:
     return found
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
-    """ln(trusted / raw) for each bucket; ``trusted`` has a column doc_id."""
-    raw, good = bucket_counts(docs), bucket_counts(_trusted_docs(docs, trusted))
+def log_ratios(docs: DataFrame, good_docs: DataFrame) -> list[float]:
+    """ln(trusted / raw) for each bucket; ``good_docs``: the trusted ones of ``docs``."""
+    raw, good = bucket_counts(docs), bucket_counts(good_docs)
     if sum(good) == SMOOTH * BUCKETS:
         return [0.0] * BUCKETS
     scale = math.log(sum(raw) / sum(good))
@@ -89,9 +94,9 @@ def whisker(steps: list[tuple[int, int]], fence: float = FENCE) -> float:
     return min(step for step, _ in steps if step >= lower - fence * (upper - lower)) * SCORE_STEP
 
 
-def threshold_of(docs: DataFrame, trusted: DataFrame, ratios: Column) -> float:
+def threshold_of(good_docs: DataFrame, ratios: Column) -> float:
     """The whisker of the trusted documents' scores."""
-    hashed = _trusted_docs(docs, trusted).select(F.transform(words(text_or_empty()), lambda x: F.xxhash64(x)).alias("h")).where(F.size("h") >= MIN_WORDS)
+    hashed = good_docs.select(F.transform(words(text_or_empty()), lambda x: F.xxhash64(x)).alias("h")).where(F.size("h") >= MIN_WORDS)
     step = F.floor(mean_ratio(F.col("h"), ratios) / SCORE_STEP).alias("step")
     # scores lie between -20 and 20, so the steps are at most 80,000
     return whisker([tuple(r) for r in hashed.groupBy(step).agg(F.count(F.lit(1)).alias("n")).collect()])
@@ -145,8 +150,9 @@ def judged(docs: DataFrame, trusted: DataFrame, threshold: float | None = None)
     """One row per row of ``docs``: doc_id, the base counts, llr (0 without words), base_failed, kept.
 
     ``threshold``: the least score, by default the whisker of the trusted scores."""
-    ratios = F.lit(log_ratios(docs, trusted))
-    least = threshold_of(docs, trusted, ratios) if threshold is None else threshold
+    good_docs = _trusted_docs(docs, trusted)
+    ratios = F.lit(log_ratios(docs, good_docs))
+    least = threshold_of(good_docs, ratios) if threshold is None else threshold
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     told = base_counts(docs).withColumn("llr", mean_ratio(F.col("hashed"), ratios)).drop("hashed")
     return told.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("llr") >= least))

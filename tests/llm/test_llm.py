@@ -253,8 +253,10 @@ def test_quality_rules(spark, docs):
         assert tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == want
 
 
-def test_quality_ratio_by_brute_force(spark):
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_quality_ratio_by_brute_force(spark, monkeypatch, most):
     """Both multinomials, the ratio, the whisker and the verdict in plain Python; hashes are Spark's own."""
+    monkeypatch.setattr(quality_rules, "BROADCAST_IDS", most)
     rng = random.Random(9)
     texts = [" ".join(rng.choice("abcdefgh" if i % 3 else "stuvwxyz") * 2 for _ in range(80 + i)) for i in range(60)] + ["", "one"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
