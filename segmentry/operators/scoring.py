@@ -22,3 +22,50 @@ def word_f1(answers: DataFrame, truth: DataFrame) -> DataFrame:
     sized = asked.select("query_id", "rank", F.size("w").alias("a"), F.size("t").alias("b"), (F.array_join("w", " ") == F.array_join("t", " ")).cast("int").alias("exact"))
     f1 = F.coalesce(F.try_divide(2 * F.coalesce("shared", F.lit(0)), F.col("a") + F.col("b")), F.lit(1.0))
     return sized.join(shared, ["query_id", "rank"], "left").select("query_id", "rank", "exact", F.round(f1, 6).alias("f1"))
+
+
+#: Depths of the final score.
+TOPS = (1, 5, 20, 50, 100)
+
+
+def tidy(text: Column) -> Column:
+    """As answers are compared: lower case, single blanks."""
+    return F.array_join(words(text), " ")
+
+
+def judged(answers: DataFrame, truth: DataFrame) -> DataFrame:
+    """(query_id, rank, kis, qa): is an answer (query_id, rank, video_id, frame, answer) inside one of the true intervals
+    (query_id, video_id, s, e, answer; both ends count), and for qa is its text right too. Without truth there is no row."""
+    t = truth.select("query_id", F.col("video_id").alias("_video"), "s", "e", F.col("answer").alias("_answer"))
+    inside = F.coalesce((F.col("video_id") == F.col("_video")) & F.col("frame").between(F.col("s"), F.col("e")), F.lit(False))
+    right = inside & F.coalesce(tidy(F.col("answer")) == tidy(F.col("_answer")), F.lit(False))
+    return answers.join(t, "query_id").groupBy("query_id", "rank").agg(F.max(inside.cast("int")).alias("kis"), F.max(right.cast("int")).alias("qa"))
+
+
+def in_interval(answers: DataFrame, truth: DataFrame) -> DataFrame:
+    """The answers that lie in a true interval."""
+    t = truth.select("query_id", "video_id", "s", "e")
+    return answers.join(t, ["query_id", "video_id"]).where("frame between s and e").drop("s", "e").distinct()
+
+
+def final_score(scored: DataFrame, score: str, tops=TOPS) -> DataFrame:
+    """(query_id, final_score): the best score within each depth, averaged over the depths."""
+    best = [F.coalesce(F.max(F.when(F.col("rank") <= k, F.col(score))), F.lit(0)) for k in tops]
+    return scored.where(F.col("rank") <= max(tops)).groupBy("query_id").agg(F.round(sum(best[1:], best[0]) / F.lit(float(len(tops))), 6).alias("final_score"))
+
+
+def trake_score(answers: DataFrame, truth: DataFrame) -> DataFrame:
+    """(query_id, video_id, r_score): the share of a query's events whose frame is in the event's interval."""
+    t = truth.select("query_id", F.col("video_id").alias("_video"), "event_index", "s", "e")
+    n = truth.groupBy("query_id").agg(F.countDistinct("event_index").alias("_n"))
+    hit = ((F.col("video_id") == F.col("_video")) & F.col("frame").between(F.col("s"), F.col("e"))).cast("int")
+    return answers.join(t, ["query_id", "event_index"]).join(n, "query_id").groupBy("query_id", "video_id").agg(F.round(F.sum(hit) / F.max("_n").cast("double"), 6).alias("r_score"))
+
+
+def submission_lines(answers: DataFrame, most: int = 100) -> DataFrame:
+    """(query_id, rank, line) of ``answers`` (query_id, task, rank, video_id, frame, event_index, answer): ``video,frame`` for
+    kis, ``video,frame,answer`` for qa, ``video,f1,...,fN`` in event order for trake."""
+    chain = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_index", "frame"))), lambda x: x["frame"].cast("string")), ",")
+    rows = answers.where(F.col("rank") <= most).groupBy("query_id", "task", "rank", "video_id").agg(chain.alias("frames"), F.max("answer").alias("answer"))
+    said = F.when(F.col("task") == "qa", F.trim("answer"))
+    return rows.select("query_id", "rank", F.concat_ws(",", "video_id", "frames", said).alias("line"))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from segmentry.functions.vectors import cosine, l2_normalize, sq_l2
 from segmentry.operators import scoring, search
-from segmentry.plans.registry import query, shared, table
-from segmentry.plans.views import SEGMENTS, duck, segments
+from segmentry.plans.registry import query, table
+from segmentry.plans.views import SEGMENTS, duck, segments, view
 from segmentry.sources.files import shared_folder
 
 SEG = duck(SEGMENTS)
@@ -324,22 +324,61 @@ scored as (select a.query_id, a.rank, case when a.video_id = t.video_id and a.fr
            from answers a join truth t on t.query_id = a.query_id)"""
 
 
-def _answers(name: str, select: str) -> None:
-    from segmentry.plans.registry import QUERIES, SQL
+ANSWERS_DUCK = "with " + duck(ANSWERS.replace("@G", ", 'g'"))
 
-    QUERIES[name] = lambda spark, d: spark.sql(f"with {ANSWERS.replace('@G', '')} {select}", embeddings=table(spark, d, "embeddings"))
-    SQL[name] = duck(f"with {ANSWERS.replace('@G', ", 'g'")} {select}")
+
+def _given(spark, d, name):
+    return spark.sql(f"with {ANSWERS.replace('@G', '')} select * from {name}", embeddings=table(spark, d, "embeddings"))
+
+
+def _judged(spark, d):
+    return scoring.judged(_given(spark, d, "answers"), _given(spark, d, "truth"))
+
+
+@query("rscore_kis", ANSWERS_DUCK + " select query_id, rank, kis from scored")
+def rscore_kis(spark, d):
+    return _judged(spark, d).select("query_id", "rank", "kis")
+
+
+@query("rscore_qa", ANSWERS_DUCK + " select query_id, rank, qa from scored")
+def rscore_qa(spark, d):
+    return _judged(spark, d).select("query_id", "rank", "qa")
+
+
+@query("final_score", ANSWERS_DUCK + """, f as (select query_id, unnest([1, 5, 20, 50, 100]) as k from (select distinct query_id from scored) t)
+select query_id, round(avg(coalesce((select max(kis) from scored s where s.query_id = f.query_id and s.rank <= f.k), 0)), 6) as final_score from f group by query_id""")
+def final_score(spark, d):
+    return scoring.final_score(_judged(spark, d), "kis")
+
+
+@query("frame_in_interval", ANSWERS_DUCK + " select t.query_id, a.rank, a.video_id, a.frame from answers a join truth t on t.query_id = a.query_id and t.video_id = a.video_id and a.frame >= t.s and a.frame <= t.e")
+def frame_in_interval(spark, d):
+    return scoring.in_interval(_given(spark, d, "answers"), _given(spark, d, "truth")).select("query_id", "rank", "video_id", "frame")
+
+
+def _tasked(spark, d):
+    """kis and qa by turns; every chain of a query's answers in one video is one trake answer."""
+    single = _given(spark, d, "answers").withColumn("task", F.when(F.col("query_id") % 2 == 1, "qa").otherwise("kis")).withColumn("event_index", F.lit(1))
+    chains = segments(spark, d).where("i < 300").select((F.col("label") + 10_000_000).alias("query_id"), F.lit("trake").alias("task"), (F.floor(F.col("i") / 3) + 1).alias("rank"), "video_id", F.col("midpoint_frame").alias("frame"), (F.col("i") % 3).alias("event_index"), F.lit(None).cast("string").alias("answer"))
+    return single.unionByName(chains)
+
+
+@query("submission_official", ANSWERS_DUCK + """ select query_id, rank, video_id || ',' || frame || case when query_id % 2 = 1 then ',' || trim(answer) else '' end as line from answers where rank <= 100
+union all select label + 10000000, i // 3 + 1, video_id || ',' || string_agg(midpoint_frame, ',' order by i) from segments where i < 300 group by label, i // 3, video_id""")
+def submission_official(spark, d):
+    return scoring.submission_lines(_tasked(spark, d))
+
+
+@query("submission_unified", ANSWERS_DUCK + """ select query_id, rank, video_id, frame as frame_index, 1 as event_index, case when query_id % 2 = 1 then trim(answer) end as answer from answers where rank <= 100
+union all select label + 10000000, i // 3 + 1, video_id, midpoint_frame, i % 3, null from segments where i < 300""")
+def submission_unified(spark, d):
+    """Written as CSV with a header and read back."""
+    rows = _tasked(spark, d).where("rank <= 100").select("query_id", "rank", "video_id", F.col("frame").alias("frame_index"), "event_index", F.when(F.col("task") == "qa", F.trim("answer")).alias("answer"))
+    path = shared_folder(spark, "submission")
+    rows.write.option("header", True).csv(path)
+    return spark.read.option("header", True).schema("query_id long, rank long, video_id string, frame_index int, event_index int, answer string").csv(path)
 
 
-_answers("rscore_kis", "select query_id, rank, kis from scored")
-_answers("rscore_qa", "select query_id, rank, qa from scored")
-_answers("final_score", """select query_id, round((max(case when rank <= 1 then kis else 0 end) + max(case when rank <= 5 then kis else 0 end) + max(case when rank <= 20 then kis else 0 end)
- + max(case when rank <= 50 then kis else 0 end) + max(case when rank <= 100 then kis else 0 end)) / cast(5 as double), 6) as final_score from scored where rank <= 100 group by query_id""")
-_answers("frame_in_interval", "select t.query_id, a.rank, a.video_id, a.frame from answers a join truth t on t.query_id = a.query_id and a.video_id = t.video_id and a.frame between t.s and t.e")
-_answers("submission_unified", """select query_id, video_id, frame as frame_index, cast(null as int) as event_index, cast(null as string) as answer from answers where rank <= 2 and query_id % 2 = 0
- union all select query_id, video_id, frame, null, trim(answer) from answers where rank <= 2 and query_id % 2 = 1
- union all select segment_id, video_id, midpoint_frame, cast(i % 3 as int), null from segments where i < 3""")
-_answers("submission_official", "select query_id, concat(video_id, ',', cast(frame as string), case when query_id % 2 = 1 then concat(',', trim(answer)) else '' end) as line, rank from answers where rank <= 100")
 GIVEN = "select query_id, rank, concat(answer, case when query_id % 3 = 0 then ' answer' when query_id % 3 = 1 then ' of several words' else '' end) as answer from answers where rank <= 100"
 
 
@@ -348,12 +387,18 @@ w as (select g.query_id, g.rank, string_split_regex(trim(lower(g.answer)), ' +')
 o as (select *, list_sum(list_transform(list_distinct(w), lambda x: least(len(list_filter(w, lambda y: y = x)), len(list_filter(t, lambda y: y = x))))) as shared from w)
 select query_id, rank, (w = t)::int as exact, round(2 * shared / (len(w) + len(t)), 6)::double as f1 from o""")
 def qa_word_f1(spark, d):
-    view = lambda select: spark.sql(f"with {ANSWERS.replace('@G', '')} {select}", embeddings=table(spark, d, "embeddings"))
-    return scoring.word_f1(view(GIVEN), view("select query_id, answer from truth"))
+    run = lambda select: spark.sql(f"with {ANSWERS.replace('@G', '')} {select}", embeddings=table(spark, d, "embeddings"))
+    return scoring.word_f1(run(GIVEN), run("select query_id, answer from truth"))
+
+
+EVENTS = SEGMENTS + """,
+truth as (select cast(label * 1000 + floor(i / 4) as bigint) as query_id, video_id, i % 4 + 1 as event_index, start_frame as s, end_frame - 1 as e from segments),
+answers as (select t.query_id, v.video_id, t.event_index, t.s + 10 + (t.query_id + t.event_index) % 3 * 7 as frame from truth t join (select distinct video_id, label from segments) v on v.label % 5 = cast(floor(t.query_id / 1000) as bigint) % 5)"""
 
 
-shared("rscore_trake", f"""with {SEGMENTS},
-truth as (select label as query_id, video_id, i + 1 as event_index, start_frame as s, end_frame - 1 as e from segments where i < 4),
-answers as (select a.label as query_id, v.video_id, a.i + 1 as event_index, a.midpoint_frame + (a.label + a.i) % 3 * 7 as frame from segments a join (select distinct video_id, label from segments) v on v.label % 5 = a.label % 5 where a.i < 4)
-select a.query_id, a.video_id, round(sum(case when a.video_id = t.video_id and frame between s and e then 1 else 0 end) / cast(max(n) as double), 6) as r_score
-from answers a join truth t on t.query_id = a.query_id and t.event_index = a.event_index join (select query_id, count(*) as n from truth group by query_id) c on c.query_id = a.query_id group by a.query_id, a.video_id""")
+@query("rscore_trake", "with " + duck(EVENTS) + """ select a.query_id, a.video_id, round(count(*) filter (t.video_id = a.video_id and a.frame >= t.s and a.frame <= t.e) / max(n), 6) as r_score
+from answers a join truth t using (query_id, event_index) join (select query_id, count(*) as n from truth group by query_id) c using (query_id) group by a.query_id, a.video_id""")
+def rscore_trake(spark, d):
+    """Every four segments of a video are a query of four events."""
+    of = lambda name: view(spark, d, EVENTS, name)
+    return scoring.trake_score(of("answers"), of("truth"))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from segmentry.functions import text as t
-from segmentry.operators import dataprep
+from segmentry.operators import dataprep, store
 from segmentry.operators import streams as op
-from segmentry.plans.registry import query, shared, table
-from segmentry.plans.views import FRAMES, REGIONS_DUCK, REGIONS_SPARK, SEGMENTS, duck, frames, regions, segments
+from segmentry.plans.registry import query, table
+from segmentry.plans.views import FRAMES, REGIONS_DUCK, REGIONS_SPARK, SEGMENTS, duck, frames, regions, segments, view
 from segmentry.sources import files
 
 SEG, FRM, REG = duck(SEGMENTS), duck(FRAMES), duck(REGIONS_DUCK)
@@ -127,32 +127,91 @@ def segment_pipeline(spark, d):
 
 
 DOC = f"""{SEGMENTS}, told as (select s.*, d.text as asr_text from segments s left join {{documents}} d on d.doc_id = s.segment_id and s.segment_id % 4 > 0),
-spoken as (select 'L' as x, concat('L', lpad(cast(doc_id % 10 as string), 2, '0'), '_V001') as video_id, cast(doc_id * 3 % 900 as int) as sf, cast(doc_id * 3 % 900 + 25 as int) as ef, doc_id, text from {{documents}})"""
-for _name, _select in {
-    "segment_midpoint": "select segment_id, least(cast(floor((start_frame + end_frame) / 2) as int), end_frame - 1) as midpoint_frame from segments",
-    "segment_lookup": "select segment_id, video_id, start_frame from segments where segment_id in (select doc_id from {documents} where doc_id % 20 = 0)",
-    "segments_by_video": "select segment_id, start_frame, row_number() over (order by start_frame) as place from segments where video_id = 'L03_V001'",
-    "segments_missing_text": "select segment_id, video_id, start_frame from told where asr_text is null",
-    "segment_count": "select level, count(*) as n from segments group by level",
-    "text_update": "select s.segment_id, coalesce(u.text, s.asr_text) as asr_text from told s left join (select doc_id, upper(source) as text from {documents} where doc_id % 6 = 0) u on u.doc_id = s.segment_id",
-    "text_update_unknown": "select u.doc_id from {documents} u left anti join segments s on s.segment_id = u.doc_id + 400",
-    "range_join_overlap": "select s.segment_id, count(*) as n, min(p.sf) as first, max(p.ef) as last, cast(sum(length(p.text)) as bigint) as chars from segments s join spoken p on p.video_id = s.video_id and p.sf < s.end_frame and p.ef > s.start_frame group by s.segment_id",
-    "frame_time_convert": "select segment_id, round(midpoint_frame / cast(fps as double), 2) as seconds, cast(round(midpoint_frame / cast(fps as double) * fps) as int) as frame from segments",
-    "group_counts": "select count(distinct video_id) as groups, count(*) as n from segments",
-    "media_path": "select segment_id, concat('media/', substr(video_id, 1, 3), '/video/', video_id, '.mp4') as path from segments",
-    "asof_text": "select segment_id, text_start from (select *, max(sf) over (partition by video_id order by f, k) as text_start from (select segment_id, video_id, midpoint_frame as f, 1 as k, cast(null as int) as sf from segments union all select null, video_id, sf, 0, sf from spoken) a) b where segment_id is not null",
-}.items():
-    shared(_name, f"with {DOC} {_select}")
-from segmentry.plans.registry import SQL  # noqa: E402
-
-SQL["text_update_unknown"] = SQL["text_update_unknown"].replace("left anti join", "anti join")
-
-
-@query("segment_assign_ids", f"with {SEG} select 1000 + row_number() over (order by video_id, start_frame) as new_id, video_id, start_frame from segments")
+spoken as (select concat('L', lpad(cast(doc_id % 10 as string), 2, '0'), '_V001') as video_id, cast(doc_id * 3 % 900 as int) as sf, cast(doc_id * 3 % 900 + 25 as int) as ef, doc_id, text from {{documents}})"""
+TOLD = "with " + duck(DOC)
+
+
+def told(spark, d):
+    return view(spark, d, DOC, "told")
+
+
+def spoken(spark, d):
+    return view(spark, d, DOC, "spoken")
+
+
+@query("segment_midpoint", TOLD + " select segment_id, least(((start_frame + end_frame) // 2)::int, end_frame - 1) as midpoint_frame from segments")
+def segment_midpoint(spark, d):
+    return segments(spark, d).select("segment_id", store.midpoint(F.col("start_frame"), F.col("end_frame")).alias("midpoint_frame"))
+
+
+@query("segment_lookup", TOLD + " select segment_id, video_id, start_frame from segments where segment_id % 20 = 0 and segment_id in (select doc_id from documents)")
+def segment_lookup(spark, d):
+    ids = table(spark, d, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("segment_id"))
+    return store.lookup(segments(spark, d), ids).select("segment_id", "video_id", "start_frame")
+
+
+@query("segments_by_video", TOLD + " select segment_id, start_frame from segments where video_id = 'L03_V001'")
+def segments_by_video(spark, d):
+    return store.by_video(segments(spark, d), "L03_V001").select("segment_id", "start_frame")
+
+
+@query("segments_missing_text", TOLD + " select segment_id, video_id, start_frame from segments where segment_id % 4 = 0 or segment_id not in (select doc_id from documents where text is not null)")
+def segments_missing_text(spark, d):
+    return store.missing_text(told(spark, d)).select("segment_id", "video_id", "start_frame")
+
+
+@query("segment_count", "select 'coarse' as level, count(*) as n from embeddings")
+def segment_count(spark, d):
+    return store.counts(segments(spark, d), "level")
+
+
+def _updates(spark, d, shift=0):
+    rows = table(spark, d, "documents").where("doc_id % 6 = 0")
+    return rows.select((F.col("doc_id") + shift).alias("segment_id"), F.upper("source").alias("text"))
+
+
+@query("text_update", TOLD + " select segment_id, case when segment_id % 6 = 0 and segment_id in (select doc_id from documents) then (select upper(source) from documents where doc_id = segment_id) else asr_text end as asr_text from told")
+def text_update(spark, d):
+    return store.update_text(told(spark, d), _updates(spark, d))[0].select("segment_id", "asr_text")
+
+
+@query("text_update_unknown", "select doc_id + 60 as segment_id from documents where doc_id % 6 = 0 and doc_id + 60 not in (select vec_id from embeddings)")
+def text_update_unknown(spark, d):
+    return store.update_text(told(spark, d), _updates(spark, d, 60))[1]
+
+
+@query("range_join_overlap", TOLD + " select s.segment_id, count(*) as n, min(p.sf) as first, max(p.ef) as last, md5(string_agg(p.text, ' ' order by p.sf, p.doc_id)) as text from segments s join spoken p on p.video_id = s.video_id and p.sf < s.end_frame and p.ef > s.start_frame group by s.segment_id")
+def range_join_overlap(spark, d):
+    return store.spoken_text(segments(spark, d), spoken(spark, d), "doc_id").withColumn("text", F.md5("text"))
+
+
+@query("frame_time_convert", TOLD + " select segment_id, round(midpoint_frame / fps, 2) as seconds, round_even(round(midpoint_frame / fps, 2) * fps, 0)::int as frame from segments")
+def frame_time_convert(spark, d):
+    s = segments(spark, d).withColumn("seconds", store.seconds(F.col("midpoint_frame"), F.col("fps")))
+    return s.select("segment_id", "seconds", store.frame_at(F.col("seconds"), F.col("fps")).alias("frame"))
+
+
+@query("group_counts", "select label::bigint as label, count(*) as n from embeddings group by label")
+def group_counts(spark, d):
+    return store.counts(segments(spark, d).withColumn("label", F.col("label").cast("long")), "label")
+
+
+@query("media_path", TOLD + " select segment_id, 'media/' || substr(video_id, 1, 3) || '/video/' || video_id || '.mp4' as path from segments")
+def media_path(spark, d):
+    return segments(spark, d).select("segment_id", t.media_path(F.col("video_id")).alias("path"))
+
+
+@query("asof_text", TOLD + """, c as (select segment_id, sf, doc_id, row_number() over (partition by segment_id order by sf desc nulls last, doc_id desc) as r from segments s left join spoken p on p.video_id = s.video_id and p.sf <= s.midpoint_frame)
+select segment_id, sf as text_start, doc_id, md5(text) as text from c left join documents using (doc_id) where r = 1""")
+def asof_text(spark, d):
+    return store.last_spoken(segments(spark, d), spoken(spark, d), "doc_id").withColumn("text", F.md5("text"))
+
+
+@query("segment_assign_ids", f"with {SEG} select (select max(vec_id) from embeddings) + row_number() over (order by video_id, start_frame) as segment_id, video_id, start_frame from segments")
 def segment_assign_ids(spark, d):
-    """New ids follow the highest one given so far."""
-    rows = segments(spark, d).select("video_id", "start_frame")
-    return dataprep.numbered(rows, "video_id", "start_frame", start=1001, name="new_id")
+    """All segments once more: their ids follow the highest one given so far."""
+    rows = segments(spark, d)
+    return store.insert(rows, rows.select("video_id", "start_frame"), "video_id", "start_frame")
 
 
 @query("batch_assign", f"with {SEG}, b as (select segment_id, cast(floor((row_number() over (order by segment_id) - 1) / 32) as int) as batch from segments) select segment_id, batch, epoch from b join (select 0 as epoch union all select 1) e on true")
