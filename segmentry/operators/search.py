@@ -98,10 +98,28 @@ def train_cells(corpus: DataFrame, cells: int = 16, sample: int = 100_000, seed:
 
 
 def nearest_cells(df: DataFrame, centroids: list[list[float]], n: int, place: str | None = None) -> DataFrame:
-    """Adds cell_id: one row for each of the ``n`` nearest centroids (a fixed, small number), and its place from 0 if named."""
-    centers = F.array(*[F.struct(sq_l2("vec", F.array(*map(F.lit, c))).alias("d"), F.lit(i).alias("cell")) for i, c in enumerate(centroids)])
-    cells = F.transform(F.slice(F.sort_array(centers), 1, n), lambda s: s["cell"])
-    return df.select("*", F.posexplode(cells).alias(place, "cell_id")) if place else df.withColumn("cell_id", F.explode(cells))
+    """Adds cell_id: one row for each of the ``n`` nearest centroids (a bounded number of them is broadcast), and its place
+    from 0 if named."""
+    given = df.sparkSession.sparkContext.broadcast(np.asarray(centroids, dtype=np.float64))
+
+    def local(batches):
+        c = given.value
+        for rows in batches:
+            if not rows.empty:
+                near = _nearest(np.stack(rows["vec"]).astype(np.float64), c, n)
+                out = rows.loc[rows.index.repeat(near.shape[1])]
+                if place:
+                    out = out.assign(**{place: np.tile(np.arange(near.shape[1]), len(rows))})
+                yield out.assign(cell_id=near.ravel())
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.mapInPandas(local, f"{fields}, {f'{place} int, ' if place else ''}cell_id int")
+
+
+def _nearest(x: np.ndarray, centroids: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` nearest centroids of each row, nearest first; ties go to the smaller number."""
+    d = (centroids**2).sum(1)[None] - 2 * x @ centroids.T
+    return np.argsort(d, axis=1, kind="stable")[:, :n]
 
 
 def probes(index: DataFrame, centroids, k: int = 5, least: float = 0.9, sample: int = 1000) -> int:
@@ -117,11 +135,44 @@ def probes(index: DataFrame, centroids, k: int = 5, least: float = 0.9, sample:
     return int(np.searchsorted(reached, least * reached[-1])) + 1 if reached[-1] else len(centroids)
 
 
-def knn_ivf(index: DataFrame, queries: DataFrame, centroids, k: int, nprobe: int) -> DataFrame:
-    """``index`` (id, vec, cell_id): only the ``nprobe`` nearest cells of a query are compared, by a join on cell_id."""
-    probes = nearest_cells(queries.withColumn("vec", l2_normalize("vec")), centroids, nprobe).withColumnRenamed("vec", "q")
-    scored = index.join(probes, "cell_id").select("query_id", "id", F.round(inner_product("q", "vec"), 6).alias("score"))
-    return top_k(scored, k)
+def knn_ivf(index: DataFrame, queries: DataFrame, centroids, k: int, nprobe: int, block: int = BLOCK) -> DataFrame:
+    """``index`` (id, vec, cell_id): a query is compared with the rows of its ``nprobe`` nearest cells.
+
+    Queries go to the index in blocks, as in exact search, each with the list of its cells; rows lie by cell, so a batch of
+    them meets only the queries that probe its cells. The index is not shuffled, and tasks keep k a query and batch."""
+    centers = np.asarray(centroids, dtype=np.float64)
+
+    def part_of(n: int, blocks: int) -> DataFrame | None:
+        batch = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).toPandas().sort_values("query_id")
+        if batch.empty:
+            return None
+        q = np.stack(batch["vec"]).astype(np.float64)
+        size = np.linalg.norm(q, axis=1, keepdims=True)
+        q = q / np.where(size == 0, 1, size)
+        near = _nearest(q, centers, nprobe)
+        asking = {int(c): np.nonzero((near == c).any(axis=1))[0] for c in np.unique(near)}
+        given = index.sparkSession.sparkContext.broadcast((batch["query_id"].to_numpy(), q, asking))
+
+        def local(batches):
+            names, q, asking = given.value
+            for rows in batches:
+                for cell, part in rows.groupby("cell_id"):
+                    who = asking.get(int(cell))
+                    if who is None:
+                        continue
+                    ids = part["id"].to_numpy()
+                    score = np.round(q[who] @ np.stack(part["vec"]).astype(np.float64).T, 6) + 0.0
+                    best = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
+                    row = np.repeat(np.arange(len(who)), best.shape[1])
+                    yield pd.DataFrame({"query_id": names[who][row], "id": ids[best.ravel()], "score": score[row, best.ravel()]})
+
+        probed = index.where(F.col("cell_id").isin([int(c) for c in asking])) if len(asking) < len(centers) else index
+        return probed.select("id", "vec", "cell_id").mapInPandas(local, "query_id long, id long, score double")
+
+    blocks = -(-queries.count() // block)
+    found = [part for part in (part_of(n, blocks) for n in range(blocks)) if part is not None]
+    empty = index.sparkSession.createDataFrame([], "query_id long, id long, score double")
+    return top_k(reduce(DataFrame.unionByName, found) if found else empty, k)
 
 
 def recall_at_k(approx: DataFrame, exact: DataFrame) -> DataFrame:

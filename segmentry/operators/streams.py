@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +36,64 @@ def smooth(df: DataFrame, kernel: int = 3, value: str = "value") -> DataFrame:
     return df.withColumn(value, F.avg(value).over(Window.partitionBy("video_id").orderBy("window_idx").rowsBetween(-half, half)))
 
 
+def checked_frames(frames: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(frames of good videos, videos with an error) of (video_id, frame_idx, vec): frames count from 0 without gaps or
+    repeats, and all vectors of a video have one size above 0 and finite numbers."""
+    odd = F.coalesce(F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(True))
+    seen = frames.groupBy("video_id").agg(
+        F.bool_or(odd).alias("odd"), F.min(F.size("vec")).alias("least"), F.max(F.size("vec")).alias("most"),
+        F.count(F.lit(1)).alias("n"), F.count_distinct("frame_idx").alias("places"), F.min("frame_idx").alias("first"), F.max("frame_idx").alias("last"),
+    )
+    error = (
+        F.when(F.col("odd") | (F.col("least") < 1), "missing or infinite values").when(F.col("least") != F.col("most"), "vectors of unequal size")
+        .when((F.col("first") != 0) | (F.col("n") != F.col("places")) | (F.col("last") + 1 != F.col("n")), "gaps or repeats in frames")
+    )
+    told = seen.select("video_id", F.col("n").alias("num_frames"), error.alias("error"))
+    bad = told.where("error is not null")
+    return frames.join(bad, frames["video_id"].eqNullSafe(bad["video_id"]), "left_anti"), told
+
+
+def pool_vectors(frames: DataFrame, window: int, stride: int) -> DataFrame:
+    """(video_id, window_idx, window_start, num_frames, vec): mean vector of each window; a short stream repeats its last frame.
+
+    A frame names the windows it lies in, so nothing is joined but a row a video, and means are summed before the shuffle."""
+    total = frames.groupBy("video_id").agg((F.max("frame_idx") + 1).cast("int").alias("num_frames"))
+    f = frames.join(total, "video_id")
+    at, n = F.col("frame_idx"), F.col("num_frames")
+    low = F.greatest(F.ceil((at - window + 1) / stride), F.lit(0)).cast("int")
+    high = F.floor(F.least(at, n - window) / stride).cast("int")
+    regular = F.when(high >= low, F.transform(F.sequence(low, high), lambda k: k * stride)).otherwise(F.array().cast("array<int>"))
+    final = F.when(at >= n - window, F.array((n - window).cast("int"))).otherwise(F.array().cast("array<int>"))
+    inside = F.when(n <= window, F.array(F.lit(0))).otherwise(F.array_distinct(F.concat(regular, final)))
+    weight = F.when((at == n - 1) & (n < window), (window - n + 1).cast("double")).otherwise(F.lit(1.0))
+    spread = f.select("video_id", "num_frames", F.explode(inside).alias("window_start"), array_to_vector(F.col("vec").cast("array<double>")).alias("v"), weight.alias("w"))
+    pooled = spread.groupBy("video_id", "num_frames", "window_start").agg(vector_to_array(Summarizer.mean(F.col("v"), F.col("w"))).alias("vec"))
+    order = F.row_number().over(Window.partitionBy("video_id").orderBy("window_start")) - 1
+    return pooled.withColumn("window_idx", order)
+
+
+def smooth_vectors(windows: DataFrame, kernel: int = 3) -> DataFrame:
+    """As ``smooth``, for vec."""
+    half = kernel // 2
+    near = F.collect_list("vec").over(Window.partitionBy("video_id").orderBy("window_idx").rowsBetween(-half, half))  # at most the kernel
+    added = F.aggregate(F.slice("_near", 2, kernel + 1), F.get("_near", F.lit(0)), lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
+    return windows.withColumn("_near", near).withColumn("vec", F.transform(added, lambda x: x / F.size("_near"))).drop("_near")
+
+
+def segment_videos(frames: DataFrame, window: int = 64, stride: int = 8, kernel: int = 3, threshold: float = 15.0, level: str = "coarse") -> tuple[DataFrame, DataFrame]:
+    """(segments, status) of (video_id, frame_idx, vec).
+
+    Windows, mean vectors, smoothing, Ward clusters of neighbours, runs. Segments (video_id, start_frame, end_frame,
+    midpoint_frame, embedding, level) tile every good video; embedding is the mean of a segment's windows. Status is a row a
+    video: video_id, num_frames, error (null if it is cut); a video with an error does not stop the others."""
+    good, status = checked_frames(frames)
+    labels = ward_segments(smooth_vectors(pool_vectors(good, window, stride), kernel), threshold, keep_vec=True)
+    mean = labels.groupBy("video_id", "label").agg(vector_to_array(Summarizer.mean(array_to_vector(F.col("vec")))).alias("embedding"))
+    mid = F.least(F.floor((F.col("start_frame") + F.col("end_frame")) / 2).cast("int"), F.col("end_frame") - 1)
+    runs = runs_from_labels(labels.drop("vec")).withColumn("midpoint_frame", mid)
+    return runs.join(mean, ["video_id", "label"]).select("video_id", "start_frame", "end_frame", "midpoint_frame", "embedding", F.lit(level).alias("level")), status
+
+
 def runs_from_labels(df: DataFrame) -> DataFrame:
     """Segments of equal labels: (video_id, window_idx, window_start, label, num_frames)."""
     w = Window.partitionBy("video_id").orderBy("window_idx")
@@ -81,9 +141,9 @@ def ward_labels(x: np.ndarray, threshold: float = 15.0) -> np.ndarray:
     return np.cumsum(cut)
 
 
-def ward_segments(windows: DataFrame, threshold: float = 15.0) -> DataFrame:
+def ward_segments(windows: DataFrame, threshold: float = 15.0, keep_vec: bool = False) -> DataFrame:
     """Labels for (video_id, window_idx, vec array<double>, ...): a video is the unit of work."""
-    schema = windows.drop("vec")
+    schema = windows if keep_vec else windows.drop("vec")
     names = schema.columns
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from segmentry.functions import text as t
 from segmentry.operators import dataprep as op
+from segmentry.operators import manifest
 from segmentry.plans.registry import query, shared, table
 from segmentry.plans.views import SAMPLES, duck, samples
 from segmentry.sources import files
@@ -16,20 +17,10 @@ raw as (select *, 0 as ord from samples union all select path, caption, media_ty
 known as (select path, caption, media_type, source, doc_id, num_frames, row_number() over (partition by path order by ord, doc_id) as place from raw where coalesce(trim(caption), '') <> ''),
 told as (select *, case when place > 1 then 'duplicate' when doc_id % 8 = 0 then 'missing' when num_frames < 200 then 'corrupt' else 'ok' end as outcome from known)"""
 for _name, _select in {
-    "manifest_summary": "select source, media_type, count(*) as total, count(case when outcome = 'ok' then 1 end) as ok, count(case when outcome = 'duplicate' then 1 end) as duplicate, count(case when outcome = 'missing' then 1 end) as missing, count(case when outcome = 'corrupt' then 1 end) as corrupt from told group by source, media_type",
-    "manifest_rollup": "select source, media_type, count(*) as total, count(case when outcome = 'ok' then 1 end) as ok from told group by rollup(source, media_type)",
-    "manifest_build": "select path, source, media_type, num_frames from told where outcome = 'ok'",
-    "dedup_first_wins": "select path, doc_id from known where place = 1",
     "source_union": "select path, media_type, cast(src as int) as src from (select path, media_type, 0 as src from samples where media_type = 'image' union all select path, media_type, 1 from samples where media_type = 'video' and source < 'src5' union all select path, media_type, 2 from samples where media_type = 'video' and source >= 'src5') u",
-    "source_completion": "select source, count(*) as planned, count(case when doc_id % 50 < 49 then 1 end) as done from samples group by source having count(case when doc_id % 50 < 49 then 1 end) >= count(*)",
-    "quality_filter_strict": "select s.path from samples s left join {labels} l on l.doc_id = s.doc_id where coalesce(l.quality, 0) >= 1 and trim(s.caption) <> ''",
-    "quality_filter_lenient": "select s.path from samples s left join {labels} l on l.doc_id = s.doc_id where l.quality is null or l.quality >= 1",
-    "resume_anti_join": "select s.path from samples s left join (select distinct doc_id from {labels}) l on l.doc_id = s.doc_id where l.doc_id is null",
     "missing_file_anti": "select source, count(case when l.doc_id is null then 1 end) as missing, count(l.doc_id) as present from samples s left join (select distinct doc_id from {labels}) l on l.doc_id = s.doc_id group by source",
     "missing_url_lookup": "select s.path, p.url from samples s left join (select distinct doc_id from {labels}) l on l.doc_id = s.doc_id left join {pages} p on p.page_id = s.doc_id where l.doc_id is null",
     "ordered_distinct": "select source, min(doc_id) as place from samples group by source",
-    "run_cap_counters": "select path, n_new from (select path, keep, sum(keep) over (partition by source order by doc_id) as n_new, source from (select *, case when doc_id % 8 = 0 then 0 else 1 end as keep from samples) a) b where keep = 1 and n_new <= 20",
-    "manifest_upsert": "select coalesce(n.path, o.path) as path, coalesce(n.v, o.v) as v from (select path, 'old' as v from samples where doc_id % 2 = 0) o full join (select path, 'new' as v from samples where doc_id % 3 = 0) n on n.path = o.path",
     "sample_validate": "select path, (left(path, 1) <> '/' and media_type in ('image', 'video') and num_frames > 150 and coalesce(caption, '') <> '') as valid from samples",
     "request_validate": "select doc_id, case when doc_id % 7 - 1 <= 0 then 'INVALID_REQUEST' when trim(caption) = '' then 'INVALID_REQUEST' else 'OK' end as code from samples",
     "substring_search": "select doc_id from samples where contains(lower(path), 'src1') or contains(cast(num_frames as string), '77') or contains(lower(caption), 'the')",
@@ -53,6 +44,72 @@ def _run_caption_tsv(spark, d):
 query("caption_tsv_clean", SQL["caption_tsv_clean"])(_run_caption_tsv)
 
 
+TOLD = "with " + duck(ROWS)
+
+
+def _rows(spark, d):
+    """Samples, and every ninth once more under its path."""
+    s = samples(spark, d).withColumn("ord", F.lit(0))
+    return s.unionByName(s.where("doc_id % 9 = 0").withColumn("doc_id", F.col("doc_id") + 5_000_000).withColumn("ord", F.lit(1)))
+
+
+def _told(spark, d):
+    return manifest.told(_rows(spark, d), "path", ["ord", "doc_id"], F.col("doc_id") % 8 == 0, F.col("num_frames") < 200)
+
+
+@query("manifest_summary", TOLD + " select source, media_type, count(*) as total, count(case when outcome = 'ok' then 1 end) as ok, count(case when outcome = 'duplicate' then 1 end) as duplicate, count(case when outcome = 'missing' then 1 end) as missing, count(case when outcome = 'corrupt' then 1 end) as corrupt from told group by source, media_type")
+def manifest_summary(spark, d):
+    return manifest.summary(_told(spark, d), "source", "media_type")
+
+
+@query("manifest_rollup", TOLD + " select source, media_type, count(*) as total, count(case when outcome = 'ok' then 1 end) as ok from told group by rollup(source, media_type)")
+def manifest_rollup(spark, d):
+    return manifest.rollup(_told(spark, d), "source", "media_type")
+
+
+@query("manifest_build", TOLD + " select path, source, media_type, num_frames from told where outcome = 'ok'")
+def manifest_build(spark, d):
+    return _told(spark, d).where("outcome = 'ok'").select("path", "source", "media_type", "num_frames")
+
+
+@query("source_completion", TOLD + " select source, count(*) as planned, count(case when doc_id % 50 < 49 then 1 end) as done from samples group by source having count(case when doc_id % 50 < 49 then 1 end) >= count(*)")
+def source_completion(spark, d):
+    s = samples(spark, d)
+    return manifest.complete_groups(s, s.where("doc_id % 50 < 49"), "source", "doc_id")
+
+
+@query("quality_filter_strict", TOLD + " select s.path from samples s left join labels l on l.doc_id = s.doc_id where coalesce(l.quality, 0) >= 1 and trim(s.caption) <> ''")
+def quality_filter_strict(spark, d):
+    return manifest.by_quality(samples(spark, d), table(spark, d, "labels"), "doc_id").select("path")
+
+
+@query("quality_filter_lenient", TOLD + " select s.path from samples s left join labels l on l.doc_id = s.doc_id where l.quality is null or l.quality >= 1")
+def quality_filter_lenient(spark, d):
+    return manifest.by_quality(samples(spark, d), table(spark, d, "labels"), "doc_id", strict=False).select("path")
+
+
+@query("resume_anti_join", TOLD + " select s.path from samples s left join (select distinct doc_id from labels) l on l.doc_id = s.doc_id where l.doc_id is null")
+def resume_anti_join(spark, d):
+    return manifest.remaining(samples(spark, d), table(spark, d, "labels"), "doc_id").select("path")
+
+
+@query("run_cap_counters", TOLD + " select path, n_new from (select path, keep, sum(keep) over (partition by source order by doc_id) as n_new, source from (select *, case when doc_id % 8 = 0 then 0 else 1 end as keep from samples) a) b where keep = 1 and n_new <= 20")
+def run_cap_counters(spark, d):
+    return manifest.capped(samples(spark, d).where("doc_id % 8 <> 0"), "source", "doc_id", 20).select("path", F.col("n_new").cast("long").alias("n_new"))
+
+
+@query("manifest_upsert", TOLD + " select coalesce(n.path, o.path) as path, coalesce(n.v, o.v) as v from (select path, 'old' as v from samples where doc_id % 2 = 0) o full join (select path, 'new' as v from samples where doc_id % 3 = 0) n on n.path = o.path")
+def manifest_upsert(spark, d):
+    s = samples(spark, d)
+    version = lambda step, name: s.where(F.col("doc_id") % step == 0).select("path", F.lit(name).alias("v"))
+    return manifest.upsert(version(2, "old"), version(3, "new"), "path")
+
+
+@query("dedup_first_wins", TOLD + " select path, doc_id from known where place = 1")
+def dedup_first_wins(spark, d):
+    return op.first_wins(_rows(spark, d).where("trim(caption) <> ''"), "path", "ord", "doc_id").select("path", "doc_id")
+
+
 @query("group_split", f"with {SMP}, g as (select source, row_number() over (order by md5('42:' || source), source) as place, count(*) over () as n from (select distinct source from samples) t) select s.path, case when place <= floor(n * 0.3) then 'val' else 'train' end as split from samples s join g using (source)")
 def group_split(spark, d):
     return op.grouped_split(samples(spark, d), "source", 0.3).select("path", "split")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from segmentry.functions.vectors import cosine, l2_normalize, sq_l2
+from segmentry.operators import index as stored_index
 from segmentry.operators import scoring, search
 from segmentry.plans.registry import query, table
 from segmentry.plans.views import SEGMENTS, duck, segments, view
@@ -104,25 +105,24 @@ def pairwise_similarity(spark, d):
     return found.select(F.col("query_id").alias("a"), F.col("id").alias("b"), "score")
 
 
-def _cells(spark, d):
-    rows = corpus(spark, d).withColumn("vec", l2_normalize("vec"))
-    centroids = search.train_cells(rows)
-    return search.nearest_cells(rows, centroids, 1), centroids
+def _built(spark, d, rows=None, measure=True):
+    return stored_index.build(corpus(spark, d) if rows is None else rows, shared_folder(spark, "index"), k=5, measure=measure)
 
 
 @query("knn_ivf")
 def knn_ivf(spark, d):
-    index, centroids = _cells(spark, d)
-    return search.knn_ivf(index, asked(spark, d), centroids, 5, search.probes(index, centroids, 5))
+    return stored_index.search(_built(spark, d), asked(spark, d), 5)
 
 
-@query("ann_recall_at_k")
+@query("ann_recall_at_k", "select true as one_cell_is_less, true as reached, true as all_cells_are_exact, count(*) as asked from embeddings where vec_id % 20 = 0")
 def ann_recall_at_k(spark, d):
-    index, centroids = _cells(spark, d)
-    q = asked(spark, d)
-    exact = search.knn_exact(corpus(spark, d), q, 10)
-    parts = [search.recall_at_k(search.knn_ivf(index, q, centroids, 10, n), exact).agg(F.lit(n).alias("nprobe"), F.avg(F.col("hits") / F.col("truth")).alias("recall")) for n in (1, 4, 16)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """recall@5 of one cell, of the number chosen when the index was built, and of all cells, against exact search."""
+    index, q = _built(spark, d), asked(spark, d)
+    exact = search.knn_exact(corpus(spark, d), q, 5)
+    recall = F.sum("hits") / F.sum("truth")
+    one, chosen, every = (search.recall_at_k(stored_index.search(index, q, 5, n), exact).agg(recall.alias(name), F.count(F.lit(1)).alias(f"n_{name}")) for n, name in ((1, "one"), (index.nprobe, "chosen"), (len(index.centroids), "every")))
+    # three tables of one row
+    return one.join(chosen).join(every).select((F.col("one") <= F.col("chosen")).alias("one_cell_is_less"), (F.col("chosen") >= 0.9).alias("reached"), (F.col("every") == 1).alias("all_cells_are_exact"), F.col("n_every").alias("asked"))
 
 
 @query("recall_formula", IP + """, exact as (select query_id, id from ranked where rank <= 10), approx as (select query_id, id from (select *, row_number() over (partition by query_id order by score desc, id) as r from scored where id % 3 <> 0) t where r <= 10)
@@ -135,29 +135,25 @@ def recall_formula(spark, d):
 
 @query("index_roundtrip", IP + " select query_id, id, round(score, 4) as score, rank from ranked where rank <= 5")
 def index_roundtrip(spark, d):
-    index, centroids = _cells(spark, d)
-    path = shared_folder(spark, "index")
-    index.write.partitionBy("cell_id").parquet(path)
-    found = search.knn_ivf(spark.read.parquet(path), asked(spark, d), centroids, 5, len(centroids))
+    """Built, loaded by path alone, all cells probed."""
+    index = stored_index.load(spark, _built(spark, d, measure=False).path)
+    found = stored_index.search(index, asked(spark, d), 5, len(index.centroids))
     return found.select("query_id", "id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("build_index")
+@query("build_index", "select vec_id as id, true as unit from embeddings")
 def build_index(spark, d):
-    index, _ = _cells(spark, d)
-    return index.groupBy("cell_id").agg(F.count(F.lit(1)).alias("n"))
+    """Every row is in one cell, with unit length."""
+    rows = _built(spark, d).rows(spark)
+    return rows.groupBy("id").agg(((F.count(F.lit(1)) == 1) & (F.abs(F.max(search.inner_product("vec", "vec")) - 1) < 1e-6)).alias("unit"))
 
 
 @query("index_incremental", IP + " select query_id, id, round(score, 4) as score, rank from ranked where rank <= 5")
 def index_incremental(spark, d):
     """A later batch goes into the cells of the frozen centroids; probing all cells then equals exact search over both."""
-    rows = corpus(spark, d).withColumn("vec", l2_normalize("vec"))
-    first, later = rows.where("id % 5 <> 0"), rows.where("id % 5 = 0")
-    centroids = search.train_cells(first)
-    path = shared_folder(spark, "index")
-    search.nearest_cells(first, centroids, 1).write.partitionBy("cell_id").parquet(path)
-    search.nearest_cells(later, centroids, 1).write.partitionBy("cell_id").mode("append").parquet(path)
-    found = search.knn_ivf(spark.read.parquet(path), asked(spark, d), centroids, 5, len(centroids))
+    index = _built(spark, d, corpus(spark, d).where("id % 5 <> 0"), measure=False)
+    stored_index.add(index, corpus(spark, d).where("id % 5 = 0"), 1)
+    found = stored_index.search(index, asked(spark, d), 5, len(index.centroids))
     return found.select("query_id", "id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -281,15 +277,15 @@ def bm25_search(spark, d):
     return search.bm25(documents(spark, d), questions(spark, d), 3).select("query_id", "id", F.round("score", 4).alias("score"))
 
 
-@query("hybrid_rrf", BM25 + """, o as (select query_id, id, count(*) as hits from a join tf using (term) group by query_id, id), orr as (select *, row_number() over (partition by query_id order by hits desc, id) as rank from o),
+@query("hybrid_rrf", BM25 + """, o as (select item_id as query_id, v.vec_id as id, round(list_dot_product(q.embedding::double[], v.embedding::double[]), 6) as score from benchmark join embeddings q on q.vec_id = item_id, embeddings v),
+orr as (select *, row_number() over (partition by query_id order by score desc, id) as rank from o),
 f as (select query_id, id, round(coalesce(1 / (60 + x.rank), 0) + coalesce(1 / (60 + y.rank), 0), 6) as score from (select * from br where rank <= 20) x full join (select * from orr where rank <= 20) y using (query_id, id))
 select query_id, id, score, cast(rank as int) as rank from (select *, row_number() over (partition by query_id order by score desc, id) as rank from f) t where rank <= 5""")
 def hybrid_rrf(spark, d):
-    docs, q = documents(spark, d), questions(spark, d)
-    ask = q.select("query_id", F.explode(F.array_distinct(search.tokens(F.col("text")))).alias("term"))
-    words = docs.select("id", F.explode(F.array_distinct(search.tokens(F.col("text")))).alias("term"))
-    overlap = ask.join(words, "term").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("score"))
-    return search.rrf(search.bm25(docs, q, 20), search.top_k(overlap, 20), 5)
+    """Text and vector search fused; a question's vector is that of its number, and one without has its text alone."""
+    q = questions(spark, d)
+    vectors = corpus(spark, d).withColumnRenamed("id", "query_id").join(q.select("query_id"), "query_id", "left_semi")
+    return search.rrf(search.bm25(documents(spark, d), q, 20), search.knn_exact(corpus(spark, d), vectors, 20, normalize=False), 5)
 
 
 @query("qa_extract", BM25 + """, h as (select query_id, id from br where rank <= 1),

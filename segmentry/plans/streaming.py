@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from segmentry.operators import dataprep, search
+from segmentry.operators import dataprep, index, search
 from segmentry.plans.registry import query, table
-from segmentry.plans.retrieval import IP, SEG, asked, corpus
+from segmentry.plans.retrieval import IP, asked, corpus
 from segmentry.plans.streams import MERGED
-from segmentry.plans.views import regions, segments
+from segmentry.plans.views import regions
 from segmentry.sources.files import shared_folder
 from segmentry.streaming import jobs
 
@@ -17,10 +17,15 @@ def timed(spark, d):
     return table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
 
 
-@query("stream_ingest", f"with {SEG} select segment_id, video_id, start_frame, end_frame from segments")
+@query("stream_ingest", IP + " select query_id, id, round(score, 4) as score, rank from ranked where rank <= 5")
 def stream_ingest(spark, d):
-    rows = segments(spark, d).select("segment_id", "video_id", "start_frame", "end_frame")
-    return jobs.append_once(jobs.source(rows, "arrivals"), shared_folder(spark, "ingested"), "ingest")
+    """Vectors that arrive are added to an index built from others; it then answers as exact search over all."""
+    rows = corpus(spark, d)
+    built = index.build(rows.where("id % 5 <> 0"), shared_folder(spark, "index"), measure=False)
+    arriving = jobs.source(rows.where("id % 5 = 0"), "arrivals")
+    jobs.run_batches(arriving, lambda batch, n: index.add(built, batch, n + 1), "ingest")
+    found = index.search(built, asked(spark, d), 5, len(built.centroids))
+    return found.select("query_id", "id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("stream_dedup", "select source, 1::bigint as kept from documents group by source")

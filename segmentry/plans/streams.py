@@ -116,14 +116,31 @@ def ward_segments(spark, d):
     return op.ward_segments(windows(spark, d).drop("value"), 15.0)
 
 
-@query("segment_pipeline")
+def _videos(spark, d):
+    """Segment vectors as frames of one video a label; labels 3 and 7 are spoilt."""
+    s = segments(spark, d).select("label", F.col("video_id"), F.col("i").alias("frame_idx"), F.col("embedding").cast("array<double>").alias("vec"))
+    vec = F.when((F.col("label") == 3) & (F.col("frame_idx") == 2), F.array(F.lit(1.0))).when((F.col("label") == 7) & (F.col("frame_idx") == 1), F.lit(None)).otherwise(F.col("vec"))
+    return s.withColumn("vec", vec).drop("label")
+
+
+@query("segment_pipeline", f"""with {SEG}, v as (select video_id, label, count(*) as n from segments group by video_id, label)
+select video_id, n as num_frames, case label when 3 then 'vectors of unequal size' when 7 then 'missing or infinite values' end as error, case when label not in (3, 7) then n end as covered, case when label not in (3, 7) then 0 end as holes from v""")
 def segment_pipeline(spark, d):
-    """Windows, pooling, smoothing, clustering, runs, mean and midpoint: tiles every video."""
-    labels = op.ward_segments(windows(spark, d), 15.0)
-    runs = op.runs_from_labels(labels)
-    mid = F.least(F.floor((F.col("start_frame") + F.col("end_frame")) / 2).cast("int"), F.col("end_frame") - 1)
-    mean = labels.groupBy("video_id", "label").agg(F.round(F.avg("value"), 6).alias("mean_value"))
-    return runs.withColumn("midpoint_frame", mid).join(mean, ["video_id", "label"])
+    """Every good video is tiled: its segments cover all frames and each starts where the one before ends."""
+    cut, status = op.segment_videos(_videos(spark, d), 8, 4, 3, 1.0)
+    before = F.coalesce(F.lag("end_frame").over(op.Window.partitionBy("video_id").orderBy("start_frame")), F.lit(0))
+    tiles = cut.withColumn("hole", (before != F.col("start_frame")).cast("int")).groupBy("video_id").agg(F.sum(F.col("end_frame") - F.col("start_frame")).alias("covered"), F.sum("hole").alias("holes"))
+    return status.join(tiles, "video_id", "left")
+
+
+@query("window_pool_vectors", f"""with {SEG}, n as (select video_id, count(*)::int as n from segments group by video_id),
+w as (select video_id, n, unnest(case when n <= 8 then [0] else list_distinct(list_concat(range(0, n - 8 + 1, 4), [n - 8])) end)::int as window_start from n),
+m as (select w.video_id, window_start, n, i, unnest(embedding::double[]) as x, generate_subscripts(embedding, 1) - 1 as pos from w join segments s on s.video_id = w.video_id and i >= window_start and i < window_start + 8),
+k as (select *, case when i = n - 1 and n < 8 then 9 - n else 1 end as weight from m)
+select video_id, window_start, pos::int as pos, round(sum(x * weight) / 8, 5) as v from k group by video_id, window_start, pos""")
+def window_pool_vectors(spark, d):
+    rows = segments(spark, d).select("video_id", F.col("i").alias("frame_idx"), F.col("embedding").alias("vec"))
+    return op.pool_vectors(rows, 8, 4).select("video_id", "window_start", F.posexplode("vec").alias("pos", "v")).withColumn("v", F.round("v", 5))
 
 
 DOC = f"""{SEGMENTS}, told as (select s.*, d.text as asr_text from segments s left join {{documents}} d on d.doc_id = s.segment_id and s.segment_id % 4 > 0),
