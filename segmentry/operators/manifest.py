@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from segmentry.functions.text import strip
 from segmentry.operators.dataprep import outcome
 
 OUTCOMES = ("ok", "duplicate", "missing", "corrupt")
@@ -55,3 +58,85 @@ def by_quality(samples: DataFrame, labels: DataFrame, key: str, least: int = 1,
     good = F.col("_quality") >= least
     keep = F.coalesce(good, F.lit(False)) & (F.trim("caption") != "") if strict else F.coalesce(good, F.lit(True))
     return joined.where(keep).drop("_quality")
+
+
+def in_order(*sources: DataFrame) -> DataFrame:
+    """All rows of ``sources``, with src, the number of the source."""
+    return reduce(DataFrame.unionByName, [df.withColumn("src", F.lit(i)) for i, df in enumerate(sources)])
+
+
+def presence(samples: DataFrame, listing: DataFrame, key: str, *by: str) -> DataFrame:
+    """(by, missing, present): samples counted by whether ``listing`` has their key."""
+    marked = samples.join(listing.select(key, F.lit(True).alias("_there")).distinct(), key, "left")
+    return marked.groupBy(*by).agg(F.count_if(F.col("_there").isNull()).alias("missing"), F.count("_there").alias("present"))
+
+
+def missing_urls(samples: DataFrame, listing: DataFrame, urls: DataFrame, key: str) -> DataFrame:
+    """Samples that ``listing`` lacks, each with its url of ``urls`` (key, url); null where none is known."""
+    return remaining(samples, listing, key).join(urls.select(key, "url"), key, "left")
+
+
+def ordered_distinct(df: DataFrame, value: str, place: str, groups: dict[str, list[str]] | None = None) -> DataFrame:
+    """(value, place, nth): each value once, where it first stands; a name in ``groups`` stands for the values listed there,
+    the ``nth`` of them in turn."""
+    each = F.array(F.col(value))
+    for name, members in (groups or {}).items():
+        each = F.when(F.col(value) == name, F.array(*[F.lit(m) for m in members])).otherwise(each)
+    named = df.select(F.col(place).alias("place"), F.posexplode(each).alias("nth", value))
+    return named.groupBy(value).agg(F.min(F.struct("place", "nth")).alias("first")).select(value, "first.*")
+
+
+def _blank(text: Column) -> Column:
+    return F.coalesce(strip(text), F.lit("")) == ""
+
+
+def sample_error(media=("image", "video"), least_frames: int = 1) -> Column:
+    """The first rule that a sample (path, media_type, num_frames, caption) breaks, or null."""
+    return (
+        F.when(_blank(F.col("path")), "no path").when(F.col("path").startswith("/"), "absolute path")
+        .when(~F.coalesce(F.col("media_type").isin(*media), F.lit(False)), "unknown media type")
+        .when(F.coalesce("num_frames", F.lit(0)) < least_frames, "too few frames").when(_blank(F.col("caption")), "no caption")
+    )
+
+
+def validate_requests(requests: DataFrame, texts=("query",), events: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(good, rejected): top_k must be over 0, each of ``texts`` not blank, and there must be an event, none of them blank,
+    where ``events`` names a list of them. Rejected rows have code and message."""
+    message = F.when(F.coalesce("top_k", F.lit(0)) <= 0, "top_k must be positive")
+    for name in texts:
+        message = message.when(_blank(F.col(name)), f"{name} must not be blank")
+    if events:
+        none = F.coalesce(F.size(events), F.lit(0)) <= 0
+        message = message.when(none, "no event").when(F.exists(events, _blank), "blank event")
+    told = requests.withColumn("message", message)
+    return told.where("message is null").drop("message"), told.where("message is not null").withColumn("code", F.lit("INVALID_REQUEST"))
+
+
+def contains_any(df: DataFrame, text: str, *fields: str) -> Column:
+    """Whether one of ``fields`` has ``text`` in it, in whatever case; numbers count as written, and of a list any item may
+    have it. A blank text is in all rows."""
+    if not text.strip():
+        return F.lit(True)
+    wanted = F.lit(text.strip().lower())
+    inside = lambda c: F.coalesce(F.contains(F.lower(c.cast("string")), wanted), F.lit(False))
+    is_list = lambda f: df.schema[f].dataType.typeName() == "array"
+    parts = [F.coalesce(F.exists(f, inside), F.lit(False)) if is_list(f) else inside(F.col(f)) for f in fields]
+    return reduce(Column.__or__, parts, F.lit(False))
+
+
+def rule_counts(df: DataFrame, by: list[str], **broken: Column) -> DataFrame:
+    """How many rows of each group break each rule."""
+    return df.groupBy(*by).agg(*[F.count_if(rule).alias(name) for name, rule in broken.items()])
+
+
+# What a case of the ground truth may say.
+DIFFICULTIES, CASE_SOURCES = ("easy", "medium", "hard"), ("sample", "synthetic")
+
+
+def case_rules() -> dict[str, Column]:
+    """Rules for test cases (query_text, difficulty, source, frame), each true where it is broken."""
+    not_in = lambda name, allowed: ~F.coalesce(F.col(name).isin(*allowed), F.lit(False))
+    return {
+        "bad_difficulty": not_in("difficulty", DIFFICULTIES), "bad_source": not_in("source", CASE_SOURCES),
+        "bad_frame": F.coalesce("frame", F.lit(-1)) < 0, "empty": _blank(F.col("query_text")),
+    }

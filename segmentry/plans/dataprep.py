@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from segmentry.functions import text as t
 from segmentry.operators import dataprep as op
 from segmentry.operators import manifest
-from segmentry.plans.registry import query, shared, table
+from segmentry.plans.registry import query, table
 from segmentry.plans.views import SAMPLES, duck, samples
 from segmentry.sources import files
 
@@ -16,24 +16,61 @@ ROWS = f"""{SAMPLES},
 raw as (select *, 0 as ord from samples union all select path, caption, media_type, source, doc_id + 5000000, num_frames, 1 from samples where doc_id % 9 = 0),
 known as (select path, caption, media_type, source, doc_id, num_frames, row_number() over (partition by path order by ord, doc_id) as place from raw where coalesce(trim(caption), '') <> ''),
 told as (select *, case when place > 1 then 'duplicate' when doc_id % 8 = 0 then 'missing' when num_frames < 200 then 'corrupt' else 'ok' end as outcome from known)"""
-for _name, _select in {
-    "source_union": "select path, media_type, cast(src as int) as src from (select path, media_type, 0 as src from samples where media_type = 'image' union all select path, media_type, 1 from samples where media_type = 'video' and source < 'src5' union all select path, media_type, 2 from samples where media_type = 'video' and source >= 'src5') u",
-    "missing_file_anti": "select source, count(case when l.doc_id is null then 1 end) as missing, count(l.doc_id) as present from samples s left join (select distinct doc_id from {labels}) l on l.doc_id = s.doc_id group by source",
-    "missing_url_lookup": "select s.path, p.url from samples s left join (select distinct doc_id from {labels}) l on l.doc_id = s.doc_id left join {pages} p on p.page_id = s.doc_id where l.doc_id is null",
-    "ordered_distinct": "select source, min(doc_id) as place from samples group by source",
-    "sample_validate": "select path, (left(path, 1) <> '/' and media_type in ('image', 'video') and num_frames > 150 and coalesce(caption, '') <> '') as valid from samples",
-    "request_validate": "select doc_id, case when doc_id % 7 - 1 <= 0 then 'INVALID_REQUEST' when trim(caption) = '' then 'INVALID_REQUEST' else 'OK' end as code from samples",
-    "substring_search": "select doc_id from samples where contains(lower(path), 'src1') or contains(cast(num_frames as string), '77') or contains(lower(caption), 'the')",
-    "ground_truth_validate": "select source, count(case when num_frames < 0 then 1 end) as bad_frame, count(case when media_type not in ('image', 'video') then 1 end) as bad_type, count(case when trim(caption) = '' then 1 end) as empty from samples group by source",
-    "caption_tsv_clean": "select trim(translate(s.caption, '\t\n', '  ')) as caption, trim(p.url) as url from samples s join {pages} p on p.page_id = s.doc_id where trim(s.caption) <> ''",
-}.items():
-    shared(_name, f"with {ROWS} {_select}")
-from segmentry.plans.registry import SQL  # noqa: E402
-
-SQL["caption_tsv_clean"] = SQL["caption_tsv_clean"].replace("'\t\n'", "chr(9) || chr(10)")
-
-
-def _run_caption_tsv(spark, d):
+TOLD = "with " + duck(ROWS)
+
+
+@query("source_union", TOLD + " select path, media_type, 0 as src from samples where media_type = 'image' union all select path, media_type, 1 from samples where media_type = 'video' and source < 'src5' union all select path, media_type, 2 from samples where media_type = 'video' and source >= 'src5'")
+def source_union(spark, d):
+    s = samples(spark, d).select("path", "media_type", "source")
+    video = s.where("media_type = 'video'")
+    return manifest.in_order(s.where("media_type = 'image'"), video.where("source < 'src5'"), video.where("source >= 'src5'")).drop("source")
+
+
+@query("missing_file_anti", TOLD + " select source, count(case when l.doc_id is null then 1 end) as missing, count(l.doc_id) as present from samples s left join (select distinct doc_id from labels) l on l.doc_id = s.doc_id group by source")
+def missing_file_anti(spark, d):
+    return manifest.presence(samples(spark, d), table(spark, d, "labels"), "doc_id", "source")
+
+
+@query("missing_url_lookup", TOLD + " select s.path, p.url from samples s left join (select distinct doc_id from labels) l on l.doc_id = s.doc_id left join pages p on p.page_id = s.doc_id where l.doc_id is null")
+def missing_url_lookup(spark, d):
+    pages = table(spark, d, "pages").withColumnRenamed("page_id", "doc_id")
+    return manifest.missing_urls(samples(spark, d), table(spark, d, "labels"), pages, "doc_id").select("path", "url")
+
+
+@query("ordered_distinct", TOLD + " select source, min(doc_id) as place from samples group by source")
+def ordered_distinct(spark, d):
+    return manifest.ordered_distinct(samples(spark, d), "source", "doc_id").select("source", "place")
+
+
+@query("sample_validate", TOLD + " select path, (left(path, 1) <> '/' and media_type in ('image', 'video') and num_frames > 150 and coalesce(caption, '') <> '') as valid from samples")
+def sample_validate(spark, d):
+    return samples(spark, d).select("path", manifest.sample_error(least_frames=151).isNull().alias("valid"))
+
+
+@query("request_validate", TOLD + " select doc_id, case when doc_id % 7 - 1 <= 0 or coalesce(trim(caption), '') = '' then 'INVALID_REQUEST' else 'OK' end as code from samples")
+def request_validate(spark, d):
+    good, rejected = manifest.validate_requests(samples(spark, d).select("doc_id", (F.col("doc_id") % 7 - 1).alias("top_k"), F.col("caption").alias("query")))
+    return good.select("doc_id", F.lit("OK").alias("code")).unionByName(rejected.select("doc_id", "code"))
+
+
+@query("substring_search", TOLD + " select doc_id from samples where contains(lower(path), 'src1') or contains(cast(num_frames as string), '77') or contains(lower(caption), 'the')")
+def substring_search(spark, d):
+    s = samples(spark, d).withColumn("events", F.array("caption"))
+    has = lambda text, field: manifest.contains_any(s, text, field)
+    return s.where(has(" SRC1 ", "path") | has("77", "num_frames") | has("The", "events")).select("doc_id")
+
+
+@query("ground_truth_validate", TOLD + " select source, count(case when num_frames < 0 then 1 end) as bad_frame, count(case when media_type not in ('image', 'video') then 1 end) as bad_type, count(case when coalesce(trim(caption), '') = '' then 1 end) as empty from samples group by source")
+def ground_truth_validate(spark, d):
+    """The rules for frames and texts as they are; the media type stands for the two enums, whose values no table has."""
+    cases = samples(spark, d).withColumnsRenamed({"num_frames": "frame", "caption": "query_text"})
+    rules = manifest.case_rules()
+    kept = {name: rules[name] for name in ("bad_frame", "empty")}
+    return manifest.rule_counts(cases, ["source"], bad_type=~F.col("media_type").isin("image", "video"), **kept)
+
+
+@query("caption_tsv_clean", TOLD + " select trim(translate(s.caption, chr(9) || chr(10), '  ')) as caption, trim(p.url) as url from samples s join pages p on p.page_id = s.doc_id where trim(s.caption) <> ''")
+def caption_tsv_clean(spark, d):
     """Written as TSV in the shared folder and read back."""
     rows = samples(spark, d).join(table(spark, d, "pages").withColumnRenamed("page_id", "doc_id"), "doc_id").select("caption", "url")
     path = files.shared_folder(spark, "tsv")
@@ -41,12 +78,6 @@ def _run_caption_tsv(spark, d):
     return spark.read.schema("caption string, url string").option("quote", "").csv(path, sep="\t")
 
 
-query("caption_tsv_clean", SQL["caption_tsv_clean"])(_run_caption_tsv)
-
-
-TOLD = "with " + duck(ROWS)
-
-
 def _rows(spark, d):
     """Samples, and every ninth once more under its path."""
     s = samples(spark, d).withColumn("ord", F.lit(0))

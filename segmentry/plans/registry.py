@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict = {}
@@ -22,12 +20,3 @@ def query(name: str, sql: str | None = None):
         return f
 
     return add
-
-
-def shared(name: str, sql: str) -> None:
-    """A query that both engines read alike; tables stand in braces."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.sql(sql, **{t: table(spark, sf_dir, t) for t in set(re.findall(r"\{(\w+)\}", sql))})
-
-    QUERIES[name], SQL[name] = run, re.sub(r"\{(\w+)\}", r"\1", sql)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from segmentry.operators import dataprep, index, search
+from segmentry.operators import index, search
 from segmentry.plans.registry import query, table
 from segmentry.plans.retrieval import IP, asked, corpus
 from segmentry.plans.streams import MERGED
@@ -31,16 +31,9 @@ def stream_ingest(spark, d):
 @query("stream_dedup", "select source, 1::bigint as kept from documents group by source")
 def stream_dedup(spark, d):
     rows = table(spark, d, "documents").select("doc_id", "source")
-    path = shared_folder(spark, "seen")
-
-    def each(batch, n):
-        new = dataprep.first_wins(batch, "source", "doc_id")
-        if n:
-            new = new.join(spark.read.schema(rows.schema).parquet(*[f"{path}/batch={i}" for i in range(n)]), "source", "left_anti")
-        new.select("doc_id", "source").write.mode("overwrite").parquet(f"{path}/batch={n}")
-
-    jobs.run_batches(jobs.source(rows, "documents"), each, "dedup")
-    return spark.read.schema(rows.schema).parquet(path).groupBy("source").agg(F.count(F.lit(1)).alias("kept"))
+    new = jobs.first_arrivals(jobs.source(rows, "documents"), ["source"])
+    kept = jobs.append_once(new, shared_folder(spark, "seen"), "dedup")
+    return kept.groupBy("source").agg(F.count(F.lit(1)).alias("kept"))
 
 
 @query("stream_sessions", MERGED + " select video_id, start_s, end_s from m")
@@ -56,13 +49,15 @@ def stream_sessions(spark, d):
 @query("stream_sliding", """with s as (select epoch_us(ts) // 1000000 as t, value from events), w as (select (t // 3600 - unnest(range(6))) * 3600 as start_s, value from s)
 select start_s, count(*) as n, round(sum(value), 3) as value from w group by start_s""")
 def stream_sliding(spark, d):
-    out = jobs.totals(jobs.sliding(jobs.source(timed(spark, d), "events"), "6 hours", "1 hour"), "sliding")
+    rows = timed(spark, d)
+    out = jobs.totals(jobs.sliding(jobs.source(rows, "events"), "6 hours", "1 hour", jobs.span(rows)), ["w"], "sliding")
     return out.select(F.unix_seconds("w.start").alias("start_s"), "n", "value")
 
 
 @query("stream_counters", "select (epoch_us(ts) // 86400000000) * 86400 as start_s, count(*) as n, count(*) filter (value < 20) as low from events group by 1")
 def stream_counters(spark, d):
-    out = jobs.totals(jobs.counters(jobs.source(timed(spark, d), "events"), "1 day"), "counters")
+    rows = timed(spark, d)
+    out = jobs.totals(jobs.counters(jobs.source(rows, "events"), "1 day", jobs.span(rows)), ["w"], "counters")
     return out.select(F.unix_seconds("w.start").alias("start_s"), "n", "low")
 
 

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from segmentry.sources.files import shared_folder
 
-EVENT = "event_id long, ts timestamp, video_id string, start_s long, end_s long, value double"
-
 
 def source(df: DataFrame, name: str, batches: int = 3) -> DataFrame:
     """A stream over ``df``, written as files of a folder; one file a trigger."""
@@ -29,13 +28,31 @@ def append_once(stream: DataFrame, path: str, name: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(path).drop("batch")
 
 
-def totals(aggregated: DataFrame, name: str) -> DataFrame:
-    """The complete result of a streaming aggregation after all input: the last batch's table."""
+def totals(aggregated: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """The result of a streaming aggregation after all input. A batch writes only the groups that it changed, in a folder of
+    its own number; of a group the row of its last batch counts."""
     path = shared_folder(aggregated.sparkSession, name)
     place = shared_folder(aggregated.sparkSession, f"{name}-checkpoint")
-    writer = aggregated.writeStream.outputMode("complete").foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(path))
+    writer = aggregated.writeStream.outputMode("update").foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/batch={n}"))
     writer.option("checkpointLocation", place).trigger(availableNow=True).start().awaitTermination()
-    return aggregated.sparkSession.read.schema(aggregated.schema).parquet(path)
+    fields = StructType([*aggregated.schema.fields, StructField("batch", LongType())])
+    rows = aggregated.sparkSession.read.schema(fields).parquet(path)
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in aggregated.columns if c not in keys]), "batch").alias("last"))
+    return last.select(*keys, "last.*")
+
+
+def first_arrivals(stream: DataFrame, keys: list[str], at: str | None = None, delay: str | None = None) -> DataFrame:
+    """The first row of each key to arrive, as the state store knows them. With a time column a key is forgotten ``delay``
+    after it, so the state is bounded; without one all keys are kept."""
+    if at is None:
+        return stream.dropDuplicates(keys)
+    return stream.withWatermark(at, delay).dropDuplicatesWithinWatermark(keys)
+
+
+def span(df: DataFrame, at: str = "ts") -> str:
+    """The time between the first and the last row, as a delay with which no row of a finite table is late."""
+    low, high = df.agg(F.min(F.unix_seconds(at)), F.max(F.unix_seconds(at))).first()
+    return f"{(high or 0) - (low or 0) + 1} seconds"
 
 
 def sessions(stream: DataFrame, pad: int, gap: int, delay: str = "30 days") -> DataFrame:
@@ -67,12 +84,16 @@ def all_sessions(rows: DataFrame, folder: str, pad: int, gap: int) -> DataFrame:
     return spark.read.schema(run()).parquet(path)
 
 
-def sliding(stream: DataFrame, size: str, stride: str) -> DataFrame:
-    return stream.groupBy(F.window("ts", size, stride).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 3).alias("value"))
+def sliding(stream: DataFrame, size: str, stride: str, delay: str) -> DataFrame:
+    """Windows over ts; their state is freed, and rows are late, once the newest ts is ``delay`` past them."""
+    windows = stream.withWatermark("ts", delay).groupBy(F.window("ts", size, stride).alias("w"))
+    return windows.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 3).alias("value"))
 
 
-def counters(stream: DataFrame, size: str) -> DataFrame:
-    return stream.groupBy(F.window("ts", size).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") < 20).alias("low"))
+def counters(stream: DataFrame, size: str, delay: str) -> DataFrame:
+    """Tumbling windows, with the same rule for late rows."""
+    windows = stream.withWatermark("ts", delay).groupBy(F.window("ts", size).alias("w"))
+    return windows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") < 20).alias("low"))
 
 
 def live_top_k(spark: SparkSession, questions: DataFrame, search, path: str) -> DataFrame:
