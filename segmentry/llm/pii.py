@@ -2,11 +2,11 @@
 classifier trained on the estimates decides.
 
 Candidates are the base patterns (email, ip, card, phone) and looser forms beside them (spelled-out addresses, phone
-numbers without a country code). Three labelers vote yes, no or abstain on each: its form (regex), its parts (gazetteer
-of endings, issuer digits, country codes, networks) and its surroundings (context words, glued characters). Votes are
-counted by kind and pattern, at most 108 rows; expectation-maximisation over these rows gives every pattern its
-probability. Candidates weighted by it train a naive Bayes classifier over span features, again counted in a table of
-fixed size. Base spans always stay; a looser one is added if the classifier gives it at least ``least``.
+numbers without a country code, and secrets: long tokens of letters and digits, as keys and passwords are). Three labelers vote yes, no or abstain on each: its form (regex), its parts (gazetteer
+of endings, issuer digits, country codes, networks, prefixes of keys) and its surroundings (context words, glued characters). Votes are
+counted by kind and pattern, at most 135 rows; expectation-maximisation over these rows gives every pattern its
+probability. Candidates weighted by it train a naive Bayes classifier for each kind over span features, again counted in a
+table of fixed size. Base spans always stay; a looser one is added if the classifier gives it at least ``least``.
 
 Positions are code points: texts are split at the matches of a pattern, and lengths of gaps and matches are summed. All
 patterns are written so that Java scans them in linear time with the meaning of the plain ones.
@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from segmentry.llm.common import let, read, stored, text_or_empty
 
-KINDS = ["email", "ip", "card", "phone"]
+BASE_KINDS = ["email", "ip", "card", "phone"]
+KINDS = [*BASE_KINDS, "secret"]
 LEAST, ROUNDS, SMOOTH = 0.9, 20, 1.0
 _L = "A-Za-z0-9._%+-"
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
@@ -40,6 +41,7 @@ _BASE = [
 _LOOSE = [
     ("email", lambda t: t.rlike(r"[\[(]"), rf"(?<![{_L}])[{_L}]++ ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]+(?:(?: ?[\[(] ?dot ?[\])] ?|\.)[A-Za-z0-9-]+)+"),
     ("phone", lambda t: t.rlike("[0-9]"), r"(?<!\+[0-9 ().-]{0,24})(?<![0-9A-Za-z.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[.-][0-9]{4}(?![0-9A-Za-z.-])"),
+    ("secret", lambda t: t.rlike("[0-9]"), r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+"),
 ]
 # Gazetteers and context words.
 _ENDINGS = "com org net edu gov info io de fr es uk eu us ca ch at it nl be"
@@ -48,7 +50,9 @@ _CONTEXT = {
     "ip": "ip host server address adresse servidor",
     "card": "card visa credit payment karte carte tarjeta",
     "phone": "call phone tel telephone mobile telefon telefono",
+    "secret": "token key apikey secret password passwd pwd credential credentials bearer authorization",
 }
+_KEYS = "AKIA ASIA ghp_ gho_ ghs_ github_pat_ glpat- xoxb- xoxp- sk- sk_live_ pk_live_ AIza eyJ hf_ npm_"
 
 
 def _digits(c: Column) -> Column:
@@ -71,6 +75,7 @@ def _holds(kind: str, match: Column) -> Column:
         "ip": match.rlike(rf"^{_PART}(?:\.{_PART}){{3}}$"),
         "card": F.when(n.between(12, 19), luhn(_digits(match))).otherwise(False),
         "phone": n.between(9, 15),
+        "secret": (n >= 4) & match.rlike("[A-Za-z]"),
     }[kind]
 
 
@@ -101,7 +106,7 @@ def _matches(text: Column, kind: str, pattern: str, base: bool) -> Column:
                     (F.get(starts, i) + F.length(F.get(gaps, i)) + F.length(m)).alias("end"),
                     m.alias("match"), F.right(F.get(gaps, i), F.lit(24)).alias("left"), F.left(F.get(gaps, i + 1), F.lit(1)).alias("right"), F.lit(base).alias("base"),
                 ))
-                return F.filter(every, lambda s: _holds(kind, s["match"])) if base else every
+                return F.filter(every, lambda s: _holds(kind, s["match"])) if base or kind == "secret" else every
 
             return let(_before(sizes), made)
 
@@ -137,15 +142,18 @@ def _votes(s: Column) -> list[Column]:
         "ip": vote(match.rlike(rf"^{_PART}(?:\.{_PART}){{3}}$"), F.lit(False)),
         "card": vote(F.length(d).isin(13, 15, 16), F.length(d) < 13),
         "phone": vote(F.length(d).between(10, 13), F.length(d) < 9),
+        "secret": vote(match.rlike("^(?:[0-9a-f]{32,}|[0-9A-F]{32,})$") | (match.rlike("[a-z]") & match.rlike("[A-Z]") & ~match.rlike("[A-Za-z]{12}")), match.rlike("[A-Za-z]{12}")),
     }[k])
     gazetteer = _kind_case(s, lambda k: {
         "email": vote(F.lower(F.regexp_extract(match, r"([A-Za-z]+)$", 1)).isin(*_ENDINGS.split()), F.lit(False)),
         "ip": vote(match.rlike(r"^(?:[1-9][0-9]?|1[0-9]{2}|2[0-2][0-9])\."), match.rlike(r"^0")),
         "card": vote(d.rlike("^[3-6]"), d.rlike("^0")),
         "phone": vote(match.rlike(r"^\+(?:1|[2-9][0-9])"), d.rlike("^0{3}")),
+        "secret": vote(match.rlike(f"^(?:{'|'.join(_KEYS.split())})"), match.rlike("^[0-9]+[_-]") | match.rlike("[_-][0-9]{1,6}$")),
     }[k])
     cue = _kind_case(s, lambda k: F.lower(s["left"]).rlike(rf"(?:^|[^a-z])(?:{'|'.join(_CONTEXT[k].split())})[^a-z0-9]{{1,4}}$"))
-    context = vote(cue, s["right"].rlike("[0-9A-Za-z]"))
+    # a secret is told by the name before it
+    context = vote(cue, s["right"].rlike("[0-9A-Za-z]") | (s["kind"] == KINDS.index("secret")))
     return [form, gazetteer, context]
 
 
@@ -196,12 +204,14 @@ def classifier(spans: DataFrame):
     named = lambda s: F.array(*[F.concat_ws(",", s["kind"], F.lit(i), f) for i, f in enumerate(_feature(s))])
     weighed = spans.select(F.explode(named(F.col("s"))).alias("feature"), chance[key(F.col("s"))].alias("p"))
     rows = weighed.groupBy("feature").agg(F.sum("p").alias("yes"), F.sum(1 - F.col("p")).alias("no")).collect()  # features are bounded
-    yes, no = (sum(n * (x if c else 1 - x) for x, n in ((p[k], n) for k, n in counts.items())) + SMOOTH for c in (1, 0))
-    weight = {r["feature"]: math.log((r["yes"] + SMOOTH) / (yes + SMOOTH)) - math.log((r["no"] + SMOOTH) / (no + SMOOTH)) for r in rows}
-    weights, prior = _number_map(weight), math.log(yes / no)
+    # naive Bayes for each kind: its own prior, and features among its own candidates
+    mass = {kind: [sum(n * (p[k] if c else 1 - p[k]) for k, n in counts.items() if k[0] == kind) + SMOOTH for c in (1, 0)] for kind in {k[0] for k in counts}}
+    total = lambda feature, c: mass[int(feature.split(",")[0])][c] + SMOOTH
+    weight = {r["feature"]: math.log((r["yes"] + SMOOTH) / total(r["feature"], 0)) - math.log((r["no"] + SMOOTH) / total(r["feature"], 1)) for r in rows}
+    weights, priors = _number_map(weight), _number_map({str(kind): math.log(yes / no) for kind, (yes, no) in mass.items()})
 
     def probability(s: Column) -> Column:
-        odds = F.aggregate(F.transform(named(s), lambda f: F.coalesce(weights[f], F.lit(0.0))), F.lit(prior), lambda a, x: a + x)
+        odds = F.aggregate(F.transform(named(s), lambda f: F.coalesce(weights[f], F.lit(0.0))), F.coalesce(priors[s["kind"].cast("string")], F.lit(0.0)), lambda a, x: a + x)
         return 1 / (1 + F.exp(-F.greatest(F.least(odds, F.lit(500.0)), F.lit(-500.0))))
 
     return probability
@@ -226,5 +236,7 @@ def _is_base(kind: int):
 def op4_personal_data(spark, sf_dir):
     found = spans(read(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["base"])
-    counts = [F.size(F.filter("spans", _is_base(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    return found.select("doc_id", *counts, F.sha2(_told(base), 256).alias("base_sha256"), _told(F.col("spans")).alias("spans"))
+    counts = [F.size(F.filter("spans", _is_base(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(BASE_KINDS)]
+    secrets = F.size(F.filter("spans", lambda s: s["kind"] == KINDS.index("secret"))).cast("long").alias("n_secret")
+    digests = [F.sha2(_told(base), 256).alias("base_sha256"), _told(F.col("spans")).alias("spans")]
+    return found.select("doc_id", *counts, *digests, secrets, F.size("spans").cast("long").alias("n_spans"))

@@ -231,6 +231,20 @@ def test_pii(make, docs):
         assert not set(filter(None, r["base"].split(","))) - set(r["every"].split(","))
 
 
+def test_pii_secrets(make):
+    """Keys after their names are told, with their places; long names with numbers, without one, are not."""
+    rng = random.Random(6)
+    keys = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(60)]
+    names = [f"report-of-the-{rng.randint(1000, 9999)}-meetings-{rng.randint(1000, 9999)}" for _ in range(60)]
+    shape = ['é token = "{}" on', "password: {}.", "{}"]
+    texts = [shape[i % 2].format(k) for i, k in enumerate(keys)] + [f"see {n} for more" for n in names] + [None, "", f'Key="{keys[0]}" and secret = {keys[1]}']
+    got = {r["doc_id"]: r["every"] for r in pii.spans(make([(i, t, None, None) for i, t in enumerate(texts)])).select("doc_id", pii._told(F.col("spans")).alias("every")).collect()}
+    place = lambda t, k: f"secret:{t.index(k)}:{t.index(k) + 40}"
+    assert all(place(texts[i], k) in got[i].split(",") for i, k in enumerate(keys))
+    assert not any("secret" in got[60 + i] for i in range(62))
+    assert [place(texts[-1], k) for k in keys[:2]] == [x for x in got[122].split(",") if x.startswith("secret")]
+
+
 def test_reliabilities_prefer_agreeing_labelers():
     p = pii.reliabilities({(0, 1, 1, 1): 50, (0, 0, 0, 0): 50, (0, 1, 1, -1): 10, (0, 0, 0, 1): 5})
     assert p[0, 1, 1, 1] > 0.9 and p[0, 0, 0, 0] < 0.1 and p[0, 0, 0, 1] < 0.5
