@@ -18,6 +18,9 @@ _QUERIES = {
     "op8_bpe_round_trip": "bpe",
     "op9_language_id": "langid",
     "op10_exact_dedup": "exact_dedup",
+    "op11_bit_clusters": "bit_clusters",
+    "op12_url_filter": "url_filter",
+    "op13_filter_audit": "filter_audit",
 }
 
 
