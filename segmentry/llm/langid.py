@@ -6,10 +6,11 @@ at once. A text's is the product over its words (runs of letters, lower-cased),
 posterior under equal priors is predicted.
 
 Training: expectation-maximisation with the same forward pass and a backward one, over the word counts of a sample:
-at most about ``max_docs`` documents a language, taken by a hash of the id (all of them where there are fewer), of the
-``max_langs`` languages with the most documents (ties by name); words of more than 32 letters are not learned from. Every
-document is scored, each on its whole text and every word as a whole; words of more letters go through the same forward
-pass by themselves, rescaled as they go.
+at most about ``max_docs`` documents a language, taken by a hash of id and text (all of them where there are fewer). Every
+language is learned; as they do not depend on one another, they are learned, and texts scored, in blocks of ``langs_at_once``
+languages, and only a text's best language and the sum of its likelihoods are carried from block to block. Longer words
+than 32 letters are learned from in parts of that length. Every document is scored, each on its whole text and every word
+as a whole; words of more letters go through the same forward pass by themselves, rescaled as they go.
 
 Defined cases: null text, or a text without a letter, is ``und`` with score 0, as is all when no language was learned;
 ties go to the first language in order; characters outside the vocabulary are one piece of their own; null or repeated
@@ -27,15 +28,14 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from segmentry.llm.common import crc_mod, read, stored, text_or_empty
 
-MAX_DOCS, MAX_LANGS, ROUNDS, SMOOTH = 5000, 200, 3, 0.02
-#: Longer words are scored one by one and not learned from; the table of known words is emptied beyond so many.
+MAX_DOCS, LANGS_AT_ONCE, ROUNDS, SMOOTH = 5000, 200, 3, 0.02
+#: Longer words are scored one by one, and learned from in parts; the table of known words is emptied beyond so many.
 WORD_CHARS, BATCH_CHARS, KNOWN_WORDS = 32, 1 << 19, 300_000
 _LETTERS, _NO_LETTER = re.compile(r"[^\W\d_]+"), re.compile(r"[\W\d_]")
 
@@ -162,25 +162,34 @@ def _stretches(text: str, size: int) -> Iterator[str]:
         at = end
 
 
-def train(docs: DataFrame, max_docs: int = MAX_DOCS, rounds: int = ROUNDS, path: str | None = None, max_langs: int = MAX_LANGS) -> tuple[list[str], np.ndarray]:
-    """Languages and their piece probabilities, from rows of ``docs`` (doc_id, text, lang) with a language and an id."""
+#: Languages and their piece probabilities, [piece, language].
+Block = tuple[list[str], np.ndarray]
+
+
+def train(docs: DataFrame, max_docs: int = MAX_DOCS, rounds: int = ROUNDS, path: str | None = None, langs_at_once: int = LANGS_AT_ONCE) -> list[Block]:
+    """All languages of ``docs`` (doc_id, text, lang) in blocks, by name, from rows with a language and an id."""
     path = path or default_vocabulary()
     docs = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    n_docs = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
-    langs = sorted(n_docs)
-    share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, max_docs / n_docs[lang]))]) if langs else None
-    if not langs:
-        return [], np.zeros((pieces(path).n, 0))
-    chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)
-    token = F.regexp_extract_all(F.lower(text_or_empty()), F.lit(r"\p{L}+"), F.lit(0))
-    tokens = docs.where(chosen).select("lang", F.explode(token).alias("word")).where(F.length("word") <= WORD_CHARS)
+    n_docs = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"))
+    langs = sorted(r["lang"] for r in n_docs.select("lang").collect())
+    blocks = [langs[at : at + langs_at_once] for at in range(0, len(langs), langs_at_once)]
+    if not blocks:
+        return []
+    share = F.create_map(*[F.lit(x) for r in n_docs.collect() for x in (r["lang"], min(1.0, max_docs / r["n_docs"]))])
+    chosen = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)
+    token = F.regexp_extract_all(F.lower(text_or_empty()), F.lit(rf"\p{{L}}{{1,{WORD_CHARS}}}"), F.lit(0))
+    tokens = docs.where(chosen).select("lang", F.explode(token).alias("word"))
     counts = stored(tokens.groupBy("word", "lang").count(), "word-counts")
+    return [_trained(counts.where(F.col("lang").isin(block)) if len(blocks) > 1 else counts, block, rounds, path) for block in blocks]
+
+
+def _trained(counts: DataFrame, langs: list[str], rounds: int, path: str) -> Block:
+    """Expectation-maximisation over counts (word, lang, count) of ``langs``."""
     column = {lang: i for i, lang in enumerate(langs)}
     p = np.full((pieces(path).n, len(langs)), 1 / pieces(path).n)
     for _ in range(rounds):
-        given = counts.sparkSession.sparkContext.broadcast(p)
 
-        def uses(batches):
+        def uses(batches, p=p):
             total = np.zeros((pieces(path).n, len(column)))
             for batch in batches:
                 for at in range(0, len(batch), 5000):
@@ -188,7 +197,7 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS, rounds: int = ROUNDS, path:
                     names, words = pd.factorize(part["word"])
                     n = np.zeros((len(words), len(column)))
                     np.add.at(n, (names, part["lang"].map(column).to_numpy()), part["count"].to_numpy())
-                    total += pieces(path).expected(list(words), n, given.value)
+                    total += pieces(path).expected(list(words), n, p)
             piece, lang = np.nonzero(total)
             yield pd.DataFrame({"piece": piece, "lang": lang, "n": total[piece, lang]})
 
@@ -199,7 +208,8 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS, rounds: int = ROUNDS, path:
     return langs, p
 
 
-_RESULT = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+#: Of the languages seen so far: the best one, its log probability, the sum of all over the best; and whether there is a word.
+_SEEN = StructType([StructField("lang", StringType()), StructField("top", DoubleType()), StructField("mass", DoubleType()), StructField("n", LongType())])
 
 
 class Scorer:
@@ -229,19 +239,17 @@ class Scorer:
 _SCORERS: dict = {}
 
 
-def predict(text: Column | str, langs: list[str], p: np.ndarray, path: str | None = None) -> Column:
-    """A struct (lang_pred, score) for a text column."""
+def likelihoods(text: Column | str, langs: list[str], p: np.ndarray, path: str | None = None) -> Column:
+    """A struct (lang, top, mass, n) for a text column: the best language of the block, the log of its probability, the sum
+    of all the block's probabilities over that of the best, the number of words."""
     path = path or default_vocabulary()
     model = hashlib.sha256(p.tobytes()).hexdigest()
-    given = SparkContext.getOrCreate().broadcast(p)
 
-    @F.arrow_udf(_RESULT)
-    def predicted(texts: pa.Array) -> pa.Array:
-        if not langs:
-            return pa.StructArray.from_arrays([pa.array(["und"] * len(texts)), pa.array([0.0] * len(texts))], names=_RESULT.names)
+    @F.arrow_udf(_SEEN)
+    def seen(texts: pa.Array) -> pa.Array:
         if model not in _SCORERS:
             _SCORERS.clear()
-            _SCORERS[model] = Scorer(path, given.value)
+            _SCORERS[model] = Scorer(path, p)
         scorer, total, n = _SCORERS[model], np.zeros((len(texts), len(langs))), np.zeros(len(texts), np.int64)
         group, chars = [], 0
 
@@ -262,27 +270,49 @@ def predict(text: Column | str, langs: list[str], p: np.ndarray, path: str | Non
                     settle()
                     chars = 0
         settle()
-        best = total.argmax(axis=1)
-        share = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-        names = [langs[b] if k else "und" for b, k in zip(best, n)]
-        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.where(n > 0, share, 0.0))], names=_RESULT.names)
+        best, top = total.argmax(axis=1), total.max(axis=1)
+        mass = np.exp(total - top[:, None]).sum(axis=1)
+        return pa.StructArray.from_arrays([pa.array([langs[b] for b in best], pa.string()), pa.array(top), pa.array(mass), pa.array(n)], names=_SEEN.names)
+
+    return seen(text)
+
+
+def _merged(a: Column, b: Column) -> Column:
+    """Of two blocks' likelihoods, those of both together; ties go to the first."""
+    first = a["top"] >= b["top"]
+    mass = F.when(first, a["mass"] + b["mass"] * F.exp(b["top"] - a["top"])).otherwise(b["mass"] + a["mass"] * F.exp(a["top"] - b["top"]))
+    return F.struct(F.when(first, a["lang"]).otherwise(b["lang"]).alias("lang"), F.greatest(a["top"], b["top"]).alias("top"), mass.alias("mass"), a["n"].alias("n"))
+
 
-    return predicted(text)
+def predicted(rows: DataFrame, text: str, blocks: list[Block], path: str | None = None) -> DataFrame:
+    """Adds l, a struct (lang_pred, score), for the column ``text``. With several blocks, what is seen so far is written to the
+    shared folder between them, so a task holds one block."""
+    if not blocks:
+        return rows.withColumn("l", F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score")))
+    for i, (langs, p) in enumerate(blocks):
+        found = likelihoods(F.col(text), langs, p, path)
+        if i:
+            rows = stored(rows.withColumn("now", found), "languages").withColumn("seen", _merged(F.col("seen"), F.col("now"))).drop("now")
+        else:
+            rows = rows.withColumn("seen", found)
+    some = F.col("seen.n") > 0
+    l = F.struct(F.when(some, F.col("seen.lang")).otherwise("und").alias("lang_pred"), F.when(some, 1 / F.col("seen.mass")).otherwise(0.0).alias("score"))
+    return rows.withColumn("l", l).drop("seen")
 
 
-def _learned(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    return train(docs.where(crc_mod("doc_id", 4) != 2).select("doc_id", "text", "lang"))
+def _learned(docs: DataFrame, langs_at_once: int) -> list[Block]:
+    return train(docs.where(crc_mod("doc_id", 4) != 2).select("doc_id", "text", "lang"), langs_at_once=langs_at_once)
 
 
-def languages(docs: DataFrame) -> DataFrame:
-    found = docs.select("doc_id", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), predict("text", *_learned(docs)).alias("l"))
-    return found.select("doc_id", "held_out", "l.*")
+def languages(docs: DataFrame, langs_at_once: int = LANGS_AT_ONCE) -> DataFrame:
+    rows = docs.select("doc_id", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "text")
+    return predicted(rows, "text", _learned(docs, langs_at_once)).select("doc_id", "held_out", "l.*")
 
 
-def with_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
+def with_language(docs: DataFrame, least: float = 0.5, langs_at_once: int = LANGS_AT_ONCE) -> DataFrame:
     """The rows of ``docs`` whose text has a language with a posterior of at least ``least``."""
     row = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
-    found = docs.select(row.alias("row"), predict(docs["text"], *_learned(docs)).alias("l"))
+    found = predicted(docs.select(row.alias("row")), "row.text", _learned(docs, langs_at_once))
     return found.where((F.col("l.lang_pred") != "und") & (F.col("l.score") >= least)).select("row.*")
 
 

@@ -5,7 +5,7 @@ the running sums give the bucket in which a source's budget ends, and only that
 bits, until it holds one document (the bits of the place follow those of id and text). The mix is then a filter ``hash < threshold``: no sort, and a smaller budget takes a
 subset of a larger one. Budgets beyond one pass over a source take every document once and the threshold for the rest.
 
-Defined cases: null text has size 0 and is never taken; null source is a source of its own, last in order; null and
+Defined cases: a text without words (null, empty or blank) has size 0 and is never taken; null source is a source of its own, last in order; null and
 repeated doc_ids are allowed; of rows equal in id and text as many are taken as the budget asks for, by their place;
 very long texts count whole; other columns of any name are kept as they are; an empty table gives an empty mix. Sources are a catalogue: their table (a row each) is ordered in one task; documents never are.
 """
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from segmentry.llm.common import read, stored, text_or_empty, with_row_key, words
+from segmentry.llm.common import WORD, read, stored, text_or_empty, with_row_key, words
 
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2
 HASH_BITS, STEP = 60, 12
@@ -103,10 +103,11 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> tuple[DataFrame, int]:
 
 
 def _taken(hashed: DataFrame, limits: DataFrame, steps: int) -> DataFrame:
+    """Adds times. ``hashed`` has ``some``: whether the row has a word at all; one without is not taken."""
     first, second = _prefix(steps)
     at_edge = (second < F.col("edge_tie")) | ((second == F.col("edge_tie")) & F.col("takes_edge"))
     once_more = (first < F.col("edge")) | ((first == F.col("edge")) & at_edge)
-    times = F.col("passes") + F.coalesce(once_more, F.lit(False)).cast("long")
+    times = F.when(F.col("some"), F.col("passes") + F.coalesce(once_more, F.lit(False)).cast("long")).otherwise(0)
     return _by_source(hashed, _small(limits)).withColumn("times", times)
 
 
@@ -123,7 +124,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
     """(doc_id, source, size, source_size, target, times, taken) for every row of ``docs`` (doc_id, text, source)."""
     keyed = with_row_key(docs.select("doc_id", "text", "source"), scan_only)
     sized, limits, steps = _limits(keyed, weights, share, cap)
-    return _taken(sized, limits, steps).select(
+    return _taken(sized.withColumn("some", F.col("size") > 0), limits, steps).select(
         "doc_id", "source", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken")
     )
 
@@ -132,7 +133,8 @@ def mixed_rows(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: floa
     """The rows of ``docs`` as often as the mix takes them, with all their columns."""
     keyed = with_row_key(docs, scan_only)
     _, limits, steps = _limits(keyed, weights, share, cap)
-    taken = _taken(_hashed(keyed, "row"), limits, steps).where("times > 0")
+    some = text_or_empty(F.col("row.text")).rlike(WORD).alias("some")
+    taken = _taken(_hashed(keyed, "row", some), limits, steps).where("times > 0")
     return taken.select("row", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int"))).alias("copy")).select("row.*")
 
 

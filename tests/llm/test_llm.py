@@ -47,6 +47,14 @@ def test_mix_of_equal_rows(spark):
     assert sorted(map(str, mixing.mix(docs, weights=(1.17, 20.0), share=0.2).collect())) == sorted(map(str, rows))
 
 
+def test_mix_takes_no_text_without_words(spark):
+    texts = [None, "", " \t ", "ten words are in here so that two passes fit", "b " * 1000]
+    docs = spark.createDataFrame([(i, t, "b" if i == 4 else "a") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    rows = mixing.mixed_rows(docs, weights=(1.0, 20.0))
+    assert {r["doc_id"] for r in rows.collect()} == {3, 4}
+    assert rows.where("doc_id = 3").count() == 2 and {r["times"] for r in mixing.mix(docs).where("size = 0").collect()} == {0}
+
+
 def test_mix_targets(spark):
     sizes = spark.createDataFrame([("a", 100), ("b", 1000), ("c", 1000), (None, 400)], "source string, source_size long")
     got = {r["source"]: r["target"] for r in mixing.targets(sizes).collect()}
@@ -178,11 +186,11 @@ def test_language_of_long_words():
 
 def test_language_training_like_plain_em(spark):
     """One round of expectation-maximisation against sums over all cuts of each word."""
-    rows = [(1, "ab ba ab", "x"), (3, "ab", "y"), (5, "b" * 40, "y")]
-    langs, got = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rounds=1)
+    rows = [(1, "ab ba ab", "x"), (3, "ab", "y"), (5, "ⲁ" * 40, "y")]
+    [(langs, got)] = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rounds=1)
     p = langid.pieces(langid.default_vocabulary())
     uses = np.full((p.n, 2), langid.SMOOTH)
-    for lang, counts in enumerate([{"ab": 2, "ba": 1}, {"ab": 1}]):
+    for lang, counts in enumerate([{"ab": 2, "ba": 1}, {"ab": 1, "ⲁ" * 32: 1, "ⲁ" * 8: 1}]):
         for word, n in counts.items():
             _, start, end, piece = (x.tolist() for x in p.edges([word]))
 
@@ -196,6 +204,20 @@ def test_language_training_like_plain_em(spark):
     assert langs == ["x", "y"] and got == pytest.approx(uses / uses.sum(axis=0), rel=1e-6)
 
 
+def test_language_of_many_blocks(spark):
+    """250 languages, each with a word of its own, in blocks: all are learned, and blocks change no result."""
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    rows = [(4 * i + k, f"{name(i)} {name(i)} {name(i)}qu", f"l{i:03d}") for i in range(250) for k in range(2)] + [(None, None, "l000"), (2001, "123", "l001")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    results = []
+    for at_once in (40, 1000):
+        blocks = langid.train(docs, rounds=1, langs_at_once=at_once)
+        assert [lang for langs, _ in blocks for lang in langs] == [f"l{i:03d}" for i in range(250)]
+        results.append(sorted((-1 if r["doc_id"] is None else r["doc_id"], r["lang"], r["l"]["lang_pred"], round(r["l"]["score"], 9)) for r in langid.predicted(docs, "text", blocks).collect()))
+    assert results[0] == results[1] and sum(lang == pred for _, lang, pred, _ in results[0]) > 450
+    assert [r[2:] for r in results[0] if r[0] in (-1, 2001)] == [("und", 0.0)] * 2
+
+
 def test_language_accuracy(spark):
     d = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{d}/documents.parquet")
