@@ -1,7 +1,11 @@
 """Scalar expressions for ids, times and text fields."""
 
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 #: White space as trim functions of other languages have it; F.trim takes blanks only.
@@ -43,5 +47,20 @@ def timecode(seconds: Column) -> Column:
     return F.format_string("%02d:%02d:%02d,%03d", F.floor(ms / 3600000), F.floor(ms / 60000) % 60, F.floor(ms / 1000) % 60, ms % 1000)
 
 
+@F.arrow_udf(StringType())
+def _composed(texts: pa.Array) -> pa.Array:
+    return pa.array([t and unicodedata.normalize("NFC", t) for t in texts.to_pylist()], pa.string())
+
+
+def composed(text: Column) -> Column:
+    """Unicode's composed form (NFC), so that letters and marks written apart equal those written as one. Only texts with
+    characters that can change leave the JVM."""
+    return F.coalesce(_composed(F.when(text.rlike(r"[^\x00-\u02ff]"), text)), text)
+
+
+#: Words: letters of any alphabet with their marks, and digits.
+WORDS = r"[\p{L}\p{M}\p{N}]+"
+
+
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(composed(text)), F.lit(WORDS), F.lit(0))

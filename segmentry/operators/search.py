@@ -1,4 +1,4 @@
-"""Exact and approximate nearest neighbours, aligned event chains, text search, fusion."""
+"""Exact and approximate nearest neighbours, aligned event chains, fusion of ranked lists."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from segmentry.functions.text import tokens
 from segmentry.functions.vectors import inner_product, l2_normalize, sq_l2
 
 #: Query vectors (8 kB each at 1,024 dimensions) that are sent to the tasks at once; more go block by block.
@@ -205,21 +204,6 @@ def trake(scored: DataFrame, n_events: int, found_threshold: float = 0.5) -> Dat
     return rows.withColumn("overall_score", F.round(mean, 6))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Okapi scores: ``docs`` (id, text), ``queries`` (query_id, text); (query_id, id, score, rank)."""
-    words = docs.select("id", tokens(F.col("text")).alias("w"))
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    stats = words.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("mean")).first()
-    # only the terms that are asked for leave the scan
-    postings = words.select("id", F.size("w").alias("len"), F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    tf = postings.groupBy("term", "id", "len").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log((stats["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(float(stats["mean"] or 1))))
-    scored = asked.join(df, "term").join(tf, "term").groupBy("query_id", "id").agg(F.round(F.sum(idf * weight), 6).alias("score"))
-    return top_k(scored, k)
-
-
 def rrf(a: DataFrame, b: DataFrame, k: int = 10, c: int = 60) -> DataFrame:
     """Reciprocal rank fusion of two ranked lists (query_id, id, rank)."""
     score = F.coalesce(1 / (c + F.col("ra")), F.lit(0.0)) + F.coalesce(1 / (c + F.col("rb")), F.lit(0.0))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from segmentry.functions.text import tokens
 from segmentry.functions.vectors import cosine, l2_normalize, sq_l2
 from segmentry.operators import index as stored_index
-from segmentry.operators import scoring, search
+from segmentry.operators import postings, scoring, search
 from segmentry.plans.registry import query, table
 from segmentry.plans.views import SEGMENTS, duck, segments, view
 from segmentry.sources.files import shared_folder
@@ -256,8 +257,8 @@ def visual_delta(spark, d):
     return segments(spark, d).withColumn("b", before).select("video_id", "start_frame", F.round(1 - search.inner_product("embedding", "b"), 5).alias("delta"))
 
 
-BM25 = """with w as (select doc_id as id, regexp_extract_all(lower(text), '[a-z]+') as w from documents), st as (select count(*) as n, avg(len(w)) as mean from w),
-a as (select distinct item_id as query_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) as term from benchmark),
+BM25 = r"""with w as (select doc_id as id, regexp_extract_all(lower(nfc_normalize(coalesce(text, ''))), '[\p{L}\p{M}\p{N}]+') as w from documents), st as (select count(*) as n, avg(len(w)) as mean from w),
+a as (select distinct item_id as query_id, unnest(regexp_extract_all(lower(nfc_normalize(coalesce(text, ''))), '[\p{L}\p{M}\p{N}]+')) as term from benchmark),
 tf as (select term, id, len, count(*) as tf from (select id, len(w) as len, unnest(w) as term from w) t where term in (select term from a) group by all),
 df as (select term, count(*) as df from tf group by term),
 bm as (select query_id, id, round(sum(ln((n - df + 0.5::double) / (df + 0.5::double) + 1) * (tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * len / mean)))), 6) as score from a join df using (term) join tf using (term), st group by query_id, id),
@@ -272,9 +273,23 @@ def questions(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+def text_hits(spark, d, k):
+    """The questions asked of an index of all documents."""
+    return postings.search(postings.build(documents(spark, d), shared_folder(spark, "postings")), questions(spark, d), k)
+
+
 @query("bm25_search", BM25 + " select query_id, id, round(score, 4) as score from br where rank <= 3")
 def bm25_search(spark, d):
-    return search.bm25(documents(spark, d), questions(spark, d), 3).select("query_id", "id", F.round("score", 4).alias("score"))
+    return text_hits(spark, d, 3).select("query_id", "id", F.round("score", 4).alias("score"))
+
+
+@query("bm25_appended", BM25 + " select query_id, id, round(score, 4) as score, cast(rank as int) as rank from br where rank <= 10")
+def bm25_appended(spark, d):
+    """An index of four fifths of the documents, to which the rest is added, loaded by its path alone."""
+    docs, path = documents(spark, d), shared_folder(spark, "postings")
+    postings.build(docs.where("coalesce(id % 5, 1) <> 0"), path)
+    postings.add(postings.Postings(path), docs.where("id % 5 = 0"), 1)
+    return postings.search(postings.Postings(path), questions(spark, d), 10).select("query_id", "id", F.round("score", 4).alias("score"), "rank")
 
 
 @query("hybrid_rrf", BM25 + """, o as (select item_id as query_id, v.vec_id as id, round(list_dot_product(q.embedding::double[], v.embedding::double[]), 6) as score from benchmark join embeddings q on q.vec_id = item_id, embeddings v),
@@ -285,19 +300,19 @@ def hybrid_rrf(spark, d):
     """Text and vector search fused; a question's vector is that of its number, and one without has its text alone."""
     q = questions(spark, d)
     vectors = corpus(spark, d).withColumnRenamed("id", "query_id").join(q.select("query_id"), "query_id", "left_semi")
-    return search.rrf(search.bm25(documents(spark, d), q, 20), search.knn_exact(corpus(spark, d), vectors, 20, normalize=False), 5)
+    return search.rrf(text_hits(spark, d, 20), search.knn_exact(corpus(spark, d), vectors, 20, normalize=False), 5)
 
 
-@query("qa_extract", BM25 + """, h as (select query_id, id from br where rank <= 1),
+@query("qa_extract", BM25 + r""", h as (select query_id, id from br where rank <= 1),
 s as (select h.query_id, h.id, generate_subscripts(string_split(text, '.'), 1) - 1 as pos, unnest(string_split(text, '.')) as sentence from h join documents on doc_id = h.id),
-o as (select s.query_id, s.id, pos, trim(sentence) as sentence, (select count(*) from a where a.query_id = s.query_id and list_contains(regexp_extract_all(lower(s.sentence), '[a-z]+'), a.term)) as score from s)
+o as (select s.query_id, s.id, pos, trim(sentence) as sentence, (select count(*) from a where a.query_id = s.query_id and list_contains(regexp_extract_all(lower(nfc_normalize(coalesce(s.sentence, ''))), '[\p{L}\p{M}\p{N}]+'), a.term)) as score from s)
 select query_id, id, cast(pos as int) as pos, score, 'asr' as answer_source, md5(sentence) as answer from (select *, row_number() over (partition by query_id order by score desc, pos) as r from o) t where r = 1""")
 def qa_extract(spark, d):
     docs, q = documents(spark, d), questions(spark, d)
-    hits = search.bm25(docs, q, 1).select("query_id", "id")
-    terms = q.select("query_id", F.array_distinct(search.tokens(F.col("text"))).alias("terms"))
+    hits = text_hits(spark, d, 1).select("query_id", "id")
+    terms = q.select("query_id", F.array_distinct(tokens(F.col("text"))).alias("terms"))
     s = hits.join(docs, "id").select("query_id", "id", F.posexplode(F.split("text", r"\.")).alias("pos", "sentence")).join(terms, "query_id")
-    s = s.withColumn("score", F.size(F.array_intersect("terms", search.tokens(F.col("sentence")))).cast("long"))
+    s = s.withColumn("score", F.size(F.array_intersect("terms", tokens(F.col("sentence")))).cast("long"))
     best = s.groupBy("query_id", "id").agg(F.max(F.struct("score", (-F.col("pos")).alias("neg"), F.trim("sentence").alias("t"))).alias("b"))
     return best.select("query_id", "id", (-F.col("b.neg")).alias("pos"), "b.score", F.lit("asr").alias("answer_source"), F.md5("b.t").alias("answer"))
 
@@ -305,7 +320,7 @@ def qa_extract(spark, d):
 @query("text_embed_hash")
 def text_embed_hash(spark, d):
     """Bundled default encoder: counts of hashed tokens in 64 places, unit length."""
-    w = documents(spark, d).select("id", F.explode(search.tokens(F.col("text"))).alias("term"))
+    w = documents(spark, d).select("id", F.explode(tokens(F.col("text"))).alias("term"))
     n = w.groupBy("id", F.pmod(F.xxhash64("term"), F.lit(64)).alias("pos")).agg(F.count(F.lit(1)).alias("n"))
     return n.withColumn("v", F.round(F.col("n") / F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("id"))), 6)).drop("n")
 

@@ -32,6 +32,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/segmentry/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` into a new shared folder and reads it back: lineage ends there, and lost executors reread it."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def validate_segments(df: DataFrame, dim: int = 1536) -> tuple[DataFrame, DataFrame]:
     """(good, bad): dimension, start < end, start <= midpoint < end, level, required fields."""
     ok = (
