@@ -16,10 +16,12 @@ MOST_CELLS = 4096
 
 @dataclass
 class Index:
+    #: ``centroids`` were fitted on rows whose mean squared distance to them was ``spread``.
     path: str
     dim: int
     nprobe: int
     centroids: list = field(repr=False)
+    spread: float = 0.0
 
     def rows(self, spark: SparkSession) -> DataFrame:
         """(id, vec, batch, cell_id)"""
@@ -37,18 +39,18 @@ def build(rows: DataFrame, path: str, cells: int | None = None, k: int = 5, leas
     if not n:
         raise ValueError("no rows to build an index from")
     cells = min(cells or max(int(n**0.5), 1), MOST_CELLS, n)
-    index = Index(path, dim, 0, find.train_cells(rows.withColumn("vec", l2_normalize("vec")), cells))
+    index = Index(path, dim, 0, *find.train_cells(rows.withColumn("vec", l2_normalize("vec")), cells))
     add(index, rows, 0)
     index.nprobe = find.probes(index.rows(spark), index.centroids, k, least) if measure else len(index.centroids)
     spark.createDataFrame(list(enumerate(index.centroids)), "cell_id int, center array<double>").coalesce(1).write.parquet(f"{path}/cells")
-    spark.createDataFrame([(dim, index.nprobe)], "dim int, nprobe int").coalesce(1).write.parquet(f"{path}/params")
+    spark.createDataFrame([(dim, index.nprobe, index.spread)], "dim int, nprobe int, spread double").coalesce(1).write.parquet(f"{path}/params")
     return index
 
 
 def load(spark: SparkSession, path: str) -> Index:
     params = spark.read.parquet(f"{path}/params").first()
     cells = spark.read.parquet(f"{path}/cells").orderBy("cell_id").collect()  # at most MOST_CELLS
-    return Index(path, params["dim"], params["nprobe"], [c["center"] for c in cells])
+    return Index(path, params["dim"], params["nprobe"], [c["center"] for c in cells], params["spread"])
 
 
 def add(index: Index, rows: DataFrame, batch: int) -> None:
@@ -62,6 +64,20 @@ def add(index: Index, rows: DataFrame, batch: int) -> None:
     placed.repartitionByRange("cell_id", "id").sortWithinPartitions("cell_id").write.partitionBy("cell_id").mode("overwrite").parquet(f"{index.path}/rows/batch={batch}")
 
 
+def drift(index: Index, spark: SparkSession, batch: int) -> float | None:
+    """How far the rows of a batch lie from their centroids, against the rows that these were fitted on: 1 is as near."""
+    own = find.spread(index.rows(spark).where(F.col("batch") == batch), index.centroids)
+    return None if own is None else own / max(index.spread, 1e-12)
+
+
+def trained_again(index: Index, spark: SparkSession, path: str, most: float = 1.5, **how) -> Index:
+    """``index`` itself while no batch's drift is over ``most``; else a new one under ``path``, fitted on all rows."""
+    batches = [r["batch"] for r in index.rows(spark).select("batch").distinct().collect()]
+    if all((drift(index, spark, b) or 0) <= most for b in batches if b):
+        return index
+    return build(index.rows(spark).select("id", "vec"), path, **how)
+
+
 def search(index: Index, queries: DataFrame, k: int = 5, nprobe: int | None = None) -> DataFrame:
     """(query_id, id, score, rank): the ``k`` best in the ``nprobe`` nearest cells of each query (query_id, vec)."""
     return find.knn_ivf(index.rows(queries.sparkSession), queries, index.centroids, k, nprobe or index.nprobe)

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from segmentry.functions.vectors import inner_product, l2_normalize, sq_l2
+from segmentry.functions.vectors import inner_product, l2_normalize, sq_l2  # noqa: F401
+from segmentry.operators import tiles
+from segmentry.sources.files import stored
 
-#: Query vectors (8 kB each at 1,024 dimensions) that are sent to the tasks at once; more go block by block.
+#: Query vectors in a block.
 BLOCK = 4096
 
 
@@ -21,53 +21,55 @@ def top_k(scored: DataFrame, k, score: str = "score", ascending: bool = False) -
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(order, "id"))).where(F.col("rank") <= k)
 
 
-def _by_blocks(corpus: DataFrame, queries: DataFrame, metric: str, normalize: bool, block: int, each, schema: str) -> DataFrame:
-    """``each(query ids, corpus ids, scores)`` for every arrow batch of ``corpus`` (id, vec) and block of ``queries``.
+def _by_blocks(corpus: DataFrame, queries: DataFrame, metric: str, normalize: bool, block: int, each, fields: str) -> DataFrame:
+    """``each(query ids, corpus ids, scores)`` for every tile of ``corpus`` (id, vec) and block of ``queries``.
 
-    Blocks are cut by a hash of query_id, so one of them is about ``block`` vectors at any number of queries; each is
-    broadcast and multiplied with the corpus where that lies, and nothing is shuffled."""
+    The corpus stays where it lies; blocks of about ``block`` queries, cut by a hash of query_id, meet every tile: by broadcast
+    while all of them are small, else by a shuffle of both. No vector goes through the driver's Python. Null vectors, and
+    vectors with a null, are left out; sizes that differ, and an empty corpus, are errors."""
     unit = normalize and metric == "ip"
+    n, dim = tiles.size_of(queries)
+    kinds = ", ".join(f"{c} {df.schema[k].dataType.simpleString()}" for c, df, k in (("query_id", queries, "query_id"), ("id", corpus, "id")) if c in fields.split(", "))
+    schema = ", ".join(x for x in (kinds, *(f for f in fields.split(", ") if " " in f)) if x)
+    if not n:
+        return corpus.sparkSession.createDataFrame([], schema)
+    if corpus.isEmpty():
+        raise ValueError("the corpus is empty")
+    blocks = -(-n // block)
 
     def scaled(m: np.ndarray) -> np.ndarray:
         size = np.linalg.norm(m, axis=1, keepdims=True)
         return m / np.where(size == 0, 1, size) if unit else m
 
-    def part_of(n: int, blocks: int) -> DataFrame | None:
-        batch = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).toPandas().sort_values("query_id")
-        if batch.empty:
-            return None
-        given = corpus.sparkSession.sparkContext.broadcast((batch["query_id"].to_numpy(), scaled(np.stack(batch["vec"]).astype(np.float64))))
+    def scored(row: pd.Series) -> pd.DataFrame:
+        c, q = scaled(tiles.matrix(row["ids_vecs"], len(row["ids"]))), scaled(tiles.matrix(row["vecs"], len(row["query_ids"])))
+        score = q @ c.T
+        if metric != "ip":
+            score = (q**2).sum(1)[:, None] - 2 * score + (c**2).sum(1)[None]
+        return each(row["query_ids"], row["ids"], np.round(score, 6) + 0.0)
 
-        def local(batches):
-            names, q = given.value
-            for rows in batches:
-                if not rows.empty:
-                    c = scaled(np.stack(rows["vec"]).astype(np.float64))
-                    score = q @ c.T
-                    if metric != "ip":
-                        score = (q**2).sum(1)[:, None] - 2 * score + (c**2).sum(1)[None]
-                    yield each(names, rows["id"].to_numpy(), np.round(score, 6) + 0.0)
+    asked = tiles.whole(queries.select(F.col("query_id").alias("id"), "vec"), dim).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    asked = tiles.by_key(asked, "part").select("part", F.col("ids").alias("query_ids"), "vecs")
+    lying = tiles.where_they_lie(tiles.whole(corpus.select("id", "vec"), dim), dim).withColumnRenamed("vecs", "ids_vecs")
+    lying = lying.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return tiles.each_pair(tiles.met(lying, asked, ["part"], 8 * n * dim), scored, schema)
 
-        return corpus.select("id", "vec").mapInPandas(local, schema)
 
-    blocks = -(-queries.count() // block)
-    found = [part for part in (part_of(n, blocks) for n in range(blocks)) if part is not None]
-    return reduce(DataFrame.unionByName, found) if found else corpus.sparkSession.createDataFrame([], schema)
+def _best(names, ids, score: np.ndarray, k: int | None, falling: bool = True) -> pd.DataFrame:
+    """(query_id, id, score): all, or the best ``k`` a query; ties go to the smaller id."""
+    if k is None:
+        best = np.broadcast_to(np.arange(len(ids)), score.shape)
+    else:
+        place = pd.factorize(np.asarray(ids), sort=True)[0]
+        best = np.lexsort((np.broadcast_to(place, score.shape), -score if falling else score), axis=1)[:, :k]
+    row = np.repeat(np.arange(len(names)), best.shape[1])
+    return pd.DataFrame({"query_id": np.asarray(names)[row], "id": np.asarray(ids)[best.ravel()], "score": score[row, best.ravel()]})
 
 
 def scores(corpus: DataFrame, queries: DataFrame, k: int | None = None, metric: str = "ip", normalize: bool = True, block: int = BLOCK) -> DataFrame:
     """(query_id, id, score): ``corpus`` (id, vec), ``queries`` (query_id, vec), a batch; all rows, or the best ``k`` a
-    query of each block of the corpus."""
-
-    def best_of(names, ids, score):
-        if k is None:
-            best = np.broadcast_to(np.arange(len(ids)), score.shape)
-        else:
-            best = np.lexsort((np.broadcast_to(ids, score.shape), -score if metric == "ip" else score), axis=1)[:, :k]
-        row = np.repeat(np.arange(len(names)), best.shape[1])
-        return pd.DataFrame({"query_id": names[row], "id": ids[best.ravel()], "score": score[row, best.ravel()]})
-
-    return _by_blocks(corpus, queries, metric, normalize, block, best_of, "query_id long, id long, score double")
+    query of each tile of the corpus."""
+    return _by_blocks(corpus, queries, metric, normalize, block, lambda names, ids, score: _best(names, ids, score, k, metric == "ip"), "query_id, id, score double")
 
 
 def counts_over(corpus: DataFrame, queries: DataFrame, floor: float, normalize: bool = True, block: int = BLOCK) -> DataFrame:
@@ -76,7 +78,7 @@ def counts_over(corpus: DataFrame, queries: DataFrame, floor: float, normalize:
     def count(names, ids, score):
         return pd.DataFrame({"query_id": names, "n": (score > floor).sum(axis=1)})
 
-    local = _by_blocks(corpus, queries, "ip", normalize, block, count, "query_id long, n long")
+    local = _by_blocks(corpus, queries, "ip", normalize, block, count, "query_id, n long")
     return local.groupBy("query_id").agg(F.sum("n").alias("n"))
 
 
@@ -87,13 +89,53 @@ def knn_exact(corpus: DataFrame, queries: DataFrame, k: int = 5, metric: str = "
     return top_k(scores(corpus, queries, k, metric, normalize), k, ascending=metric != "ip")
 
 
-def train_cells(corpus: DataFrame, cells: int = 16, sample: int = 100_000, seed: int = 0) -> list[list[float]]:
-    """Centroids from a bounded sample, by k-means."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+def train_cells(corpus: DataFrame, cells: int = 16, sample: int = 100_000, seed: int = 0, rounds: int = 10) -> tuple[list[list[float]], float]:
+    """Centroids of ``corpus`` (id, vec) by k-means, and the mean squared distance to the nearest one.
+
+    Fitted on about ``sample`` rows, taken by a hash threshold; each round every task sums its rows by cell, and Spark adds the
+    sums, so no task sees more than its share. An empty cell keeps its centroid."""
+    n = corpus.count()
+    chosen = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < min(1.0, sample / max(n, 1)) * (1 << 30)
+    points = stored(corpus.where(chosen).select("id", "vec"), "points")
+    starts = points.orderBy(F.xxhash64("id", F.lit(seed + 1)), "id").limit(cells).collect()
+    centers, spread = np.array([r["vec"] for r in starts], np.float64), 0.0
+
+    def sums(batches, centers):
+        total, inertia = np.zeros((len(centers), centers.shape[1] + 1)), 0.0
+        for rows in batches:
+            for at in range(0, len(rows), tiles.TILE):
+                x = np.stack(rows["vec"][at : at + tiles.TILE]).astype(np.float64)
+                near = _nearest(x, centers, 1)[:, 0]
+                np.add.at(total, near, np.hstack([x, np.ones((len(x), 1))]))
+                inertia += ((x - centers[near]) ** 2).sum()
+        used = np.flatnonzero(total[:, -1])
+        yield pd.DataFrame({"cell": used, "total": list(total[used]), "inertia": np.where(np.arange(len(used)) == 0, inertia, 0.0)})
+
+    for _ in range(rounds):
+        found = points.mapInPandas(lambda batches, c=centers: sums(batches, c), "cell int, total array<double>, inertia double")
+        places = found.select("cell", "inertia", F.posexplode("total").alias("at", "x")).groupBy("cell", "at").agg(F.sum("x").alias("x"), F.sum(F.when(F.col("at") == 0, F.col("inertia"))).alias("inertia"))
+        cell_at = places.toPandas()  # cells x dimensions, whatever the number of rows
+        total = np.zeros((len(centers), centers.shape[1] + 1))
+        total[cell_at["cell"], cell_at["at"]] = cell_at["x"]
+        own = total[:, -1] > 0
+        centers = centers.copy()
+        centers[own] = total[own, :-1] / total[own, -1:]
+        spread = float(cell_at["inertia"].sum() / max(total[:, -1].sum(), 1))
+    return centers.tolist(), spread
+
+
+def spread(rows: DataFrame, centroids: list[list[float]]) -> float | None:
+    """Mean squared distance of ``rows`` (vec) to the nearest centroid; null without rows."""
+    centers = np.asarray(centroids, np.float64)
+
+    def local(batches):
+        for own in batches:
+            if not own.empty:
+                x = np.stack(own["vec"]).astype(np.float64)
+                yield pd.DataFrame({"n": [len(x)], "d": [((x - centers[_nearest(x, centers, 1)[:, 0]]) ** 2).sum()]})
 
-    points = corpus.orderBy(F.xxhash64("id")).limit(sample).coalesce(1).select(array_to_vector(F.col("vec")).alias("features"))
-    return [c.tolist() for c in KMeans(k=cells, seed=seed, maxIter=10).fit(points).clusterCenters()]
+    found = rows.select("vec").mapInPandas(local, "n long, d double").agg(F.sum("d") / F.sum("n")).first()
+    return found[0]
 
 
 def nearest_cells(df: DataFrame, centroids: list[list[float]], n: int, place: str | None = None) -> DataFrame:
@@ -137,41 +179,24 @@ def probes(index: DataFrame, centroids, k: int = 5, least: float = 0.9, sample:
 def knn_ivf(index: DataFrame, queries: DataFrame, centroids, k: int, nprobe: int, block: int = BLOCK) -> DataFrame:
     """``index`` (id, vec, cell_id): a query is compared with the rows of its ``nprobe`` nearest cells.
 
-    Queries go to the index in blocks, as in exact search, each with the list of its cells; rows lie by cell, so a batch of
-    them meets only the queries that probe its cells. The index is not shuffled, and tasks keep k a query and batch."""
-    centers = np.asarray(centroids, dtype=np.float64)
-
-    def part_of(n: int, blocks: int) -> DataFrame | None:
-        batch = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).toPandas().sort_values("query_id")
-        if batch.empty:
-            return None
-        q = np.stack(batch["vec"]).astype(np.float64)
-        size = np.linalg.norm(q, axis=1, keepdims=True)
-        q = q / np.where(size == 0, 1, size)
-        near = _nearest(q, centers, nprobe)
-        asking = {int(c): np.nonzero((near == c).any(axis=1))[0] for c in np.unique(near)}
-        given = index.sparkSession.sparkContext.broadcast((batch["query_id"].to_numpy(), q, asking))
-
-        def local(batches):
-            names, q, asking = given.value
-            for rows in batches:
-                for cell, part in rows.groupby("cell_id"):
-                    who = asking.get(int(cell))
-                    if who is None:
-                        continue
-                    ids = part["id"].to_numpy()
-                    score = np.round(q[who] @ np.stack(part["vec"]).astype(np.float64).T, 6) + 0.0
-                    best = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
-                    row = np.repeat(np.arange(len(who)), best.shape[1])
-                    yield pd.DataFrame({"query_id": names[who][row], "id": ids[best.ravel()], "score": score[row, best.ravel()]})
-
-        probed = index.where(F.col("cell_id").isin([int(c) for c in asking])) if len(asking) < len(centers) else index
-        return probed.select("id", "vec", "cell_id").mapInPandas(local, "query_id long, id long, score double")
-
-    blocks = -(-queries.count() // block)
-    found = [part for part in (part_of(n, blocks) for n in range(blocks)) if part is not None]
-    empty = index.sparkSession.createDataFrame([], "query_id long, id long, score double")
-    return top_k(reduce(DataFrame.unionByName, found) if found else empty, k)
+    Rows lie by cell, and tiles of them meet the blocks of queries that probe their cell: by broadcast while these are small,
+    else by a shuffle of both on the cell. Tasks keep k a query and tile."""
+    n, dim = tiles.size_of(queries)
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {index.schema['id'].dataType.simpleString()}, score double"
+    if not n:
+        return top_k(index.sparkSession.createDataFrame([], kinds), k)
+    unit = tiles.whole(queries.select(F.col("query_id").alias("id"), "vec"), dim).withColumn("vec", l2_normalize("vec"))
+    probed = stored(nearest_cells(unit, centroids, nprobe), "probed")
+    asked = tiles.by_key(probed, "cell_id", -(-n // block)).select("cell_id", F.col("ids").alias("query_ids"), F.col("vecs").alias("query_vecs"))
+    cells = [r["cell_id"] for r in probed.select("cell_id").distinct().collect()]  # MOST_CELLS of the index at most
+    rows = index.where(F.col("cell_id").isin(cells)) if len(cells) < len(centroids) else index
+
+    def scored(row: pd.Series) -> pd.DataFrame:
+        q, c = tiles.matrix(row["query_vecs"], len(row["query_ids"])), tiles.matrix(row["vecs"], len(row["ids"]))
+        return _best(row["query_ids"], row["ids"], np.round(q @ c.T, 6) + 0.0, k)
+
+    pairs = tiles.met(tiles.where_they_lie(rows, dim, "cell_id"), asked, ["cell_id"], 8 * n * nprobe * dim)
+    return top_k(tiles.each_pair(pairs, scored, kinds), k)
 
 
 def recall_at_k(approx: DataFrame, exact: DataFrame) -> DataFrame:
