@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from segmentry.functions.text import tokens
 from segmentry.functions.vectors import cosine, l2_normalize, sq_l2
 from segmentry.operators import index as stored_index
-from segmentry.operators import postings, scoring, search
+from segmentry.operators import contrastive, postings, scoring, search
 from segmentry.plans.registry import query, table
 from segmentry.plans.views import SEGMENTS, duck, segments, view
 from segmentry.sources.files import shared_folder
@@ -171,45 +171,57 @@ def paired_recall(spark, d):
     return own.agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(F.coalesce(F.col("rank") <= k, F.lit(False)).cast("int")), 6).alias(f"r{k}") for k in (1, 5, 10)])
 
 
-#: Pairs in a contrastive batch; both losses compare within a batch only, so their work is linear in the table.
+#: Pairs in a contrastive batch of the queries that have batches.
 BATCH = 32
-CONTRAST = f"""with p as (select a.vec_id as i, a.vec_id // {BATCH} as batch, a.embedding::double[] as x, b.embedding::double[] as y from embeddings a join embeddings b on b.vec_id = a.vec_id + 1),
-s as (select l.i, r.i as j, 10 * round(list_dot_product(l.x, r.y), 6) as z from p l join p r using (batch))"""
 
 
-def _in_batch(left, right):
-    """Scores of all pairs in each batch of ``BATCH`` ids: ``left`` (i, x), ``right`` (j, y)."""
-    of = lambda df, key: df.withColumn("batch", F.floor(F.col(key) / BATCH))
-    return of(left, "i").join(of(right, "j"), "batch").select("batch", "i", "j", F.round(search.inner_product("x", "y"), 6).alias("score"))
-
-
-@query("infonce_metrics", CONTRAST + """,
+def _contrast(same: str) -> str:
+    return f"""with p as (select a.vec_id as i, a.vec_id // {BATCH} as batch, a.embedding::double[] as x, b.embedding::double[] as y from embeddings a join embeddings b on b.vec_id = a.vec_id + 1),
+s as (select l.i, r.i as j, 10 * round(list_cosine_similarity(l.x, r.y), 6) as z from p l join p r on {same}),
 r as (select i, max(z) as m, max(z) filter (i = j) as own from s group by i), c as (select j, max(z) as m, max(z) filter (i = j) as own from s group by j),
 rl as (select s.i, max(m) + ln(sum(exp(z - m))) - max(own) as loss, max((own >= m)::int) as ok from s join r on r.i = s.i group by s.i),
 cl as (select s.j, max(m) + ln(sum(exp(z - m))) - max(own) as loss, max((own >= m)::int) as ok from s join c on c.j = s.j group by s.j)
-select round((select avg(loss) from rl) + (select avg(loss) from cl), 4) as loss, round((select avg(ok) from rl), 6) as acc_row, round((select avg(ok) from cl), 6) as acc_col""")
+select (select count(*) from rl) as n, round((select avg(loss) from rl), 4) as loss_row, round((select avg(loss) from cl), 4) as loss_col, round((select avg(loss) from rl) + (select avg(loss) from cl), 4) as loss,
+       round((select avg(ok) from rl), 6) as acc_row, round((select avg(ok) from cl), 6) as acc_col"""
+
+
+def _uniform(same: str) -> str:
+    side = "(select coalesce(ln(avg(exp(-2 * (2 - 2 * round(list_cosine_similarity(a.{0}, b.{0}), 6))))), 0) from p a join p b on {1} and a.i < b.i)"
+    x, y = (side.format(c, same) for c in "xy")
+    return f"""with p as (select a.vec_id as i, a.vec_id // {BATCH} as batch, a.embedding::double[] as x, b.embedding::double[] as y from embeddings a join embeddings b on b.vec_id = a.vec_id + 1)
+select round({x}, 4) as x, round({y}, 4) as y, round(({x} + {y}) / 2, 4) as uniformity"""
+
+
+def _pairs(spark, d):
+    return _neighbours(spark, d).select(F.col("vec_id").alias("id"), F.floor(F.col("vec_id") / BATCH).alias("batch"), F.col("a").alias("x"), F.col("b").alias("y"))
+
+
+def _rounded(df):
+    return df.select(*[F.round(c, 6 if c.startswith("acc") else 4).alias(c) if c != "n" else F.col(c) for c in df.columns])
+
+
+@query("infonce_metrics", _contrast("l.batch = r.batch"))
 def infonce_metrics(spark, d):
-    """Over every pair of the table, each against the others of its batch."""
-    p = _neighbours(spark, d)
-    s = _in_batch(p.select(F.col("vec_id").alias("i"), F.col("a").alias("x")), p.select(F.col("vec_id").alias("j"), F.col("b").alias("y")))
-    s = s.select("i", "j", (10 * F.col("score")).alias("z"))
+    """Every pair of the table against the others of its batch, in both directions."""
+    return _rounded(contrastive.infonce(_pairs(spark, d), 10.0, "batch", digits=6))
 
-    def side(key: str, name: str):
-        each = s.groupBy(key).agg(F.collect_list("z").alias("z"), F.max(F.when(F.col("i") == F.col("j"), F.col("z"))).alias("own"))  # a batch
-        top = F.array_max("z")
-        total = F.aggregate(F.transform("z", lambda z: F.exp(z - top)), F.lit(0.0), lambda a, x: a + x)
-        return each.agg(F.avg(top + F.log(total) - F.col("own")).alias(f"loss_{name}"), F.round(F.avg((F.col("own") >= top).cast("int")), 6).alias(f"acc_{name}"))
 
-    # two tables of one row
-    return side("i", "row").join(side("j", "col")).select(F.round(F.col("loss_row") + F.col("loss_col"), 4).alias("loss"), "acc_row", "acc_col")
+@query("infonce_all", _contrast("true"))
+def infonce_all(spark, d):
+    """Every pair of the table against all others."""
+    return _rounded(contrastive.infonce(_pairs(spark, d), 10.0, digits=6))
 
 
-@query("uniformity", f"with p as (select vec_id as i, vec_id // {BATCH} as batch, embedding::double[] as x from embeddings) select round(coalesce(ln(avg(exp(-2 * (2 - 2 * round(list_dot_product(a.x, b.x), 6))))), 0), 4) as uniformity from p a join p b on a.batch = b.batch and a.i < b.i")
+@query("uniformity", _uniform("a.batch = b.batch"))
 def uniformity(spark, d):
-    """Over all pairs within each batch of the table."""
-    p = corpus(spark, d)
-    s = _in_batch(p.select(F.col("id").alias("i"), F.col("vec").alias("x")), p.select(F.col("id").alias("j"), F.col("vec").alias("y"))).where("i < j")
-    return s.agg(F.round(F.coalesce(F.log(F.avg(F.exp(-2 * (2 - 2 * F.col("score"))))), F.lit(0.0)), 4).alias("uniformity"))
+    """Both sides, over all pairs within each batch."""
+    return _rounded(contrastive.uniformity(_pairs(spark, d), batch="batch", digits=6))
+
+
+@query("uniformity_all", _uniform("true"))
+def uniformity_all(spark, d):
+    """Both sides, over all pairs of rows."""
+    return _rounded(contrastive.uniformity(_pairs(spark, d), digits=6))
 
 
 @query("kis_coarse_fine", IP + """, hits as (select query_id, id, rank from ranked where rank <= 5),
