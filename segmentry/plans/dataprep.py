@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from segmentry.functions import text as t
 from segmentry.operators import dataprep as op
-from segmentry.operators import manifest
+from segmentry.operators import manifest, split
 from segmentry.plans.registry import query, table
 from segmentry.plans.views import SAMPLES, duck, samples
 from segmentry.sources import files
@@ -154,6 +154,35 @@ def group_split_leak_check(spark, d):
     return sides.agg(F.count(F.lit(1)).alias("groups"), F.count_if(F.col("n") > 1).alias("leaked"))
 
 
+SPLIT = f"""with {SMP}, u as (select *, case when media_type = 'image' then path else source end as unit from samples),
+h as (select *, media_type = 'image' as image, md5('42:unit:' || unit) as h from u),
+k as (select image, h, row_number() over (partition by image order by h) as place, count(*) over (partition by image) as n from (select distinct image, h from h) t),
+sp as (select h.*, case when k.place <= floor(k.n * 0.3::double) then 'val' else 'train' end as split from h join k on k.image = h.image and k.h = h.h)"""
+
+
+def _split(spark, d):
+    return split.with_split(samples(spark, d), 0.3, group=F.col("source"))
+
+
+@query("split_job", SPLIT + " select path, split, row_number() over (partition by split order by md5('42:order:' || path), path) - 1 as nth from sp")
+def split_job(spark, d):
+    """Videos by source, images by row; each row's place in its set's shuffled order."""
+    return split.shuffled(_split(spark, d)).select("path", "split", "nth")
+
+
+@query("split_files", SPLIT + ", t as (select unit from sp where split = 'train' intersect select unit from sp where split = 'val') select split, count(*) as rows, sum(num_frames)::bigint as frames, (select count(*) from t) as leaked from sp group by split")
+def split_files(spark, d):
+    """Written as two file sets and read back."""
+    folder = files.shared_folder(spark, "split")
+    rows = _split(spark, d).withColumn("unit", F.when(F.col("media_type") == "image", F.col("path")).otherwise(F.col("source")))
+    split.write_split(rows.drop("caption"), folder)
+    train, val = (split.read_split(spark, folder, s, "path string, unit string, num_frames int") for s in ("train", "val"))
+    leaked = split.leaks(train, val, F.col("unit")).agg(F.count(F.lit(1)).alias("leaked"))
+    both = train.withColumn("split", F.lit("train")).unionByName(val.withColumn("split", F.lit("val")))
+    counted = both.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.sum("num_frames").alias("frames"))
+    return counted.join(leaked)  # a table of one row
+
+
 @query("split_group_key", "select doc_id, case when doc_id % 4 = 0 then source || '/' || doc_id || '.txt' else (doc_id % 30)::varchar end as k from documents")
 def split_group_key(spark, d):
     docs = table(spark, d, "documents")
