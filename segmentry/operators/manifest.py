@@ -41,9 +41,13 @@ def complete_groups(planned: DataFrame, done: DataFrame, group: str, key: str) -
     return marked.groupBy(group).agg(F.count(F.lit(1)).alias("planned"), F.count("_done").alias("done")).where("done >= planned")
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Rows of ``new`` replace those of ``old`` with the same key, as a whole; an empty ``old`` is a first run."""
-    return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
+def upsert(old: DataFrame, new: DataFrame, key: str, *order: str) -> DataFrame:
+    """Rows of ``new`` replace those of ``old`` with the same key, as a whole; an empty ``old`` is a first run. A null key is a
+    key like any other; of several rows of ``new`` with one key the last by ``order`` (by default all columns) is taken."""
+    last = F.struct(F.struct(*(order or new.columns)).alias("by"), F.struct(*new.columns).alias("row"))
+    newest = new.groupBy(key).agg(F.max(last).alias("last")).select("last.row.*")
+    same = old[key].eqNullSafe(newest[key])
+    return old.join(newest.select(key), same, "left_anti").unionByName(newest, allowMissingColumns=True)
 
 
 def capped(df: DataFrame, group: str, order: str, most: int) -> DataFrame:

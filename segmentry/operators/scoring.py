@@ -48,10 +48,13 @@ def in_interval(answers: DataFrame, truth: DataFrame) -> DataFrame:
     return answers.join(t, ["query_id", "video_id"]).where("frame between s and e").drop("s", "e").distinct()
 
 
-def final_score(scored: DataFrame, score: str, tops=TOPS) -> DataFrame:
-    """(query_id, final_score): the best score within each depth, averaged over the depths."""
+def final_score(scored: DataFrame, score: str, tops=TOPS, queries: DataFrame | None = None) -> DataFrame:
+    """(query_id, final_score): the best score within each depth, averaged over the depths. Each of ``queries`` (query_id; by
+    default those of ``scored``) has a row, with 0 where no answer lies within the depths."""
+    asked = (scored if queries is None else queries).select("query_id").distinct()
     best = [F.coalesce(F.max(F.when(F.col("rank") <= k, F.col(score))), F.lit(0)) for k in tops]
-    return scored.where(F.col("rank") <= max(tops)).groupBy("query_id").agg(F.round(sum(best[1:], best[0]) / F.lit(float(len(tops))), 6).alias("final_score"))
+    found = scored.where(F.col("rank") <= max(tops)).groupBy("query_id").agg(F.round(sum(best[1:], best[0]) / F.lit(float(len(tops))), 6).alias("final_score"))
+    return asked.join(found, "query_id", "left").fillna({"final_score": 0.0})
 
 
 def trake_score(answers: DataFrame, truth: DataFrame) -> DataFrame:
@@ -64,8 +67,27 @@ def trake_score(answers: DataFrame, truth: DataFrame) -> DataFrame:
 
 def submission_lines(answers: DataFrame, most: int = 100) -> DataFrame:
     """(query_id, rank, line) of ``answers`` (query_id, task, rank, video_id, frame, event_index, answer): ``video,frame`` for
-    kis, ``video,frame,answer`` for qa, ``video,f1,...,fN`` in event order for trake."""
+    kis, ``video,frame,answer`` for qa, ``video,f1,...,fN`` in event order for trake. Fields with a comma, a quote or a line
+    end are quoted."""
     chain = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_index", "frame"))), lambda x: x["frame"].cast("string")), ",")
     rows = answers.where(F.col("rank") <= most).groupBy("query_id", "task", "rank", "video_id").agg(chain.alias("frames"), F.max("answer").alias("answer"))
-    said = F.when(F.col("task") == "qa", F.trim("answer"))
-    return rows.select("query_id", "rank", F.concat_ws(",", "video_id", "frames", said).alias("line"))
+    said = F.when(F.col("task") == "qa", quoted(F.trim("answer")))
+    return rows.select("query_id", "rank", F.concat_ws(",", quoted(F.col("video_id")), "frames", said).alias("line"))
+
+
+def quoted(field: Column) -> Column:
+    """As a field of CSV."""
+    return F.when(field.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(field, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(field)
+
+
+def write_submission(lines: DataFrame, path: str) -> None:
+    """``lines`` (query_id, rank, line), such as ``submission_lines`` gives: a file a query, in its own folder, by rank."""
+    own = lines.repartition("query_id").sortWithinPartitions("query_id", "rank")
+    own.select("query_id", F.col("line").alias("value")).write.partitionBy("query_id").text(path)
+
+
+def write_unified(answers: DataFrame, path: str, most: int = 100) -> None:
+    """All answers (query_id, task, rank, video_id, frame, event_index, answer) as CSV with a header; answers for qa only."""
+    said = F.when(F.col("task") == "qa", F.trim("answer")).alias("answer")
+    rows = answers.where(F.col("rank") <= most).select("query_id", "rank", "video_id", F.col("frame").alias("frame_index"), "event_index", said)
+    rows.write.option("header", True).option("escape", '"').csv(path)

@@ -24,9 +24,10 @@ def frame_at(seconds: Column, fps: Column) -> Column:
     return F.bround(seconds * fps).cast("int")
 
 
-def insert(store: DataFrame, new: DataFrame, *order: str) -> DataFrame:
-    """``new`` with segment_id: they follow the highest id of ``store`` (0 if it is empty), in ``order``."""
-    highest = store.agg(F.max("segment_id")).first()[0] or 0
+def insert(store: DataFrame, new: DataFrame, *order: str, high_water: int = 0) -> DataFrame:
+    """``new`` with segment_id, in ``order``: they follow the highest id of ``store`` and ``high_water``, the highest ever given,
+    so the id of a deleted row is not given again; ``segment_table`` keeps that mark on disk."""
+    highest = max(store.agg(F.max("segment_id")).first()[0] or 0, high_water)
     return numbered(new, *order, start=highest + 1, name="segment_id")
 
 
@@ -39,20 +40,20 @@ def by_video(store: DataFrame, video_id: str) -> DataFrame:
     return store.where(F.col("video_id") == video_id).orderBy("start_frame")
 
 
-def missing_text(store: DataFrame) -> DataFrame:
-    return store.where("asr_text is null")
+def missing_text(store: DataFrame, field: str = "asr_text") -> DataFrame:
+    return store.where(F.col(field).isNull())
 
 
 def counts(store: DataFrame, *by: str) -> DataFrame:
     return store.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
 
 
-def update_text(store: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(store with new asr_text, ids that the store lacks) for ``updates`` (segment_id, text).
+def update_text(store: DataFrame, updates: DataFrame, field: str = "asr_text") -> tuple[DataFrame, DataFrame]:
+    """(store with new text in ``field``, ids that the store lacks) for ``updates`` (segment_id, text).
 
     A null text changes nothing; of several texts for one id the greatest is taken."""
     one = updates.groupBy("segment_id").agg(F.max("text").alias("_text"))
-    updated = store.join(one, "segment_id", "left").withColumn("asr_text", F.coalesce("_text", "asr_text")).drop("_text")
+    updated = store.join(one, "segment_id", "left").withColumn(field, F.coalesce("_text", field)).drop("_text")
     return updated, one.select("segment_id").join(store.select("segment_id"), "segment_id", "left_anti")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segmentry.functions import text as t
@@ -9,7 +12,7 @@ from segmentry.operators import dataprep as op
 from segmentry.operators import manifest, split
 from segmentry.plans.registry import query, table
 from segmentry.plans.views import SAMPLES, duck, samples
-from segmentry.sources import files
+from segmentry.sources import files, readers
 
 SMP = duck(SAMPLES)
 ROWS = f"""{SAMPLES},
@@ -74,8 +77,8 @@ def caption_tsv_clean(spark, d):
     """Written as TSV in the shared folder and read back."""
     rows = samples(spark, d).join(table(spark, d, "pages").withColumnRenamed("page_id", "doc_id"), "doc_id").select("caption", "url")
     path = files.shared_folder(spark, "tsv")
-    files.clean_tsv(rows).write.option("quote", "").csv(path, sep="\t")
-    return spark.read.schema("caption string, url string").option("quote", "").csv(path, sep="\t")
+    files.write_caption_tsv(rows, path)
+    return files.read_caption_tsv(spark, path)
 
 
 def _rows(spark, d):
@@ -265,6 +268,17 @@ def discover_files(spark, d):
     return files.discover_files(spark, path, exts=("txt",)).select(F.regexp_extract("path", r"(source=[^/]*)/", 1).alias("place"), "length")
 
 
+@query("file_signatures", "select 'fast' as mode, true as valid, true as few_bytes union all select 'none', true, true union all select 'strict', true, false union all select 'fast of another kind', false, true")
+def file_signatures(spark, d):
+    """Files of the documents' numbers, checked from their first and last bytes, by their being there, and in whole."""
+    path = files.shared_folder(spark, "parts")
+    table(spark, d, "documents").select("doc_id").repartition(4).write.parquet(path)
+    listed = files.discover_files(spark, path, ("parquet",)).select("path")
+    checks = [("fast", "parquet", "fast"), ("none", "parquet", "none"), ("strict", "parquet", "strict"), ("fast of another kind", "jpeg", "fast")]
+    told = [readers.check_files(listed, kind, mode).agg(F.lit(name).alias("mode"), F.min("valid").alias("valid"), (F.max("bytes_read") <= 8).alias("few_bytes")) for name, kind, mode in checks]
+    return reduce(DataFrame.unionByName, told)
+
+
 @query("binary_magic_check")
 def binary_magic_check(spark, d):
     path = files.shared_folder(spark, "parts")

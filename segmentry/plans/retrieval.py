@@ -371,7 +371,7 @@ def rscore_qa(spark, d):
 @query("final_score", ANSWERS_DUCK + """, f as (select query_id, unnest([1, 5, 20, 50, 100]) as k from (select distinct query_id from scored) t)
 select query_id, round(avg(coalesce((select max(kis) from scored s where s.query_id = f.query_id and s.rank <= f.k), 0)), 6) as final_score from f group by query_id""")
 def final_score(spark, d):
-    return scoring.final_score(_judged(spark, d), "kis")
+    return scoring.final_score(_judged(spark, d), "kis", queries=_given(spark, d, "truth"))
 
 
 @query("frame_in_interval", ANSWERS_DUCK + " select t.query_id, a.rank, a.video_id, a.frame from answers a join truth t on t.query_id = a.query_id and t.video_id = a.video_id and a.frame >= t.s and a.frame <= t.e")
@@ -382,24 +382,23 @@ def frame_in_interval(spark, d):
 def _tasked(spark, d):
     """kis and qa by turns; every chain of a query's answers in one video is one trake answer."""
     single = _given(spark, d, "answers").withColumn("task", F.when(F.col("query_id") % 2 == 1, "qa").otherwise("kis")).withColumn("event_index", F.lit(1))
-    chains = segments(spark, d).where("i < 300").select((F.col("label") + 10_000_000).alias("query_id"), F.lit("trake").alias("task"), (F.floor(F.col("i") / 3) + 1).alias("rank"), "video_id", F.col("midpoint_frame").alias("frame"), (F.col("i") % 3).alias("event_index"), F.lit(None).cast("string").alias("answer"))
+    chains = segments(spark, d).select((F.col("label") + 10_000_000 + 1000 * F.floor(F.col("i") / 300)).alias("query_id"), F.lit("trake").alias("task"), (F.floor(F.col("i") % 300 / 3) + 1).alias("rank"), "video_id", F.col("midpoint_frame").alias("frame"), (F.col("i") % 3).alias("event_index"), F.lit(None).cast("string").alias("answer"))
     return single.unionByName(chains)
 
 
 @query("submission_official", ANSWERS_DUCK + """ select query_id, rank, video_id || ',' || frame || case when query_id % 2 = 1 then ',' || trim(answer) else '' end as line from answers where rank <= 100
-union all select label + 10000000, i // 3 + 1, video_id || ',' || string_agg(midpoint_frame, ',' order by i) from segments where i < 300 group by label, i // 3, video_id""")
+union all select label + 10000000 + 1000 * (i // 300), i % 300 // 3 + 1, video_id || ',' || string_agg(midpoint_frame, ',' order by i) from segments group by label, i // 300, i % 300 // 3, video_id""")
 def submission_official(spark, d):
     return scoring.submission_lines(_tasked(spark, d))
 
 
 @query("submission_unified", ANSWERS_DUCK + """ select query_id, rank, video_id, frame as frame_index, 1 as event_index, case when query_id % 2 = 1 then trim(answer) end as answer from answers where rank <= 100
-union all select label + 10000000, i // 3 + 1, video_id, midpoint_frame, i % 3, null from segments where i < 300""")
+union all select label + 10000000 + 1000 * (i // 300), i % 300 // 3 + 1, video_id, midpoint_frame, i % 3, null from segments""")
 def submission_unified(spark, d):
     """Written as CSV with a header and read back."""
-    rows = _tasked(spark, d).where("rank <= 100").select("query_id", "rank", "video_id", F.col("frame").alias("frame_index"), "event_index", F.when(F.col("task") == "qa", F.trim("answer")).alias("answer"))
     path = shared_folder(spark, "submission")
-    rows.write.option("header", True).csv(path)
-    return spark.read.option("header", True).schema("query_id long, rank long, video_id string, frame_index int, event_index int, answer string").csv(path)
+    scoring.write_unified(_tasked(spark, d), path)
+    return spark.read.option("header", True).option("escape", '"').schema("query_id long, rank long, video_id string, frame_index int, event_index int, answer string").csv(path)
 
 
 GIVEN = "select query_id, rank, concat(answer, case when query_id % 3 = 0 then ' answer' when query_id % 3 = 1 then ' of several words' else '' end) as answer from answers where rank <= 100"

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from segmentry.functions import sql
 from segmentry.functions import text as t
-from segmentry.operators import dataprep, store
+from segmentry.operators import dataprep, encoding, segment_table, store
 from segmentry.operators import streams as op
 from segmentry.plans.registry import query, table
 from segmentry.plans.views import FRAMES, REGIONS_DUCK, REGIONS_SPARK, SEGMENTS, duck, frames, regions, segments, view
@@ -231,6 +233,46 @@ def segment_assign_ids(spark, d):
     return store.insert(rows, rows.select("video_id", "start_frame"), "video_id", "start_frame")
 
 
+@query("sql_window_starts", WS + " select video_id, window_idx, window_start from w")
+def sql_window_starts(spark, d):
+    """By the table function, from SQL alone."""
+    sql.register(spark)
+    return spark.sql("select v.video_id, w.window_idx, w.window_start from {v} v, lateral window_starts(v.num_frames, 20, 4) w", v=counted(spark, d))
+
+
+@query("encode_windows", f"""with {SEG}, n as (select video_id, count(*)::int as n from segments group by video_id),
+w as (select video_id, n, unnest(case when n <= 8 then [0] else list_distinct(list_concat(range(0, n - 8 + 1, 4), [n - 8])) end)::int as window_start from n)
+select w.video_id, window_start, round(sum(2 * embedding[1]::double) / 8 + 1, 5) as x, round(sum(embedding[2]::double) / 8 - 1, 5) as y from w join segments s on s.video_id = w.video_id and i >= window_start and i < window_start + 8 where n >= 8 group by w.video_id, window_start""")
+def encode_windows(spark, d):
+    """Windows of segment vectors through a plugged model (here their states as they are), pooled and projected to two numbers."""
+    weights = np.zeros((64, 2))
+    weights[0, 0], weights[1, 1] = 2, 1
+    rows = segments(spark, d).select("video_id", F.col("i").alias("frame_idx"), F.col("embedding").alias("value"))
+    found = encoding.encoded_windows(rows, _as_they_are, 8, 4, pooling="mean", weights=weights, bias=[1, -1]).where("num_frames >= 8")
+    return found.select("video_id", "window_start", *[F.round(F.col("vec")[k], 5).alias(c) for k, c in enumerate("xy")])
+
+
+def _as_they_are():
+    """A model whose states are the given vectors."""
+    return lambda windows: (np.stack([np.stack(w) for w in windows]).astype(float), np.ones((len(windows), len(windows[0]))))
+
+
+@query("stored_segments", TOLD + """, k as (select *, row_number() over (order by video_id, start_frame) as a from segments where segment_id % 3 <> 0), m as (select max(a) as top from k),
+l as (select *, (select top from m) + row_number() over (order by video_id, start_frame) as a from segments where segment_id % 3 = 0)
+select a as segment_id, video_id, start_frame, case when a % 5 = 0 then 'said ' || a end as asr_text, case when a % 7 = 0 then 'sign ' || a end as ocr_text from (select a, video_id, start_frame from k union all select a, video_id, start_frame from l) t where a % 11 <> 0""")
+def stored_segments(spark, d):
+    """Two batches into a stored table, the first one again, texts of both kinds, deletes; read by its path."""
+    rows = segments(spark, d).select("video_id", "start_frame", "segment_id")
+    made = segment_table.create(spark, files.shared_folder(spark, "segments"), "video_id string, start_frame int")
+    for batch, own in ((0, rows.where("segment_id % 3 <> 0")), (0, rows.where("segment_id % 3 <> 0")), (1, rows.where("segment_id % 3 = 0"))):
+        made.append(own.drop("segment_id"), batch, "video_id", "start_frame")
+    ids = made.rows().select("segment_id")
+    made.set_text(ids.where("segment_id % 5 = 0").withColumn("text", F.concat(F.lit("said "), "segment_id")), "asr_text", 0)
+    made.set_text(ids.where("segment_id % 7 = 0").withColumn("text", F.concat(F.lit("sign "), "segment_id")), "ocr_text", 1)
+    made.delete(ids.where("segment_id % 11 = 0"), 0)
+    return segment_table.SegmentTable(spark, made.path).rows().select("segment_id", "video_id", "start_frame", "asr_text", "ocr_text")
+
+
 @query("batch_assign", f"with {SEG}, b as (select segment_id, cast(floor((row_number() over (order by segment_id) - 1) / 32) as int) as batch from segments) select segment_id, batch, epoch from b join (select 0 as epoch union all select 1) e on true")
 def batch_assign(spark, d):
     """Two epochs of the same batches of 32."""

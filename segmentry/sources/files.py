@@ -103,11 +103,17 @@ def check_signature(files: DataFrame, head_hex: str = "FFD8", tail_hex: str = "F
     return files.withColumn("valid", head & tail)
 
 
-def write_caption_tsv(df: DataFrame, path: str) -> None:
-    """(caption, url): tabs and line ends become blanks, rows with an empty field go."""
-    clean_tsv(df).write.csv(path, sep="\t")
+def write_caption_tsv(df: DataFrame, path: str) -> int:
+    """(caption, url): tabs and line ends become blanks, rows with an empty field go; fields stand as they are, without quotes.
+    The number of rows written."""
+    clean_tsv(df).write.option("quote", "").csv(path, sep="\t")
+    return read_caption_tsv(df.sparkSession, path).count()
+
+
+def read_caption_tsv(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("caption string, url string").option("quote", "").csv(path, sep="\t")
 
 
 def clean_tsv(df: DataFrame) -> DataFrame:
-    tidy = [F.trim(F.translate(c, "\t\n\r", "   ")).alias(c) for c in ("caption", "url")]
+    tidy = [strip(F.translate(c, "\t\n\r", "   ")).alias(c) for c in ("caption", "url")]
     return df.select(*tidy).where("caption <> '' and url <> ''")

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from segmentry.operators import manifest
+from segmentry.sources import files
 
 
 def test_request_rules(spark):
@@ -47,3 +48,19 @@ def test_missing_files_and_their_urls(spark):
     urls = spark.createDataFrame([(2, "u2"), (1, "u1")], "id int, url string")
     found = manifest.missing_urls(samples, there, urls, "id").orderBy(F.col("id").asc_nulls_last()).collect()
     assert [(r["id"], r["url"]) for r in found] == [(2, "u2"), (3, None), (None, None)]
+
+
+def test_upsert_of_null_and_repeated_keys(spark):
+    old = spark.createDataFrame([(None, "o", 1), ("a", "o", 1), ("b", "o", 1)], "path string, v string, n int")
+    new = spark.createDataFrame([(None, "n", 1), ("a", "n1", 2), ("a", "n2", 1), ("c", "n", 1), (None, "n", 0)], "path string, v string, n int")
+    got = lambda *order: sorted(tuple(r) for r in manifest.upsert(old, new, "path", *order).fillna({"path": "-"}).collect())
+    assert got("n") == [("-", "n", 1), ("a", "n1", 2), ("b", "o", 1), ("c", "n", 1)]
+    assert got() == [("-", "n", 1), ("a", "n2", 1), ("b", "o", 1), ("c", "n", 1)]
+
+
+def test_caption_tsv_has_fields_as_they_are(spark, tmp_path):
+    rows = spark.createDataFrame([('say "hi" x', "u1"), ("a\tb\nc", " u2 "), ("\u00a0 ", "u3"), (None, "u4"), ("back\\slash", "u5")], "caption string, url string")
+    assert files.write_caption_tsv(rows.coalesce(1), str(tmp_path / "t")) == 3
+    lines = [line for f in (tmp_path / "t").glob("*.csv") for line in f.read_text().splitlines()]
+    assert lines == ['say "hi" x\tu1', "a b c\tu2", "back\\slash\tu5"]
+    assert [tuple(r) for r in files.read_caption_tsv(spark, str(tmp_path / "t")).collect()] == [('say "hi" x', "u1"), ("a b c", "u2"), ("back\\slash", "u5")]

@@ -16,6 +16,8 @@ def test_store(spark):
     new = spark.createDataFrame([("b", 10), ("a", 900)], "video_id string, start_frame int")
     assert rows(store.insert(s, new, "video_id", "start_frame"), "segment_id", "video_id") == [(4, "a"), (5, "b")]
     assert rows(store.insert(s.where("false"), new, "video_id"), "segment_id") == [(1,), (2,)]
+    # id 9 was given and deleted
+    assert rows(store.insert(s, new, "video_id", "start_frame", high_water=9), "segment_id") == [(10,), (11,)]
     changed, unknown = store.update_text(s, spark.createDataFrame([(1, "n"), (1, "m"), (2, None), (9, "z")], "segment_id long, text string"))
     assert rows(changed, "segment_id", "asr_text") == [(1, "n"), (2, "x"), (3, None)] and rows(unknown, "segment_id") == [(9,)]
     spoken = spark.createDataFrame([("a", 290, 310, 1, "one"), ("a", 299, 1000, 2, "two"), ("a", 900, 901, 3, "no"), ("b", 10, 11, 4, "no")], "video_id string, sf int, ef int, k int, text string")
@@ -31,10 +33,28 @@ def test_scoring(spark):
     scored = scoring.judged(given, truth)
     assert rows(scored, "query_id", "rank", "kis", "qa") == [(1, 1, 0, 0), (1, 2, 1, 1), (1, 7, 1, 0), (2, 1, 0, 0)]
     assert rows(scoring.final_score(scored, "kis"), "query_id", "final_score") == [(1, 0.8), (2, 0.0)]
+    asked = spark.createDataFrame([(1,), (2,), (3,)], "query_id long")
+    deep = scored.withColumn("rank", F.col("rank") + 98)
+    assert rows(scoring.final_score(deep, "kis", queries=asked), "query_id", "final_score") == [(1, 0.2), (2, 0.0), (3, 0.0)]
     chain = spark.createDataFrame([(5, "trake", 1, "v", 30, 2, None), (5, "trake", 1, "v", 10, 1, None), (6, "qa", 1, "w", 4, 1, " yes "), (7, "kis", 1, "w", 4, 1, "no"), (7, "kis", 101, "w", 4, 1, None)], "query_id long, task string, rank int, video_id string, frame int, event_index int, answer string")
     assert rows(scoring.submission_lines(chain), "query_id", "line") == [(5, "v,10,30"), (6, "w,4,yes"), (7, "w,4")]
 
 
+def test_submission_fields_are_quoted(spark, tmp_path):
+    import csv
+    import glob
+
+    said = ['yes, no', 'say "hi"', "two\nlines", "plain"]
+    given = spark.createDataFrame([(6, "qa", i + 1, "v,1", 4, 1, f" {a} ") for i, a in enumerate(said)] + [(7, "kis", 1, "w", 5, 1, None)], "query_id long, task string, rank int, video_id string, frame int, event_index int, answer string")
+    lines = scoring.submission_lines(given)
+    scoring.write_submission(lines, str(tmp_path / "official"))
+    read = {q: [row for f in glob.glob(f"{tmp_path}/official/query_id={q}/*.txt") for row in csv.reader(open(f, newline=""))] for q in (6, 7)}
+    assert read == {6: [["v,1", "4", a] for a in said], 7: [["w", "5"]]} and len(glob.glob(f"{tmp_path}/official/query_id=6/*.txt")) == 1
+    scoring.write_unified(given, str(tmp_path / "unified"))
+    back = sorted(row for f in glob.glob(f"{tmp_path}/unified/*.csv") for row in csv.reader(open(f, newline="")) if row[0] != "query_id")
+    assert back == [["6", str(i + 1), "v,1", "4", "1", a] for i, a in enumerate(said)] + [["7", "1", "w", "5", "1", ""]]
+
+
 def test_segment_videos_with_a_poisoned_one(spark):
     def video(name, n, f):
         return [(name, i, f(i)) for i in range(n)]
