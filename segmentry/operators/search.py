@@ -1,4 +1,4 @@
-"""Exact and approximate nearest neighbours, aligned event chains, fusion of ranked lists."""
+"""Exact and approximate nearest neighbours, fusion of ranked lists."""
 
 from __future__ import annotations
 
@@ -205,30 +205,6 @@ def recall_at_k(approx: DataFrame, exact: DataFrame) -> DataFrame:
     return hits.groupBy("query_id").agg(F.count("hit").alias("hits"), F.count(F.lit(1)).alias("truth"))
 
 
-def trake(scored: DataFrame, n_events: int, found_threshold: float = 0.5) -> DataFrame:
-    """Best chain of segments for events 1..n in each (query_id, video_id), frames strictly rising.
-
-    ``scored``: query_id, video_id, event_index, frame, score. One window pass for each event after the first."""
-    best = scored.where("event_index = 1").select("query_id", "video_id", "frame", F.col("score").alias("total"), F.array(F.struct("frame", "score")).alias("path"))
-    for j in range(2, n_events + 1):
-        now = scored.where(F.col("event_index") == j).select("query_id", "video_id", "frame", "score")
-        both = best.select("query_id", "video_id", "frame", F.lit(None).cast("double").alias("score"), F.struct("total", (-F.col("frame")).alias("early"), "path").alias("before"))
-        both = both.unionByName(now.withColumn("before", F.lit(None).cast(both.schema["before"].dataType)))
-        earlier = Window.partitionBy("query_id", "video_id").orderBy("frame").rangeBetween(Window.unboundedPreceding, -1)
-        chained = both.withColumn("best", F.max("before").over(earlier)).where("score is not null and best is not null")
-        best = chained.select(
-            "query_id", "video_id", "frame", (F.col("best.total") + F.col("score")).alias("total"),
-            F.concat("best.path", F.array(F.struct("frame", "score"))).alias("path"),
-        )
-    top = best.groupBy("query_id", "video_id").agg(F.max(F.struct("total", (-F.col("frame")).alias("early"), "path")).alias("b"))
-    rows = top.select("query_id", "video_id", "b.total", F.posexplode("b.path").alias("at", "e"))
-    rows = rows.select("query_id", "video_id", "total", (F.col("at") + 1).alias("event_index"), "e.frame", "e.score")
-    rows = rows.withColumn("found", F.col("score") >= found_threshold)
-    w = Window.partitionBy("query_id", "video_id")
-    mean = F.coalesce(F.avg(F.when(F.col("found"), F.col("score"))).over(w), F.avg("score").over(w))
-    return rows.withColumn("overall_score", F.round(mean, 6))
-
-
 def rrf(a: DataFrame, b: DataFrame, k: int = 10, c: int = 60) -> DataFrame:
     """Reciprocal rank fusion of two ranked lists (query_id, id, rank)."""
     score = F.coalesce(1 / (c + F.col("ra")), F.lit(0.0)) + F.coalesce(1 / (c + F.col("rb")), F.lit(0.0))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from segmentry.functions.text import tokens
 from segmentry.functions.vectors import cosine, l2_normalize, sq_l2
 from segmentry.operators import index as stored_index
-from segmentry.operators import contrastive, postings, scoring, search
+from segmentry.operators import chains, contrastive, postings, scoring, search
 from segmentry.plans.registry import query, table
 from segmentry.plans.views import SEGMENTS, duck, segments, view
 from segmentry.sources.files import shared_folder
@@ -238,29 +238,31 @@ def kis_coarse_fine(spark, d):
 
 
 TRAKE = f"""with {SEG},
-ev as (select label as query_id, case i when 4 then 1 when 12 then 2 else 3 end as event_index, embedding::double[] as qv from segments where i in (4, 12, 20)),
-sc as (select query_id, video_id, event_index, midpoint_frame as frame, round(list_dot_product(qv, embedding::double[]), 6) as score from ev, segments),
+ev as (select q.vec_id as query_id, v.vec_id - q.vec_id + 1 as event_index, v.embedding::double[] as qv from embeddings q join embeddings v on v.vec_id between q.vec_id and q.vec_id + 2 where q.vec_id % 20 = 0),
+sc as (select query_id, video_id, event_index, midpoint_frame as frame, cast(round(list_dot_product(qv, embedding::double[]) * 1000000) as bigint) as score from ev, segments),
 b2 as (select query_id, video_id, frame, score, max(t) over (partition by query_id, video_id order by frame range between unbounded preceding and 1 preceding) as p
        from (select a.query_id, a.video_id, a.frame, a.score, {{'total': b.score, 'early': -b.frame, 's1': b.score}} as t from sc a join sc b on a.query_id = b.query_id and a.video_id = b.video_id and a.frame = b.frame where a.event_index = 2 and b.event_index = 1) x),
 c2 as (select query_id, video_id, frame, {{'total': p.total + score, 'early': -frame, 'f1': -p.early, 's1': p.s1, 's2': score}} as t from b2 where p is not null),
 b3 as (select a.query_id, a.video_id, a.frame, a.score, max(t) over (partition by a.query_id, a.video_id order by a.frame range between unbounded preceding and 1 preceding) as p
        from sc a left join c2 on c2.query_id = a.query_id and c2.video_id = a.video_id and c2.frame = a.frame where a.event_index = 3),
 c3 as (select query_id, video_id, max({{'total': p.total + score, 'early': -frame, 'f1': p.f1, 's1': p.s1, 'f2': -p.early, 's2': p.s2, 's3': score}}) as t from b3 where p is not null group by query_id, video_id),
-e as (select query_id, video_id, 1 as event_index, t.f1 as frame, t.s1 as score from c3 union all select query_id, video_id, 2, t.f2, t.s2 from c3 union all select query_id, video_id, 3, -t.early, t.s3 from c3)
-select query_id, video_id, event_index, frame, score, score >= 0.5::double as found,
-       round(coalesce(avg(score) filter (score >= 0.5::double) over (partition by query_id, video_id), avg(score) over (partition by query_id, video_id)), 6) as overall_score from e"""
+e as (select query_id, video_id, 1 as event_index, t.f1 as frame, t.s1 / 1000000 as score from c3 union all select query_id, video_id, 2, t.f2, t.s2 / 1000000 from c3 union all select query_id, video_id, 3, -t.early, t.s3 / 1000000 from c3),
+o as (select query_id, video_id, event_index, frame::bigint as frame, score, score >= 0.5::double as found,
+             round(coalesce(avg(score) filter (score >= 0.5::double) over (partition by query_id, video_id), avg(score) over (partition by query_id, video_id)), 6) as overall_score from e)
+select query_id, video_id, event_index, frame, score, found, overall_score from (select *, dense_rank() over (partition by query_id order by overall_score desc, video_id) as place from o) t where place <= 3"""
 
 
-def trake_scores(spark, d):
-    s = segments(spark, d)
-    ev = s.where("i in (4, 12, 20)").select(F.col("label").alias("query_id"), F.expr("case i when 4 then 1 when 12 then 2 else 3 end").alias("event_index"), F.col("embedding").alias("q"))
-    # three events for each of the ten labels: a batch of fixed size
-    return s.join(F.broadcast(ev), F.lit(True)).select("query_id", "video_id", "event_index", F.col("midpoint_frame").alias("frame"), F.round(search.inner_product("q", "embedding"), 6).alias("score"))
+def events(spark, d):
+    """Every twentieth vector and the two after it ask for a chain."""
+    e = corpus(spark, d)
+    return e.withColumn("event_index", F.col("id") % 20 + 1).where("event_index <= 3").select((F.col("id") - F.col("event_index") + 1).alias("query_id"), F.col("event_index").cast("int").alias("event_index"), "vec")
 
 
 @query("trake_align", TRAKE)
 def trake_align(spark, d):
-    return search.trake(trake_scores(spark, d), 3).drop("total")
+    """The three best videos of every query, a row an event."""
+    s = segments(spark, d).select("video_id", F.col("midpoint_frame").alias("frame"), F.col("embedding").alias("vec"))
+    return chains.align(s, events(spark, d), 3)
 
 
 @query("visual_delta", f"with {SEG} select video_id, start_frame, round(1 - list_dot_product(embedding::double[], lag(embedding) over (partition by video_id order by start_frame)::double[]), 5) as delta from segments")

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from segmentry.functions import text, vectors
-from segmentry.operators import dataprep, scoring, search, streams
+from segmentry.operators import chains, dataprep, scoring, search, streams
 from segmentry.sources import files
 
 
@@ -43,9 +43,9 @@ def test_intervals(spark):
 
 
 def test_trake_orders_frames(spark):
-    rows = [(1, "v", e, f, s) for e, f, s in [(1, 10, 0.9), (1, 30, 1.0), (2, 20, 0.8), (2, 5, 0.99)]]
-    df = spark.createDataFrame(rows, "query_id long, video_id string, event_index int, frame int, score double")
-    got = search.trake(df, 2).orderBy("event_index").collect()
+    segments = spark.createDataFrame([("v", f, [a, b]) for f, a, b in [(10, 0.9, 0.0), (30, 1.0, 0.0), (20, 0.0, 0.8), (5, 0.0, 0.99)]], "video_id string, frame int, vec array<double>")
+    events = spark.createDataFrame([(1, 1, [1.0, 0.0]), (1, 2, [0.0, 1.0])], "query_id long, event_index int, vec array<double>")
+    got = chains.align(segments, events).orderBy("event_index").collect()
     assert [r["frame"] for r in got] == [10, 20] and got[0]["overall_score"] == pytest.approx(0.85)
 
 
