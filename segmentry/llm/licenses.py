@@ -3,12 +3,13 @@
 A text is a sequence of terms (line ends and comment signs are none), so wrapped notices are found like single lines. A
 span of a template's own number of terms is laid wherever a telling term of the template stands in the text, at the place
 that the term has in the template, and compared with it: cosine of (1 + ln count) times inverse document frequency. What
-surrounds a span does not enter its cosine. Spans of long templates begin at multiples of an eighth of their length.
+surrounds a span does not enter its cosine. Spans of long templates begin at multiples of an eighth of their length; where a
+text has no span that reaches ``least``, every start is tried next to those that come within ``NEAR`` of it.
 
 Document frequencies are counted over all texts for all terms. Telling terms are the heaviest of a template, as many as
 leave less than ``least`` squared of its squared length to the others; so by the Cauchy-Schwarz inequality a span without
-one cannot reach ``least``, and the same bound gives the squared weight that a span's template terms must have. Texts are
-read in overlapping stretches of terms, so a text's length does not matter.
+one cannot reach ``least``, and the same bound gives the squared weight that a span's template terms must have (or those of
+all spans from one start of the grid to the next together). Texts are read in overlapping stretches of terms, so a text's length does not matter.
 
 A file's own licence is the one of its best span from ``least`` on (ties: by name). Files without one inherit from the
 nearest ancestor directory with a licence file (LICENSE, LICENCE, COPYING, NOTICE): each distinct directory is joined by
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from segmentry.llm.common import ascii_lower, read, stored, text_or_empty, with_row_key
 
-LEAST = 0.7
+LEAST, NEAR = 0.7, 0.2
 # Wordings of public licences. Of long licences their openings and their notices for source files.
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
 documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights
@@ -145,7 +146,8 @@ def templates(frequencies: DataFrame, n: int, least: float, texts=None) -> list[
 
 
 def _spans(texts: DataFrame, given: list[Template]) -> DataFrame:
-    """(key_file, key_row, template, start, terms) of all spans that could reach the least score; ``texts``: key, terms."""
+    """(key_file, key_row, template, start, terms) of all places of the grid from which, or from a start before the next, a span
+    could reach the least score; ``terms`` has all terms of these spans. ``texts``: key, terms."""
     reach = max(len(t.terms) + t.stride for t in given)
     at: dict[str, list[tuple[int, int]]] = {}
     for i, template in enumerate(given):
@@ -153,7 +155,7 @@ def _spans(texts: DataFrame, given: list[Template]) -> DataFrame:
             at.setdefault(term, []).extend((i, place) for place in template.places(term))
     telling = sorted(at)
     numbers = lambda of: F.array(*[F.lit(of(t)) for t in given])
-    sizes, strides, need = numbers(lambda t: len(t.terms)), numbers(lambda t: t.stride), numbers(lambda t: t.need)
+    wide, strides, need = numbers(lambda t: len(t.terms) + t.stride - 1), numbers(lambda t: t.stride), numbers(lambda t: t.need)
     words = F.array(*[F.array(*map(F.lit, sorted(t.weights))) for t in given])
     squares = F.array(*[F.create_map(*[F.lit(x) for t in sorted(own.weights) for x in (t, own.weights[t] ** 2)]) for own in given])
     layout = F.array(*[F.array(*[F.struct(F.lit(i).alias("template"), F.lit(p).alias("place")) for i, p in at[t]]) for t in telling])
@@ -170,11 +172,24 @@ def _spans(texts: DataFrame, given: list[Template]) -> DataFrame:
 
     inside = lambda x: (x["start"] >= F.col("base")) & (x["start"] < F.col("base") + STRETCH)
     spans = stretches.select("key_file", "key_row", "base", "terms", F.explode(F.array_distinct(F.filter(F.flatten(F.transform(hits, laid)), inside))).alias("x"))
-    spans = spans.select("key_file", "key_row", "x.*", F.slice("terms", F.col("x.start") - F.col("base") + 1, F.get(sizes, F.col("x.template"))).alias("terms"))
+    spans = spans.select("key_file", "key_row", "x.*", F.slice("terms", F.col("x.start") - F.col("base") + 1, F.get(wide, F.col("x.template"))).alias("terms"))
     shared = F.transform(F.array_intersect("terms", F.get(words, F.col("template"))), lambda t: F.get(squares, F.col("template"))[t])
     return spans.where(F.aggregate(shared, F.lit(0.0), lambda a, x: a + x) >= F.get(need, F.col("template")))
 
 
+_SPAN = ["key_file", "key_row", "template", "start"]
+
+
+def _cosines(spans: DataFrame, given: list[Template], frequencies: DataFrame, n: int) -> DataFrame:
+    """(span, score) of ``spans`` (span, terms)."""
+    tf = spans.select(*_SPAN, F.explode("terms").alias("term")).groupBy(*_SPAN, "term").agg(F.count(F.lit(1)).alias("n"))
+    rows = [(i, term, w / t.size) for i, t in enumerate(given) for term, w in t.weights.items()]
+    weights = spans.sparkSession.createDataFrame(rows, "template int, term string, weight double")  # of fixed size
+    idf = F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1
+    weighed = tf.join(frequencies, "term").join(F.broadcast(weights), ["template", "term"], "left").select(*_SPAN, ((1 + F.log("n")) * idf).alias("own"), F.coalesce("weight", F.lit(0.0)).alias("weight"))
+    return weighed.groupBy(*_SPAN).agg((F.sum(F.col("own") * F.col("weight")) / F.sqrt(F.sum(F.col("own") * F.col("own")))).alias("score"))
+
+
 def _floor(value: Column, step: Column) -> Column:
     return (value - value % step).cast("int")
 
@@ -187,14 +202,16 @@ def matches(keyed: DataFrame, least: float = LEAST, texts=None) -> DataFrame:
     frequencies = stored(document_frequencies(read_), "term-counts")
     n = keyed.count()
     given = templates(frequencies, n, least, texts)
-    spans = stored(_spans(read_, given), "spans")
-    span = ["key_file", "key_row", "template", "start"]
-    tf = spans.select(*span, F.explode("terms").alias("term")).groupBy(*span, "term").agg(F.count(F.lit(1)).alias("n"))
-    rows = [(i, term, w / t.size) for i, t in enumerate(given) for term, w in t.weights.items()]
-    weights = keyed.sparkSession.createDataFrame(rows, "template int, term string, weight double")  # of fixed size
-    idf = F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1
-    weighed = tf.join(frequencies, "term").join(F.broadcast(weights), ["template", "term"], "left").select(*span, ((1 + F.log("n")) * idf).alias("own"), F.coalesce("weight", F.lit(0.0)).alias("weight"))
-    scored = weighed.groupBy(*span).agg((F.sum(F.col("own") * F.col("weight")) / F.sqrt(F.sum(F.col("own") * F.col("own")))).alias("score"))
+    grid = stored(_spans(read_, given), "spans")
+    sizes, strides = (F.array(*[F.lit(x) for x in of]) for of in ([len(t.terms) for t in given], [t.stride for t in given]))
+    at = lambda shift: F.slice("terms", shift + 1, F.get(sizes, F.col("template"))).alias("terms")
+    on_grid = stored(_cosines(grid.select(*_SPAN, at(F.lit(0))), given, frequencies, n), "span-scores")
+    whole = on_grid.where(F.col("score") >= least)
+    close = on_grid.where((F.col("score") < least) & (F.col("score") >= least - NEAR)).select(*_SPAN).join(whole, _SPAN[:3], "left_anti")
+    shifts = F.sequence(F.lit(1), F.get(strides, F.col("template")) - 1)
+    again = grid.join(close, _SPAN).where(F.get(strides, F.col("template")) > 1).select(*_SPAN, "terms", F.explode(shifts).alias("shift"))
+    again = again.select(*_SPAN[:3], (F.col("start") + F.col("shift")).alias("start"), at(F.col("shift")))
+    scored = whole.unionByName(_cosines(again, given, frequencies, n))
     names = F.array(*[F.lit(t.name) for t in given])
     found = scored.select("key_file", "key_row", F.get(names, F.col("template")).alias("license"), F.round("score", 6).alias("score")).where(F.col("score") >= least)
     by_name = found.groupBy("key_file", "key_row", "license").agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("n"))
