@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from segmentry.functions.text import strip
+from segmentry.operators import running
 from segmentry.operators.dataprep import outcome
 
 OUTCOMES = ("ok", "duplicate", "missing", "corrupt")
@@ -50,9 +51,17 @@ def upsert(old: DataFrame, new: DataFrame, key: str, *order: str) -> DataFrame:
     return old.join(newest.select(key), same, "left_anti").unionByName(newest, allowMissingColumns=True)
 
 
-def capped(df: DataFrame, group: str, order: str, most: int) -> DataFrame:
-    """At most ``most`` rows a group, as a run's limit on new work asks for; adds n_new, a row's place."""
-    return df.withColumn("n_new", F.row_number().over(Window.partitionBy(group).orderBy(order))).where(F.col("n_new") <= most)
+def capped(df: DataFrame, group: str, order: str, most: int | None, parts: int | None = None, weight: Column | None = None, budget=None) -> DataFrame:
+    """The rows of each group up to where a run stops: after ``most`` rows, or before the row with which the sum of ``weight``
+    would pass ``budget``. Adds n_new, a row's place, and spent, the sum with it. A group may lie in any number of tasks."""
+    slices = running.sliced(df, [group], [order], parts)
+    counted = running.before(slices, [group], [order], "sum", F.lit(1), "n_new").withColumn("n_new", (F.coalesce("n_new", F.lit(0)) + 1).cast("int"))
+    if weight is not None:
+        spent = running.before(counted, [group], [order], "sum", F.coalesce(weight, F.lit(0)), "spent")
+        counted = spent.withColumn("spent", F.coalesce("spent", F.lit(0)) + F.coalesce(weight, F.lit(0)))
+    stop = F.lit(False) if most is None else F.col("n_new") > most
+    stop = stop if budget is None else stop | (F.col("spent") > budget)
+    return counted.where(~stop).drop("_slice")
 
 
 def by_quality(samples: DataFrame, labels: DataFrame, key: str, least: int = 1, strict: bool = True) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from segmentry.operators import running
+
 
 def starts(total: Column, window: int, stride: int) -> Column:
     """0, s, 2s ... and one window anchored at the end; a short stream has the one at 0; without frames it is an error."""
@@ -94,11 +96,13 @@ def segment_videos(frames: DataFrame, window: int = 64, stride: int = 8, kernel:
     return runs.join(mean, ["video_id", "label"]).select("video_id", "start_frame", "end_frame", "midpoint_frame", "embedding", F.lit(level).alias("level")), status
 
 
-def runs_from_labels(df: DataFrame) -> DataFrame:
-    """Segments of equal labels: (video_id, window_idx, window_start, label, num_frames)."""
-    w = Window.partitionBy("video_id").orderBy("window_idx")
-    new = F.coalesce((F.col("label") != F.lag("label").over(w)).cast("int"), F.lit(1))
-    runs = df.withColumn("run", F.sum(new).over(w)).groupBy("video_id", "run", "num_frames").agg(
+def runs_from_labels(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """Segments of equal labels: (video_id, window_idx, window_start, label, num_frames). A video may lie in any number of tasks."""
+    of, order = ["video_id"], ["window_idx"]
+    last = running.before(running.sliced(df, of, order, parts), of, order, "max", F.struct("window_idx", "label"), "last")
+    marked = last.withColumn("new", F.coalesce((F.col("label") != F.col("last.label")).cast("int"), F.lit(1)))
+    counted = running.before(marked, of, order, "sum", F.col("new"), "runs").withColumn("run", F.coalesce("runs", F.lit(0)) + F.col("new"))
+    runs = counted.groupBy("video_id", "run", "num_frames").agg(
         F.min("window_start").alias("start_frame"), F.min("window_idx").alias("first_window"), F.max("window_idx").alias("last_window"), F.min("label").alias("label"))
     after = F.lead("start_frame").over(Window.partitionBy("video_id").orderBy("run"))
     return runs.withColumn("end_frame", F.coalesce(after, F.col("num_frames"))).drop("num_frames")
@@ -164,13 +168,14 @@ def next_valid(df: DataFrame, ok: Column, most: int = 32) -> DataFrame:
     return good.unionByName(again).withColumn("use_idx", F.first("_good", ignorenulls=True).over(ahead)).where("_own").drop("_good", "_at", "_own")
 
 
-def merge_intervals(df: DataFrame, pad=0, gap=0) -> DataFrame:
-    """(video_id, start_s, end_s) padded (start not below 0) and merged where a start is at most ``gap`` past all earlier ends."""
+def merge_intervals(df: DataFrame, pad=0, gap=0, parts: int | None = None) -> DataFrame:
+    """(video_id, start_s, end_s) padded (start not below 0) and merged where a start is at most ``gap`` past all earlier ends.
+    A video's intervals may lie in any number of tasks; ``parts`` is that of the range partitions."""
     padded = df.select("video_id", F.greatest(F.col("start_s") - pad, F.lit(0)).alias("s"), (F.col("end_s") + pad).alias("e"))
-    w = Window.partitionBy("video_id").orderBy("s", "e")
-    reach = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.coalesce((F.col("s") - reach > gap).cast("int"), F.lit(1))
-    runs = padded.withColumn("new", new).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    of, order = ["video_id"], ["s", "e"]
+    reached = running.before(running.sliced(padded, of, order, parts), of, order, "max", F.col("e"), "reach")
+    marked = reached.withColumn("new", F.coalesce((F.col("s") - F.col("reach") > gap).cast("int"), F.lit(1)))
+    runs = running.before(marked, of, order, "sum", F.col("new"), "runs").withColumn("run", F.coalesce("runs", F.lit(0)) + F.col("new"))
     return runs.groupBy("video_id", "run").agg(F.min("s").alias("start_s"), F.max("e").alias("end_s"))
 
 
