@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from segmentry.functions import sql
 from segmentry.functions import text as t
-from segmentry.operators import dataprep, encoding, segment_table, store
+from segmentry.operators import dataprep, encoding, segment_table, store, transcripts
 from segmentry.operators import streams as op
 from segmentry.plans.registry import query, table
 from segmentry.plans.views import FRAMES, REGIONS_DUCK, REGIONS_SPARK, SEGMENTS, duck, frames, regions, segments, view
@@ -324,6 +324,22 @@ def transcript_postprocess(spark, d):
     return m.select("video_id", "run", F.bround((F.col("start_s") - origin) * 25).cast("long").alias("start_frame"), (F.col("end_s") - F.col("start_s")).cast("long").alias("seconds"))
 
 
+@query("transcript_files", f"""with {REG}, p as (select *, row_number() over (partition by video_id order by start_s, end_s, event_id) as k from regions where event_id % 7 <> 0)
+select video_id, count(*) as cues, max(k) as last_cue, sum(round(start_s - o, 3))::double as starts, sum((start_s - o) * 25)::bigint as first_frames, sum((end_s - o) * 25)::bigint as last_frames, count(*) as in_json from p, (select min(start_s) as o from regions) group by video_id""")
+def transcript_files(spark, d):
+    """Texts of the regions, blank ones among them, written as SubRip and nested JSON and read back."""
+    r = regions(spark, d)
+    origin = r.agg(F.min("start_s")).first()[0] or 0
+    said = F.when(F.col("event_id") % 7 == 0, F.lit(" \t")).otherwise(F.concat(F.lit("  said "), F.col("event_id"), F.lit(" ")))
+    kept = transcripts.kept(r.select("video_id", (F.col("start_s") - origin).cast("double").alias("start_s"), (F.col("end_s") - origin).cast("double").alias("end_s"), said.alias("text")))
+    srt, nested = files.shared_folder(spark, "srt"), files.shared_folder(spark, "transcripts")
+    transcripts.write_srt(kept, srt)
+    transcripts.write_json(kept, r.select("video_id", F.lit(25.0).alias("video_fps")).distinct(), nested)
+    lines = transcripts.read_srt(spark, srt).groupBy("video_id").agg(F.count(F.lit(1)).alias("cues"), F.max("cue").alias("last_cue"), F.sum("start_s").alias("starts"))
+    objects = transcripts.read_json(spark, nested).groupBy("video_id").agg(F.sum("start_frame").alias("first_frames"), F.sum("end_frame").alias("last_frames"), F.count(F.lit(1)).alias("in_json"))
+    return lines.join(objects, "video_id")
+
+
 @query("frame_sampling", f"with {FRM}, {N}, x as (select *, unnest(range(8))::int as k from n) select video_id, k, cast(round_even(k * (num_frames - 1) / 7, 0) as int) as frame_idx from x")
 def frame_sampling(spark, d):
     at = counted(spark, d).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(7))))
