@@ -109,7 +109,8 @@ def train_cells(corpus: DataFrame, cells: int = 16, sample: int = 100_000, seed:
                 np.add.at(total, near, np.hstack([x, np.ones((len(x), 1))]))
                 inertia += ((x - centers[near]) ** 2).sum()
         used = np.flatnonzero(total[:, -1])
-        yield pd.DataFrame({"cell": used, "total": list(total[used]), "inertia": np.where(np.arange(len(used)) == 0, inertia, 0.0)})
+        if len(used):  # else the task has no rows
+            yield pd.DataFrame({"cell": used, "total": list(total[used]), "inertia": np.where(np.arange(len(used)) == 0, inertia, 0.0)})
 
     for _ in range(rounds):
         found = points.mapInPandas(lambda batches, c=centers: sums(batches, c), "cell int, total array<double>, inertia double")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from segmentry.functions import sql
 from segmentry.functions import text as t
-from segmentry.operators import dataprep, encoding, segment_table, store, transcripts
+from segmentry.operators import dataprep, encoding, levels, segment_table, store, transcripts
 from segmentry.operators import streams as op
 from segmentry.plans.registry import query, table
 from segmentry.plans.views import FRAMES, REGIONS_DUCK, REGIONS_SPARK, SEGMENTS, duck, frames, regions, segments, view
@@ -135,6 +135,23 @@ def segment_pipeline(spark, d):
     return status.join(tiles, "video_id", "left")
 
 
+@query("build_levels", f"""with {SEG}, v as (select video_id, label, count(*) as n from segments group by video_id, label), l(level) as (values ('coarse'), ('fine'))
+select video_id, level, n as num_frames, case label when 3 then 'vectors of unequal size' when 7 then 'missing or infinite values' end as error, label not in (3, 7) as has_segments, case when label not in (3, 7) then n end as covered, label not in (3, 7) as found from v, l""")
+def build_levels(spark, d):
+    """From frames to search on two levels in one call: each video's status, the frames that its stored segments cover, and whether
+    its first segment's own vector finds it in the level's index."""
+    built, status = levels.build(_videos(spark, d), files.shared_folder(spark, "levels"), {"coarse": (8, 4), "fine": (4, 2)}, threshold=1.0, measure=False)
+    rows = built.segments(spark)
+    covered = rows.groupBy("video_id", "level").agg(F.sum(F.col("end_frame") - F.col("start_frame")).alias("covered"))
+    found = None
+    for level in built.levels:
+        first = rows.where((F.col("level") == level) & (F.col("start_frame") == 0)).select(F.col("video_id").alias("query_id"), F.col("embedding").alias("vec"))
+        hits = levels.search(built, first, level, 1, levels.index.MOST_CELLS).where("query_id = video_id").select("video_id", F.lit(level).alias("level"), F.lit(True).alias("found"))
+        found = hits if found is None else found.unionByName(hits)
+    told = status.withColumn("has_segments", F.col("segments") > 0).drop("segments")
+    return told.join(covered, ["video_id", "level"], "left").join(found, ["video_id", "level"], "left").fillna({"found": False})
+
+
 @query("window_pool_vectors", f"""with {SEG}, n as (select video_id, count(*)::int as n from segments group by video_id),
 w as (select video_id, n, unnest(case when n <= 8 then [0] else list_distinct(list_concat(range(0, n - 8 + 1, 4), [n - 8])) end)::int as window_start from n),
 m as (select w.video_id, window_start, n, i, unnest(embedding::double[]) as x, generate_subscripts(embedding, 1) - 1 as pos from w join segments s on s.video_id = w.video_id and i >= window_start and i < window_start + 8),
