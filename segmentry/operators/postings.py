@@ -111,9 +111,9 @@ def add(index: Postings, docs: DataFrame, batch: int, block_docs: int = BLOCK_DO
     has no words, and counts as a document."""
     split = stored(docs.select("id", tokens(F.coalesce("text", F.lit(""))).alias("w")), "words")
     rows = invert(split, block_docs).withColumn("bucket", _bucket(F.col("term")))
-    # by ranges, so the blocks of a frequent term are spread over tasks
-    spread = rows.repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block")
-    spread.write.partitionBy("bucket").mode("overwrite").parquet(f"{index.path}/postings/batch={batch}")
+    # a bucket's rows go to one task for each 64 blocks, so the blocks of a frequent term are spread over tasks
+    spread = F.pmod(F.xxhash64("block"), F.lit(split.count() // (64 * block_docs) + 1))
+    rows.repartition("bucket", spread).sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").mode("overwrite").parquet(f"{index.path}/postings/batch={batch}")
     sizes = split.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("w")), F.lit(0)).alias("words"))
     sizes = sizes.withColumn("id_kind", F.lit(docs.schema["id"].dataType.simpleString()))
     sizes.write.mode("overwrite").parquet(f"{index.path}/lengths/batch={batch}")
@@ -137,7 +137,8 @@ def search(index: Postings, queries: DataFrame, k: int = 10, k1: float = K1, b:
     terms = stored(asked.select("term").distinct().withColumn("bucket", _bucket(F.col("term"))), "terms")
     n_terms, n_queries = terms.count(), asked.select("query_id").distinct().count()
     buckets = [r["bucket"] for r in terms.select("bucket").distinct().collect()]  # BUCKETS at most
-    rows = index.rows(spark).where(F.col("bucket").isin(buckets))
+    all_rows = index.rows(spark)
+    rows = all_rows.where(F.col("bucket").isin(buckets))
     place = ["batch", "block"]
     heads = stored(_held_to(rows.select("term", "bucket", *place, "n", "max_tf", "min_words", "top_tf", "top_words"), terms, n_terms, ["term", "bucket"]), "heads")
     df = heads.groupBy("term").agg(F.sum("n").alias("df"))
@@ -178,6 +179,6 @@ def search(index: Postings, queries: DataFrame, k: int = 10, k1: float = K1, b:
         found = pd.DataFrame({"query_id": names[row], "id": ids[best.ravel()], "score": total[row, best.ravel()]})
         return found[found["score"] > 0]
 
-    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {index.rows(spark).schema['ids'].dataType.elementType.simpleString()}, score double"
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {all_rows.schema['ids'].dataType.elementType.simpleString()}, score double"
     key = ["part", *place]
     return top_k(lists.groupBy(*key).cogroup(asks.groupBy(*key)).applyInPandas(score, kinds), k)
