@@ -35,3 +35,17 @@ def before(slices: DataFrame, keys: list[str], order: list[str], how: str, value
     joined = marked.withColumn("_i", inside).join(F.broadcast(carried), same, "left")  # a row a partition at most
     both = F.greatest("_i", "_c") if how == "max" else F.when(F.col("_i").isNotNull() | F.col("_c").isNotNull(), F.coalesce("_i", F.lit(0)) + F.coalesce("_c", F.lit(0)))
     return joined.withColumn(name, both).drop("_v", "_i", "_c", "_s", *[f"_k{i}" for i in range(len(keys))])
+
+
+def blocked(df: DataFrame, keys: list[str], place: str, back: int, ahead: int, block: int = 4096) -> tuple[DataFrame, list[str]]:
+    """(rows, columns to partition windows by) for windows over at most ``back`` rows before and ``ahead`` after a row, where
+    ``place`` counts a key's rows without gaps: a key is cut into blocks of ``block`` places, and a row that rows of another
+    block need stands there once more. The window is taken, then ``own`` keeps each row once."""
+    at = F.col(place)
+    low, high = F.floor((at - ahead) / block), F.floor((at + back) / block)
+    spread = df.withColumn("_block", F.explode(F.sequence(low, high))).withColumn("_own", F.col("_block") == F.floor(at / block))
+    return spread, [*keys, "_block"]
+
+
+def own(df: DataFrame) -> DataFrame:
+    return df.where("_own").drop("_block", "_own")

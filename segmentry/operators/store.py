@@ -4,9 +4,10 @@ Columns: segment_id, video_id, start_frame, end_frame, midpoint_frame, level, as
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from segmentry.operators import running
 from segmentry.operators.dataprep import numbered
 
 
@@ -78,15 +79,15 @@ def spoken_text(store: DataFrame, spoken: DataFrame, tie: str) -> DataFrame:
     )
 
 
-def last_spoken(store: DataFrame, spoken: DataFrame, tie: str) -> DataFrame:
+def last_spoken(store: DataFrame, spoken: DataFrame, tie: str, parts: int | None = None) -> DataFrame:
     """Adds text_start and the text of the latest row of ``spoken`` that starts at or before the midpoint; of equal starts
-    the greatest ``tie``; null if there is none."""
+    the greatest ``tie``; null if there is none. A video may lie in any number of tasks."""
     none = F.lit(None)
     said = F.struct(F.col("sf"), F.col(tie), F.col("text"))
     kind = spoken.select(said.alias("s")).schema["s"].dataType
-    events = store.select("segment_id", "video_id", F.col("midpoint_frame").alias("at"), none.cast(kind).alias("said"))
-    events = events.unionByName(spoken.select(none.cast("long").alias("segment_id"), "video_id", F.col("sf").alias("at"), said.alias("said")))
-    seen = Window.partitionBy("video_id").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    events = store.select("segment_id", "video_id", F.col("midpoint_frame").alias("at"), F.lit(1).alias("kind"), none.cast(kind).alias("said"))
+    events = events.unionByName(spoken.select(none.cast("long").alias("segment_id"), "video_id", F.col("sf").alias("at"), F.lit(0).alias("kind"), said.alias("said")))
+    of, order = ["video_id"], ["at", "kind"]
     # the greatest (start, tie) so far is the latest
-    found = events.withColumn("said", F.max("said").over(seen)).where("segment_id is not null")
-    return found.select("segment_id", F.col("said.sf").alias("text_start"), F.col(f"said.{tie}").alias(tie), F.col("said.text").alias("text"))
+    found = running.before(running.sliced(events, of, order, parts), of, order, "max", F.col("said"), "latest").where("kind = 1")
+    return found.select("segment_id", F.col("latest.sf").alias("text_start"), F.col(f"latest.{tie}").alias(tie), F.col("latest.text").alias("text"))

@@ -63,15 +63,13 @@ def label_runs(spark, d):
 
 @query("label_reappear_check", LAB + " select video_id, label, count(*) as runs from g group by video_id, label having count(*) > 1")
 def label_reappear_check(spark, d):
-    return op.runs_from_labels(labelled(spark, d)).groupBy("video_id", "label").agg(F.count(F.lit(1)).alias("runs")).where("runs > 1")
+    return op.reappearing(op.runs_from_labels(labelled(spark, d)))
 
 
 @query("tiling_audit", LAB + ", e as (select *, coalesce(lead(start_frame) over (partition by video_id order by run), num_frames) as end_frame from g) select video_id, count(*) as segments, cast(sum(end_frame - start_frame) as bigint) as frames, min(start_frame) as first, max(end_frame) as last, true as tiles from e group by video_id")
 def tiling_audit(spark, d):
-    runs = op.runs_from_labels(labelled(spark, d))
-    w = op.Window.partitionBy("video_id").orderBy("start_frame")
-    gap = F.coalesce(F.lead("start_frame").over(w) != F.col("end_frame"), F.lit(False))
-    return runs.withColumn("gap", gap).groupBy("video_id").agg(F.count(F.lit(1)).alias("segments"), F.sum(F.col("end_frame") - F.col("start_frame")).alias("frames"), F.min("start_frame").alias("first"), F.max("end_frame").alias("last"), (~F.bool_or("gap")).alias("tiles"))
+    runs = op.runs_from_labels(labelled(spark, d)).join(counted(spark, d), "video_id")
+    return op.tiling(runs)
 
 
 MERGED = f"""with {REG}, o as (select *, max(end_s) over (partition by video_id order by start_s, end_s rows between unbounded preceding and 1 preceding) as reach from regions),
@@ -103,9 +101,8 @@ def segment_mean_vector(spark, d):
 
 @query("masked_mean_pool", f"with {SEG} select label, cast(pos as int) as pos, round(sum(v * k) / greatest(sum(k), 0.000001), 6) as v from (select label, (i % 3 > 0)::int as k, unnest(embedding::double[]) as v, generate_subscripts(embedding, 1) - 1 as pos from segments) t group by label, pos")
 def masked_mean_pool(spark, d):
-    e = segments(spark, d).select("label", (F.col("i") % 3 > 0).cast("int").alias("k"), F.posexplode("embedding").alias("pos", "x"))
-    v = F.sum(F.col("x").cast("double") * F.col("k")) / F.greatest(F.sum("k"), F.lit(1e-6))
-    return e.groupBy("label", "pos").agg(F.round(v, 6).alias("v"))
+    s = segments(spark, d).select("label", (F.col("i") % 3 > 0).cast("int").alias("mask"), F.col("embedding").alias("vec"))
+    return op.masked_mean(s, ["label"]).select("label", F.posexplode("vec").alias("pos", "v")).withColumn("v", F.round("v", 6))
 
 
 def windows(spark, d):
@@ -359,8 +356,16 @@ def transcript_files(spark, d):
 
 @query("frame_sampling", f"with {FRM}, {N}, x as (select *, unnest(range(8))::int as k from n) select video_id, k, cast(round_even(k * (num_frames - 1) / 7, 0) as int) as frame_idx from x")
 def frame_sampling(spark, d):
-    at = counted(spark, d).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    return at.select("video_id", "k", F.bround(F.col("k") * (F.col("num_frames") - 1) / 7).cast("int").alias("frame_idx"))
+    return op.sample_frames(counted(spark, d), 8).select("video_id", "k", "frame_idx")
+
+
+@query("frame_sampling_readable", f"""with {FRM}, {N}, x as (select *, unnest(range(8))::int as k from n), y as (select video_id, k, cast(round_even(k * (num_frames - 1) / 7, 0) as int) as frame_idx from x),
+z as (select y.*, case when value >= 20 then frame_idx end as own from y join frames f using (video_id, frame_idx))
+select video_id, k, frame_idx, last_value(own ignore nulls) over (partition by video_id order by k) as use_idx from z""")
+def frame_sampling_readable(spark, d):
+    """A frame that cannot be read (here of a value under 20) is that of the sample before it."""
+    sampled = op.sample_frames(counted(spark, d), 8).join(frames(spark, d).select("video_id", "frame_idx", "value"), ["video_id", "frame_idx"])
+    return op.readable_before(sampled, F.col("value") >= 20).select("video_id", "k", "frame_idx", "use_idx")
 
 
 @query("next_valid_sample", f"""with {FRM}, {N}, x as (select f.*, num_frames from frames f join n using (video_id)), ok as (select video_id, frame_idx from frames where value >= 20),
