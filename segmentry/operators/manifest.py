@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segmentry.functions.text import strip
 from segmentry.operators import running
 from segmentry.operators.dataprep import outcome
+from segmentry.sources import files, readers
 
 OUTCOMES = ("ok", "duplicate", "missing", "corrupt")
 
 
-def told(rows: DataFrame, key: str, order: list[str], missing: Column, corrupt: Column) -> DataFrame:
-    """``rows`` with a caption, each with its outcome: after the first row of a key (by ``order``) come duplicates."""
-    later = F.row_number().over(Window.partitionBy(key).orderBy(*order)) > 1
+def told(rows: DataFrame, key: str, order: list[str], missing: Column, corrupt: Column, parts: int | None = None) -> DataFrame:
+    """``rows`` with a caption, each with its outcome: after the first row of a key (by ``order``) come duplicates. A key may lie
+    in any number of tasks."""
     named = rows.where(F.coalesce(F.trim("caption"), F.lit("")) != "")
-    return named.withColumn("_later", later).withColumn("outcome", outcome(F.col("_later"), missing, corrupt)).drop("_later")
+    marked = running.before(running.sliced(named, [key], order, parts), [key], order, "sum", F.lit(1), "_earlier")
+    return marked.withColumn("outcome", outcome(F.col("_earlier").isNotNull(), missing, corrupt)).drop("_earlier", "_slice")
 
 
 def summary(outcomes: DataFrame, *by: str, names=OUTCOMES) -> DataFrame:
@@ -153,3 +157,82 @@ def case_rules() -> dict[str, Column]:
         "bad_difficulty": not_in("difficulty", DIFFICULTIES), "bad_source": not_in("source", CASE_SOURCES),
         "bad_frame": F.coalesce("frame", F.lit(-1)) < 0, "empty": _blank(F.col("query_text")),
     }
+
+
+# The columns of a manifest.
+MANIFEST = "data_path string, caption string, media_type string, num_frames int, duration double, source string"
+
+
+@dataclass(frozen=True)
+class Source:
+    """Where samples come from: JSON lines (id, caption, num_frames, duration) at ``path``, a media file each, named ``id``.``ext``
+    in the folder ``name``. ``kind`` is a format of ``readers.SIGNATURES``, or None for files that must only be there and not be
+    empty; of ``strict`` sources a broken line is an error, of others a reject; with ``captioned`` a row without caption is no sample."""
+
+    name: str
+    path: str
+    media_type: str
+    ext: str
+    kind: str | None = None
+    strict: bool = True
+    captioned: bool = False
+
+
+def scanned(spark: SparkSession, source: Source) -> tuple[DataFrame, DataFrame]:
+    """(samples, rejected lines) of ``source``. Samples have the columns of a manifest, and place, their order in the source."""
+    fields = "id string, caption string, num_frames int, duration double"
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("nth"))
+    rows, rejects = (files.read_jsonl_strict if source.strict else files.read_jsonl_tolerant)(spark, source.path, fields, at)
+    image = source.media_type == "image"
+    told = rows.where(strip(F.coalesce("id", F.lit(""))) != "").withColumn("caption", strip(F.col("caption")))
+    told = told.where("caption <> ''") if source.captioned else told
+    return told.select(
+        F.concat(F.lit(f"{source.name}/"), "id", F.lit(f".{source.ext}")).alias("data_path"), "caption", F.lit(source.media_type).alias("media_type"),
+        (F.lit(1) if image else F.col("num_frames")).alias("num_frames"), (F.lit(None).cast("double") if image else F.col("duration")).alias("duration"),
+        F.lit(source.name).alias("source"), "place"), rejects
+
+
+def build(spark: SparkSession, sources: list[Source], root: str, mode: str = "fast", wanted: list[str] | None = None, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(outcomes, rejects) of ``sources``, of which only those named in ``wanted`` if given: every sample with its outcome, the
+    first that holds of duplicate (a path that an earlier row of its source has), missing (no such file under ``root``), corrupt
+    (``mode``, as of ``readers.check_files``) and ok, and the error of its file. Files are opened once a path, by the tasks that
+    hold the rows; a path that many rows share may lie in any number of tasks. Outcomes are stored, so later steps see one check.
+    Rejects are (source, value), the lines that do not parse."""
+    names = [s.name for s in sources]
+    if unknown := set(wanted or []) - set(names):
+        raise ValueError(f"unknown sources: {sorted(unknown)}")
+    if len(set(names)) < len(names):
+        raise ValueError(f"sources named twice: {names}")
+    told, rejects = [], []
+    for source in (s for s in sources if wanted is None or s.name in wanted):
+        rows, bad = scanned(spark, source)
+        slices = running.sliced(rows, ["data_path"], ["place"], parts)
+        marked = running.before(slices, ["data_path"], ["place"], "sum", F.lit(1), "_earlier").drop("_slice", "place")
+        fresh, again = marked.where("_earlier is null").drop("_earlier"), marked.where("_earlier is not null").drop("_earlier")
+        checked = readers.check_files(fresh.withColumn("path", F.concat(F.lit(root.rstrip("/") + "/"), "data_path")), source.kind or "any", mode if source.kind else "none")
+        bad_file = ~F.col("valid") | (F.col("size") == 0) if source.kind is None else ~F.col("valid")
+        name = outcome(F.lit(False), F.coalesce(F.col("error") == "missing", F.lit(False)), bad_file)
+        told.append(checked.withColumn("outcome", name).drop("path", "size", "bytes_read", "valid"))
+        told.append(again.withColumn("error", F.lit(None).cast("string")).withColumn("outcome", F.lit("duplicate")))
+        rejects.append(bad.select(F.lit(source.name).alias("source"), "value"))
+    if not told:
+        none = spark.createDataFrame([], f"{MANIFEST}, error string, outcome string")
+        return none, spark.createDataFrame([], "source string, value string")
+    return files.stored(reduce(DataFrame.unionByName, told), "outcomes"), reduce(DataFrame.unionByName, rejects)
+
+
+def previous(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest at ``path``; one that is not there, or has a line that cannot be read, counts as empty."""
+    try:
+        rows, rejects = files.read_jsonl_tolerant(spark, path, MANIFEST)
+        return rows.limit(0) if rejects.take(1) else rows
+    except AnalysisException:
+        return spark.createDataFrame([], MANIFEST)
+
+
+def merge_into(outcomes: DataFrame, before: DataFrame, path: str) -> DataFrame:
+    """Writes the samples of ``outcomes`` that are ok as JSON lines to the new folder ``path``, together with those of ``before``
+    whose path they do not have, and reads them back."""
+    good = outcomes.where("outcome = 'ok'").select(*[f.split()[0] for f in MANIFEST.split(", ")])
+    upsert(before, good, "data_path").write.json(path)
+    return outcomes.sparkSession.read.schema(MANIFEST).json(path)

@@ -106,6 +106,33 @@ def manifest_build(spark, d):
     return _told(spark, d).where("outcome = 'ok'").select("path", "source", "media_type", "num_frames")
 
 
+JOB = """with docs as (select doc_id, case when doc_id % 3 = 0 then 'stills' else 'clips' end as source, doc_id // 10 * 10 + doc_id % 3 as k from documents where doc_id is not null),
+given as (select *, row_number() over (partition by source, k order by doc_id) as place from docs where doc_id % 11 > 0 and (source = 'clips' or doc_id % 7 > 0)),
+told as (select *, case when place > 1 then 'duplicate' when k % 4 = 1 then 'missing' when k % 4 = 2 then 'corrupt' else 'ok' end as outcome from given)"""
+
+
+@query("manifest_job", JOB + """ select source, outcome, count(*) as n, count(*) filter (outcome = 'ok') as in_manifest, coalesce(sum(doc_id) filter (outcome = 'ok' and source = 'clips'), 0)::bigint as durations from told group by source, outcome
+union all select source, 'rejected', count(*), 0, 0 from docs where doc_id % 11 = 0 and source = 'clips' group by source""")
+def manifest_job(spark, d):
+    """Metadata lines of two sources and their media files, written and then joined into a manifest: broken lines, rows without a
+    caption, repeated ids, files that are missing, empty or no pictures. Every ten documents share three files."""
+    docs = table(spark, d, "documents").where("doc_id is not null").select("doc_id", F.when(F.col("doc_id") % 3 == 0, "stills").otherwise("clips").alias("source"), (F.floor(F.col("doc_id") / 10) * 10 + F.col("doc_id") % 3).alias("k"))
+    media, listed, target = (files.shared_folder(spark, name) for name in ("media", "listed", "manifest"))
+    good, broken = F.unhex(F.lit("FFD8FFE0FFD9")), F.unhex(F.lit("00"))
+    content = F.when(F.col("source") == "stills", F.when(F.col("k") % 4 == 2, broken).otherwise(good)).otherwise(F.when(F.col("k") % 4 == 2, F.unhex(F.lit(""))).otherwise(broken))
+    path = F.concat("source", F.lit("/"), "k", F.when(F.col("source") == "stills", ".jpg").otherwise(".mp4"))
+    files.write_files(docs.where("k % 4 <> 1").select(path.alias("path"), content.alias("content")).dropDuplicates(["path"]), media)
+    line = F.to_json(F.struct(F.col("k").cast("string").alias("id"), F.when(F.col("doc_id") % 7 == 0, " ").otherwise("said").alias("caption"), F.lit(8).alias("num_frames"), F.col("doc_id").cast("double").alias("duration")))
+    rows = docs.withColumn("value", F.when(F.col("doc_id") % 11 > 0, line).when(F.col("source") == "clips", '{"id": "1", "cap'))
+    rows.where("value is not null").repartitionByRange("doc_id").sortWithinPartitions("doc_id").select("source", "value").write.partitionBy("source").text(listed)
+    sources = [manifest.Source("stills", f"{listed}/source=stills", "image", "jpg", "jpeg", captioned=True), manifest.Source("clips", f"{listed}/source=clips", "video", "mp4", strict=False)]
+    outcomes, rejects = manifest.build(spark, sources, media)
+    kept = manifest.merge_into(outcomes, manifest.previous(spark, target), target)
+    counts = outcomes.groupBy("source", "outcome").agg(F.count(F.lit(1)).alias("n")).unionByName(rejects.groupBy("source").agg(F.count(F.lit(1)).alias("n")).withColumn("outcome", F.lit("rejected")))
+    read = kept.groupBy("source").agg(F.count(F.lit(1)).alias("in_manifest"), F.coalesce(F.sum("duration"), F.lit(0)).cast("long").alias("durations")).withColumn("outcome", F.lit("ok"))
+    return counts.join(read, ["source", "outcome"], "left").fillna({"in_manifest": 0, "durations": 0})
+
+
 @query("source_completion", TOLD + " select source, count(*) as planned, count(case when doc_id % 50 < 49 then 1 end) as done from samples group by source having count(case when doc_id % 50 < 49 then 1 end) >= count(*)")
 def source_completion(spark, d):
     s = samples(spark, d)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -57,13 +57,45 @@ def read_segments(spark: SparkSession, path: str, dim: int = 1536) -> tuple[Data
     return validate_segments(spark.read.schema(SEGMENT).json(path), dim)
 
 
-def read_jsonl_tolerant(spark: SparkSession, path: str, schema: str | StructType) -> tuple[DataFrame, DataFrame]:
-    """(rows, rejects as text); blank lines are skipped."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
+def _parsed(spark: SparkSession, path: str, schema: str | StructType, place: Column | None) -> tuple[DataFrame, Column]:
+    """(lines with value, their fields in r, and place if one is named; whether a line is broken)."""
+    lines = spark.read.text(path).select("value", *([] if place is None else [place.alias("place")])).where(F.trim("value") != "")
     fields = schema if isinstance(schema, str) else schema.simpleString()[7:-1]
-    parsed = lines.select("value", F.from_json("value", f"{fields}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
-    bad = F.col("r").isNull() | F.col("r._bad").isNotNull()
-    return parsed.where(~bad).select("r.*").drop("_bad"), parsed.where(bad).select("value")
+    parsed = lines.withColumn("r", F.from_json("value", f"{fields}, _bad string", {"columnNameOfCorruptRecord": "_bad"}))
+    return parsed, F.col("r").isNull() | F.col("r._bad").isNotNull()
+
+
+def read_jsonl_tolerant(spark: SparkSession, path: str, schema: str | StructType, place: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects as text); blank lines are skipped. ``place``, over the lines as they are read, comes as a column of rows."""
+    parsed, bad = _parsed(spark, path, schema, place)
+    return parsed.where(~bad).select("r.*", *([] if place is None else ["place"])).drop("_bad"), parsed.where(bad).select("value")
+
+
+def read_jsonl_strict(spark: SparkSession, path: str, schema: str | StructType, place: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """As ``read_jsonl_tolerant``, but a broken line ends the job with an error that shows it; there are no rejects."""
+    parsed, bad = _parsed(spark, path, schema, place)
+    line = F.raise_error(F.concat(F.lit("broken line: "), F.left("value", F.lit(200)))).cast(parsed.schema["r"].dataType)
+    checked = parsed.withColumn("r", F.when(bad & (F.trim("value") != ""), line).otherwise(F.col("r")))  # filters may be merged
+    return checked.select("r.*", *([] if place is None else ["place"])).drop("_bad"), parsed.where("false").select("value")
+
+
+def write_files(df: DataFrame, root: str) -> int:
+    """A file under ``root`` for each row of ``df`` (path, content binary), written by the task that holds the row, so that one
+    that runs again writes the same; their number. For paths that pyarrow can open."""
+
+    def write(batches):
+        from pyarrow import fs
+
+        for rows in batches:
+            for path, content in zip(rows["path"], rows["content"]):
+                full = f"{root.rstrip('/')}/{path}"
+                store, name = fs.FileSystem.from_uri(full) if "://" in full or full.startswith("file:") else (fs.LocalFileSystem(), full)
+                store.create_dir(name.rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(name) as out:
+                    out.write(content)
+            yield rows[["path"]]
+
+    return df.select("path", "content").mapInPandas(write, "path string").count()
 
 
 def repair_jsonl(spark: SparkSession, source: str, target: str, key: str = "id") -> tuple[int, int]:

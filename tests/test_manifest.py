@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,3 +66,57 @@ def test_caption_tsv_has_fields_as_they_are(spark, tmp_path):
     lines = [line for f in (tmp_path / "t").glob("*.csv") for line in f.read_text().splitlines()]
     assert lines == ['say "hi" x\tu1', "a b c\tu2", "back\\slash\tu5"]
     assert [tuple(r) for r in files.read_caption_tsv(spark, str(tmp_path / "t")).collect()] == [('say "hi" x', "u1"), ("a b c", "u2"), ("back\\slash", "u5")]
+
+
+def _lines(path, *rows):
+    path.mkdir()
+    (path / "part-0.jsonl").write_text("\n".join(r if isinstance(r, str) else json.dumps(r) for r in rows))
+    return str(path)
+
+
+def test_the_job_from_lines_and_files(spark, tmp_path):
+    media = tmp_path / "media"
+    (media / "pics").mkdir(parents=True)
+    (media / "films").mkdir()
+    for name, content in (("pics/a.jpg", b"\xff\xd8..\xff\xd9"), ("pics/b.jpg", b"\xff\xd8.."), ("films/x.mp4", b"...."), ("films/y.mp4", b"")):
+        (media / name).write_bytes(content)
+    pics = _lines(tmp_path / "pics", {"id": "a", "caption": " one "}, "", {"id": "b", "caption": "b"}, {"id": "a", "caption": "two"}, {"id": "c", "caption": "c"}, {"id": "d", "caption": " "}, {"id": None, "caption": "e"})
+    films = _lines(tmp_path / "films", {"id": "x", "caption": None, "num_frames": 5, "duration": 0.5}, '{"id": "x', {"id": "y", "caption": "y", "num_frames": 1}, {"id": "z"}, {"id": "x", "num_frames": 9})
+    sources = [manifest.Source("pics", pics, "image", "jpg", "jpeg", captioned=True), manifest.Source("films", films, "video", "mp4", strict=False)]
+    told, rejects = manifest.build(spark, sources, str(media))
+    assert sorted((r["data_path"], r["outcome"], r["error"]) for r in told.collect() if r["outcome"] != "duplicate") == [
+        ("films/x.mp4", "ok", None), ("films/y.mp4", "corrupt", None), ("films/z.mp4", "missing", "missing"),
+        ("pics/a.jpg", "ok", None), ("pics/b.jpg", "corrupt", "signature"), ("pics/c.jpg", "missing", "missing")]
+    assert sorted(r["data_path"] for r in told.where("outcome = 'duplicate'").collect()) == ["films/x.mp4", "pics/a.jpg"]
+    assert [tuple(r) for r in rejects.collect()] == [("films", '{"id": "x')]
+    counted = {r["source"]: tuple(r)[1:] for r in manifest.summary(told, "source").collect()}
+    assert counted == {"pics": (4, 1, 1, 1, 1), "films": (4, 1, 1, 1, 1)}
+    none_checked, _ = manifest.build(spark, sources, str(media), mode="none", wanted=["pics"], parts=3)
+    assert sorted((r["data_path"], r["outcome"]) for r in none_checked.collect()) == [("pics/a.jpg", "duplicate"), ("pics/a.jpg", "ok"), ("pics/b.jpg", "ok"), ("pics/c.jpg", "missing")]
+    target = str(tmp_path / "manifest")
+    first = manifest.merge_into(told, manifest.previous(spark, str(tmp_path / "nowhere")), target)
+    assert sorted(tuple(r) for r in first.collect()) == [("films/x.mp4", None, "video", 5, 0.5, "films"), ("pics/a.jpg", "one", "image", 1, None, "pics")]
+    later = manifest.merge_into(none_checked, manifest.previous(spark, target), str(tmp_path / "next"))
+    assert sorted(r["data_path"] for r in later.collect()) == ["films/x.mp4", "pics/a.jpg", "pics/b.jpg"]
+    (tmp_path / "manifest" / "broken.json").write_text('{"data_path": "q')
+    assert manifest.previous(spark, target).count() == 0
+
+
+def test_the_job_refuses(spark, tmp_path):
+    broken = _lines(tmp_path / "s", {"id": "a", "caption": "a"}, '{"id": "b')
+    source = manifest.Source("s", broken, "image", "jpg", "jpeg")
+    with pytest.raises(Exception, match="broken line"):
+        manifest.build(spark, [source], str(tmp_path))
+    with pytest.raises(ValueError, match="unknown sources"):
+        manifest.build(spark, [source], str(tmp_path), wanted=["t"])
+    with pytest.raises(ValueError, match="named twice"):
+        manifest.build(spark, [source, source], str(tmp_path))
+    none, rejects = manifest.build(spark, [source], str(tmp_path), wanted=[])
+    assert none.count() == rejects.count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_first_of_a_path_over_slices(spark, parts):
+    rows = spark.createDataFrame([(f"p{i % 2}" if i % 5 else None, i // 3, "c") for i in range(40)], "path string, at int, caption string")
+    told = manifest.told(rows, "path", ["at"], F.lit(False), F.lit(False), parts).where("outcome = 'ok'").fillna({"path": "-"})
+    assert sorted((r["path"], r["at"]) for r in told.collect()) == [("-", 0), ("p0", 0), ("p1", 0)]
