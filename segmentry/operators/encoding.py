@@ -11,9 +11,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from segmentry.functions.text import tokens
 from segmentry.operators.streams import starts
 
 BATCH = 32
@@ -79,3 +80,12 @@ def encoded_windows(frames: DataFrame, make_encoder: Callable, window: int = 64,
 def text_inputs(text: Column, longest: int) -> Column:
     """Whitespace-separated tokens, at most ``longest`` of them."""
     return F.slice(F.filter(F.split(text, r"\s+"), lambda t: t != ""), 1, longest)
+
+
+def hashed(texts: DataFrame, places: int = 64) -> DataFrame:
+    """(id, pos, v), where v is not 0: the encoder that is at hand without a model. Words are counted in ``places`` by their hash, and
+    counts scaled to unit length. A text without words gives no row."""
+    words = texts.select("id", F.explode(tokens(F.col("text"))).alias("term"))
+    n = words.groupBy("id", F.pmod(F.xxhash64("term"), F.lit(places)).alias("pos")).agg(F.count(F.lit(1)).alias("n"))
+    length = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("id")))  # at most ``places`` rows
+    return n.withColumn("v", F.round(F.col("n") / length, 6)).drop("n")

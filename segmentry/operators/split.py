@@ -81,3 +81,14 @@ def read_split(spark: SparkSession, path: str, split: str, schema: str) -> DataF
 def leaks(train: DataFrame, val: DataFrame, unit: Column) -> DataFrame:
     """Units that stand on both sides."""
     return train.select(unit.alias("unit")).intersect(val.select(unit.alias("unit")))
+
+
+def sampled(rows: DataFrame, key: Column, n: int, seed: int = SEED, **histogram) -> DataFrame:
+    """The rows of ``n`` different values of ``key``, or of all if there are no more: those first in the order of a keyed hash, so
+    equal on every run and whatever the partitions. Rows of one value are taken together; null is a value."""
+    keyed = rows.withColumn("_h", _keyed(seed, "sample", F.coalesce(key.cast("string"), F.lit("\0"))))
+    hashes = keyed.select(F.col("_h").alias("h")).distinct()
+    if hashes.limit(n + 1).count() > n:
+        last = nth_smallest(hashes, n, **histogram)
+        keyed = keyed.where(F.lit(False) if last is None else F.col("_h") <= last)
+    return keyed.drop("_h")

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from segmentry.functions.text import tokens
 from segmentry.functions.vectors import cosine, l2_normalize, sq_l2
 from segmentry.operators import index as stored_index
-from segmentry.operators import chains, contrastive, postings, scoring, search
+from segmentry.operators import answers, chains, contrastive, encoding, postings, scoring, search, split
 from segmentry.plans.registry import query, table
 from segmentry.plans.views import SEGMENTS, duck, segments, view
 from segmentry.sources.files import shared_folder
@@ -99,6 +98,26 @@ def kis_envelope(spark, d):
     return top.groupBy("query_id").agg(F.max("total").alias("total_results"), (F.max("total") > 5).alias("has_next"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda s: s["id"]), ",").alias("results"))
 
 
+@query("kis_results", IP + """, over as (select *, count(*) over (partition by query_id) as total from ranked where score > 0.2), asked as (select query_id from q union all select -1)
+select a.query_id, coalesce(max(total), 0) as total_results, coalesce(max(total) > 5, false) as has_next, cast(o.rank as int) as place, o.id, video_id, start_frame, end_frame, round(midpoint_frame / fps, 2) as seconds, o.score
+from asked a left join over o on o.query_id = a.query_id and o.rank <= 5 left join segments on segment_id = o.id group by all""")
+def kis_results(spark, d):
+    """Nested results of every query, and of one that finds nothing, written as JSON and read back; a row a result."""
+    hits = search.knn_exact(corpus(spark, d), asked(spark, d), 5, normalize=False).where("score > 0.2")
+    totals = search.counts_over(corpus(spark, d), asked(spark, d), 0.2, normalize=False).withColumnRenamed("n", "total")
+    full = hits.join(segments(spark, d).drop("embedding").withColumnRenamed("segment_id", "id"), "id")
+    full = full.select("query_id", "rank", "id", "video_id", "start_frame", "end_frame", F.round(F.col("midpoint_frame") / F.col("fps").cast("double"), 2).alias("seconds"), "score")
+    nested, path = answers.envelopes(full, totals, 5, asked(spark, d).select("query_id").unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("query_id")))), shared_folder(spark, "results")
+    answers.write_envelopes(nested, path)
+    read = answers.read_envelopes(spark, path, nested.schema)
+    return read.select("query_id", "total_results", "has_next", F.posexplode_outer("results").alias("place", "r")).select("query_id", "total_results", "has_next", (F.col("place") + 1).alias("place"), "r.*")
+
+
+@query("seeded_sample", "select vec_id as id from (select vec_id, row_number() over (order by md5('42:sample:' || vec_id)) as place from embeddings) t where place <= 100")
+def seeded_sample(spark, d):
+    return split.sampled(corpus(spark, d).select("id"), F.col("id"), 100)
+
+
 @query("pairwise_similarity", "select a.vec_id as a, b.vec_id as b, round(list_dot_product(a.embedding::double[], b.embedding::double[]), 6) as score from embeddings a, embeddings b where a.vec_id % 20 = 0")
 def pairwise_similarity(spark, d):
     """The queries against all rows, in blocks."""
@@ -230,11 +249,11 @@ f as (select s.segment_id as fine_id, s.video_id, s.start_frame + 5 as fs, s.end
 j as (select h.query_id, h.id, f.fine_id, scored.score from h join f on f.video_id = h.video_id and f.fs < h.end_frame and f.fe > h.start_frame join scored on scored.query_id = h.query_id and scored.id = f.fine_id)
 select query_id, id, max(score) as fine_score, count(*) as n_fine from j group by query_id, id""")
 def kis_coarse_fine(spark, d):
+    """Fine segments are the coarse ones, five frames later."""
     q = asked(spark, d)
-    hits = resolve(search.knn_exact(corpus(spark, d), q, 5, normalize=False), spark, d).select("query_id", "id", "video_id", "start_frame", "end_frame")
-    fine = segments(spark, d).select(F.col("segment_id").alias("fine_id"), "video_id", (F.col("start_frame") + 5).alias("fs"), (F.col("end_frame") + 5).alias("fe"), F.col("embedding").alias("vec"))
-    near = hits.join(fine, "video_id").where("fs < end_frame and fe > start_frame").join(q.withColumnRenamed("vec", "q"), "query_id")
-    return near.groupBy("query_id", "id").agg(F.max(F.round(search.inner_product("q", "vec"), 6)).alias("fine_score"), F.count(F.lit(1)).alias("n_fine"))
+    hits = resolve(search.knn_exact(corpus(spark, d), q, 5, normalize=False), spark, d)
+    fine = segments(spark, d).select(F.col("segment_id").alias("fine_id"), "video_id", (F.col("start_frame") + 5).alias("start_frame"), (F.col("end_frame") + 5).alias("end_frame"), F.col("embedding").alias("vec"))
+    return answers.refined(hits, fine, q).drop("fine_id")
 
 
 TRAKE = f"""with {SEG},
@@ -322,21 +341,13 @@ s as (select h.query_id, h.id, generate_subscripts(string_split(text, '.'), 1) -
 o as (select s.query_id, s.id, pos, trim(sentence) as sentence, (select count(*) from a where a.query_id = s.query_id and list_contains(regexp_extract_all(lower(nfc_normalize(coalesce(s.sentence, ''))), '[\p{L}\p{M}\p{N}]+'), a.term)) as score from s)
 select query_id, id, cast(pos as int) as pos, score, 'asr' as answer_source, md5(sentence) as answer from (select *, row_number() over (partition by query_id order by score desc, pos) as r from o) t where r = 1""")
 def qa_extract(spark, d):
-    docs, q = documents(spark, d), questions(spark, d)
-    hits = text_hits(spark, d, 1).select("query_id", "id")
-    terms = q.select("query_id", F.array_distinct(tokens(F.col("text"))).alias("terms"))
-    s = hits.join(docs, "id").select("query_id", "id", F.posexplode(F.split("text", r"\.")).alias("pos", "sentence")).join(terms, "query_id")
-    s = s.withColumn("score", F.size(F.array_intersect("terms", tokens(F.col("sentence")))).cast("long"))
-    best = s.groupBy("query_id", "id").agg(F.max(F.struct("score", (-F.col("pos")).alias("neg"), F.trim("sentence").alias("t"))).alias("b"))
-    return best.select("query_id", "id", (-F.col("b.neg")).alias("pos"), "b.score", F.lit("asr").alias("answer_source"), F.md5("b.t").alias("answer"))
+    found = answers.extracted(text_hits(spark, d, 1), documents(spark, d), questions(spark, d))
+    return found.withColumn("answer", F.md5("answer"))
 
 
 @query("text_embed_hash")
 def text_embed_hash(spark, d):
-    """Bundled default encoder: counts of hashed tokens in 64 places, unit length."""
-    w = documents(spark, d).select("id", F.explode(tokens(F.col("text"))).alias("term"))
-    n = w.groupBy("id", F.pmod(F.xxhash64("term"), F.lit(64)).alias("pos")).agg(F.count(F.lit(1)).alias("n"))
-    return n.withColumn("v", F.round(F.col("n") / F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("id"))), 6)).drop("n")
+    return encoding.hashed(documents(spark, d))
 
 
 # Answers: every segment is asked for; its answers are the segments of the same place in other videos and its own.
