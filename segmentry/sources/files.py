@@ -79,7 +79,13 @@ def read_jsonl_strict(spark: SparkSession, path: str, schema: str | StructType,
     return checked.select("r.*", *([] if place is None else ["place"])).drop("_bad"), parsed.where("false").select("value")
 
 
-def write_files(df: DataFrame, root: str) -> int:
+def dealt(df: DataFrame, tasks: int | None = None) -> DataFrame:
+    """``df`` (path, ...) over ``tasks`` partitions, by default the session's shuffle partitions; a given number is kept, where
+    partitions of few bytes would be joined into one."""
+    return df.repartition(tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
+
+
+def write_files(df: DataFrame, root: str, tasks: int | None = None) -> int:
     """A file under ``root`` for each row of ``df`` (path, content binary), written by the task that holds the row, so that one
     that runs again writes the same; their number. For paths that pyarrow can open."""
 
@@ -95,7 +101,7 @@ def write_files(df: DataFrame, root: str) -> int:
                     out.write(content)
             yield rows[["path"]]
 
-    return df.select("path", "content").mapInPandas(write, "path string").count()
+    return dealt(df.select("path", "content"), tasks).mapInPandas(write, "path string").count()
 
 
 def repair_jsonl(spark: SparkSession, source: str, target: str, key: str = "id") -> tuple[int, int]:

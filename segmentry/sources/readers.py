@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from segmentry.sources.files import dealt
+
 #: The first and last bytes of formats.
 SIGNATURES = {"jpeg": (b"\xff\xd8", b"\xff\xd9"), "png": (b"\x89PNG\r\n\x1a\n", b"IEND\xaeB`\x82"), "parquet": (b"PAR1", b"PAR1"), "gif": (b"GIF8", b"\x3b")}
 MODES = ("none", "fast", "strict")
@@ -72,8 +74,9 @@ class SignatureSource(DataSource):
         return Reader()
 
 
-def check_files(files: DataFrame, kind: str = "jpeg", mode: str = "fast") -> DataFrame:
-    """Adds size, bytes_read, valid and error to ``files`` (path), for tables of any size: each task checks its own rows."""
+def check_files(files: DataFrame, kind: str = "jpeg", mode: str = "fast", tasks: int | None = None) -> DataFrame:
+    """Adds size, bytes_read, valid and error to ``files`` (path), for tables of any size: each task checks its own rows. Rows are
+    dealt to ``tasks``, as many as there are shuffle partitions by default: a file costs time, however few bytes its row has."""
     if mode not in MODES or (kind not in SIGNATURES and mode != "none"):
         raise ValueError(f"unknown kind or mode: {kind}, {mode}")
 
@@ -83,7 +86,7 @@ def check_files(files: DataFrame, kind: str = "jpeg", mode: str = "fast") -> Dat
             yield rows.assign(**{c: [f[i] for f in found] for i, c in enumerate(("size", "bytes_read", "valid", "error"))})
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields)
-    return files.mapInPandas(run, f"{fields}, size long, bytes_read long, valid boolean, error string")
+    return dealt(files, tasks).mapInPandas(run, f"{fields}, size long, bytes_read long, valid boolean, error string")
 
 
 def paged_source(fetch: Callable[[int], list[tuple]], fields: str, name: str = "pages", first: int = 0) -> type[DataSource]:
