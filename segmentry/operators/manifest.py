@@ -17,10 +17,11 @@ from segmentry.sources import files, readers
 OUTCOMES = ("ok", "duplicate", "missing", "corrupt")
 
 
-def told(rows: DataFrame, key: str, order: list[str], missing: Column, corrupt: Column, parts: int | None = None) -> DataFrame:
+def told(rows: DataFrame, key: str, order: list[str], missing: Column, corrupt: Column, parts: int | None = None, keep: list[str] | None = None) -> DataFrame:
     """``rows`` with a caption, each with its outcome: after the first row of a key (by ``order``) come duplicates. A key may lie
-    in any number of tasks."""
+    in any number of tasks; its slices are written, so ``keep`` names the columns to carry, by default all."""
     named = rows.where(F.coalesce(F.trim("caption"), F.lit("")) != "")
+    named = named.select(*keep) if keep else named
     marked = running.before(running.sliced(named, [key], order, parts), [key], order, "sum", F.lit(1), "_earlier")
     return marked.withColumn("outcome", outcome(F.col("_earlier").isNotNull(), missing, corrupt)).drop("_earlier", "_slice")
 

@@ -88,7 +88,7 @@ def _rows(spark, d):
 
 
 def _told(spark, d):
-    return manifest.told(_rows(spark, d), "path", ["ord", "doc_id"], F.col("doc_id") % 8 == 0, F.col("num_frames") < 200)
+    return manifest.told(_rows(spark, d), "path", ["ord", "doc_id"], F.col("doc_id") % 8 == 0, F.col("num_frames") < 200, keep=["path", "ord", "doc_id", "num_frames", "source", "media_type"])
 
 
 @query("manifest_summary", TOLD + " select source, media_type, count(*) as total, count(case when outcome = 'ok' then 1 end) as ok, count(case when outcome = 'duplicate' then 1 end) as duplicate, count(case when outcome = 'missing' then 1 end) as missing, count(case when outcome = 'corrupt' then 1 end) as corrupt from told group by source, media_type")
