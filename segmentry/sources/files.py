@@ -81,8 +81,8 @@ def read_jsonl_strict(spark: SparkSession, path: str, schema: str | StructType,
 
 def dealt(df: DataFrame, tasks: int | None = None) -> DataFrame:
     """``df`` (path, ...) over ``tasks`` partitions, by default the session's shuffle partitions; a given number is kept, where
-    partitions of few bytes would be joined into one."""
-    return df.repartition(tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
+    partitions of few bytes would be joined into one. By a hash, as a table that lies by path already would not be dealt again."""
+    return df.repartition(tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("path"))
 
 
 def write_files(df: DataFrame, root: str, tasks: int | None = None) -> int:
