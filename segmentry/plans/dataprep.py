@@ -124,7 +124,8 @@ def manifest_job(spark, d):
     files.write_files(docs.where("k % 4 <> 1").select(path.alias("path"), content.alias("content")).dropDuplicates(["path"]), media)
     line = F.to_json(F.struct(F.col("k").cast("string").alias("id"), F.when(F.col("doc_id") % 7 == 0, " ").otherwise("said").alias("caption"), F.lit(8).alias("num_frames"), F.col("doc_id").cast("double").alias("duration")))
     rows = docs.withColumn("value", F.when(F.col("doc_id") % 11 > 0, line).when(F.col("source") == "clips", '{"id": "1", "cap'))
-    rows.where("value is not null").repartitionByRange("doc_id").sortWithinPartitions("doc_id").select("source", "value").write.partitionBy("source").text(listed)
+    # a write by source sorts by it; an order that does not begin with source would be dropped for that
+    rows.where("value is not null").repartitionByRange("doc_id").sortWithinPartitions("source", "doc_id").select("source", "value").write.partitionBy("source").text(listed)
     sources = [manifest.Source("stills", f"{listed}/source=stills", "image", "jpg", "jpeg", captioned=True), manifest.Source("clips", f"{listed}/source=clips", "video", "mp4", strict=False)]
     outcomes, rejects = manifest.build(spark, sources, media)
     kept = manifest.merge_into(outcomes, manifest.previous(spark, target), target)
