@@ -11,6 +11,8 @@ returned; a video with too few segments for a chain comes last, with null frames
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -85,7 +87,7 @@ def align(segments: DataFrame, events: DataFrame, k: int | None = 3, found_thres
     lying = lying.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     fields = ["video_id", "part", "slice", "query_id", "n", "a", "b", "total", "frames", "scores"]
 
-    def of_slice(row: pd.Series) -> pd.DataFrame:
+    def of_slice(row: pd.Series) -> Iterator[pd.DataFrame]:
         frames, ids = np.asarray(row["frames"]), np.asarray(row["query_ids"])
         score = np.round(tiles.matrix(row["event_vecs"], len(ids)) @ tiles.matrix(row["vecs"], len(frames)).T * UNIT).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
@@ -97,7 +99,7 @@ def align(segments: DataFrame, events: DataFrame, k: int | None = 3, found_thres
                 for q in np.flatnonzero(totals > _NONE // 2):
                     at = places[q]
                     out.append((row["video_id"], row["part"], row["slice"], ids[own[q]], int(size), a, b, totals[q], frames[at], of_events[q, np.arange(a, b + 1), at]))
-        return pd.DataFrame(out, columns=fields)
+        yield pd.DataFrame(out, columns=fields)
 
     def of_video(own: pd.DataFrame) -> pd.DataFrame:
         out = []

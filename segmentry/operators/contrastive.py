@@ -66,7 +66,7 @@ def infonce(pairs: DataFrame, scale: float, batch: str | None = None, rows: int
         for side, ids, m in ((0, a, z), (1, b, z.T)):
             top = m.max(axis=1)
             out.append(pd.DataFrame({"batch": row["batch"], "side": side, "id": ids, "top": top, "mass": np.exp(m - top[:, None]).sum(axis=1), "own": own[side, : len(ids)]}))
-        return pd.concat(out)
+        yield pd.concat(out)
 
     found = tiles.each_pair(_grid(left, right, parts), both_ways, f"batch {of}, side int, id {kind}, top double, mass double, own double")
     each = found.groupBy("batch", "side", "id").agg(F.collect_list(F.struct("top", "mass")).alias("parts"), F.max(F.nanvl("own", F.lit(None))).alias("own"))  # a part a tile
@@ -88,7 +88,7 @@ def uniformity(pairs: DataFrame, sides=("x", "y"), batch: str | None = None, row
         dot = a @ b.T
         e = np.exp(-2 * (2 - 2 * (dot if digits is None else np.round(dot, digits))))
         e = e[np.triu_indices(len(a), 1)] if row["a_tile"] == row["b_tile"] else e
-        return pd.DataFrame({"n": [e.size], "e": [e.sum()]})
+        yield pd.DataFrame({"n": [e.size], "e": [e.sum()]})
 
     def one(side: DataFrame, name: str) -> DataFrame:
         found = tiles.each_pair(_grid(side, side, parts).where("a_tile <= b_tile"), total, "n long, e double")

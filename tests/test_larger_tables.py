@@ -1,11 +1,13 @@
 """Faults that only larger tables showed, made small."""
 
 import duckdb
+import pandas as pd
 from pyspark.sql import functions as F
 
-from segmentry.operators import scoring
+from segmentry.operators import index, scoring, search, tiles
 from segmentry.plans import registry
 from tests.test_queries import plain
+from tests.test_search_tiles import vectors
 
 
 def same_as_sql(spark, folder, name, **tables):
@@ -35,3 +37,24 @@ def test_lines_of_a_manifest_lie_by_their_order(spark, tmp_path):
     """Documents that do not lie by doc_id: the first line of a path is that of the smallest."""
     rows = spark.range(600).select(F.col("id").alias("doc_id")).repartitionByRange(6, F.xxhash64("doc_id")).sortWithinPartitions(F.desc("doc_id"))
     same_as_sql(spark, tmp_path, "manifest_job", documents=rows)
+
+
+def test_queries_of_many_cells_are_shuffled(spark, tmp_path, monkeypatch):
+    """By the size of its file, a table of vectors that stand under many cells is small; Spark must not broadcast it."""
+    built, asked = index.build(vectors(spark, 300), str(tmp_path / "i"), cells=6), vectors(spark, 40, "query_id", 2)
+    monkeypatch.setattr(tiles, "BROADCAST_BYTES", 0)
+    plan = index.search(built, asked, 4, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_a_task_holds_few_scores_at_once(spark):
+    rows, asked = vectors(spark, 1200).coalesce(1), vectors(spark, 1200, "query_id", 2)
+    each = lambda names, ids, score: pd.DataFrame({"query_id": names, "n": score.size})
+    got = search._by_blocks(rows, asked, "ip", True, search.BLOCK, each, "query_id, n long").agg(F.max("n"), F.countDistinct("query_id")).first()
+    assert tuple(got) == (tiles.AT_ONCE // 1200 * 1200, 1200)
+
+
+def test_a_probed_query_stands_once(spark):
+    asked = vectors(spark, 50, "query_id", 2)
+    near = search.with_cells(asked, [r["vec"] for r in asked.limit(20).collect()], 20)
+    assert near.count() == 50 and {tuple(sorted(r["cells"])) for r in near.collect()} == {tuple(range(20))}
