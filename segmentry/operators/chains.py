@@ -89,17 +89,19 @@ def align(segments: DataFrame, events: DataFrame, k: int | None = 3, found_thres
 
     def of_slice(row: pd.Series) -> Iterator[pd.DataFrame]:
         frames, ids = np.asarray(row["frames"]), np.asarray(row["query_ids"])
-        score = np.round(tiles.matrix(row["event_vecs"], len(ids)) @ tiles.matrix(row["vecs"], len(frames)).T * UNIT).astype(np.int64)
+        vecs, asks = tiles.matrix(row["vecs"], len(frames)), tiles.matrix(row["event_vecs"], len(ids))
         first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-        sizes, out = np.diff(np.append(first, len(ids))), []
+        sizes = np.diff(np.append(first, len(ids)))
         for size in np.unique(sizes):
-            own = first[sizes == size]
-            of_events = score[own[:, None] + np.arange(size)]
-            for a, b, totals, places in slice_chains(frames, of_events):
-                for q in np.flatnonzero(totals > _NONE // 2):
-                    at = places[q]
-                    out.append((row["video_id"], row["part"], row["slice"], ids[own[q]], int(size), a, b, totals[q], frames[at], of_events[q, np.arange(a, b + 1), at]))
-        yield pd.DataFrame(out, columns=fields)
+            alike = first[sizes == size]
+            for some in tiles.steps(len(alike), size * len(frames)):
+                own, out = alike[some], []
+                of_events = np.round(asks[(own[:, None] + np.arange(size)).ravel()] @ vecs.T * UNIT).astype(np.int64).reshape(len(own), size, -1)
+                for a, b, totals, places in slice_chains(frames, of_events):
+                    for q in np.flatnonzero(totals > _NONE // 2):
+                        at = places[q]
+                        out.append((row["video_id"], row["part"], row["slice"], ids[own[q]], int(size), a, b, totals[q], frames[at], of_events[q, np.arange(a, b + 1), at]))
+                yield pd.DataFrame(out, columns=fields)
 
     def of_video(own: pd.DataFrame) -> pd.DataFrame:
         out = []
