@@ -8,6 +8,8 @@ then quadratic, in tiles that are dealt over all tasks; ``tiles`` tiles a batch
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -55,18 +57,24 @@ def infonce(pairs: DataFrame, scale: float, batch: str | None = None, rows: int
     kind = pairs.schema["id"].dataType.simpleString()
     of = left.schema["batch"].dataType.simpleString()
 
-    def both_ways(row: pd.Series) -> pd.DataFrame:
+    def both_ways(row: pd.Series) -> Iterator[pd.DataFrame]:
         a, b = np.asarray(row["a_ids"]), np.asarray(row["b_ids"])
-        z = _unit(row["a"], len(a)) @ _unit(row["b"], len(b)).T
-        z = scale * (z if digits is None else np.round(z, digits))
+        x, y = _unit(row["a"], len(a)), _unit(row["b"], len(b))
         own = np.full((2, max(len(a), len(b))), np.nan)
-        _, i, j = np.intersect1d(a, b, return_indices=True)
-        own[0, i] = own[1, j] = z[i, j]
-        out = []
-        for side, ids, m in ((0, a, z), (1, b, z.T)):
-            top = m.max(axis=1)
-            out.append(pd.DataFrame({"batch": row["batch"], "side": side, "id": ids, "top": top, "mass": np.exp(m - top[:, None]).sum(axis=1), "own": own[side, : len(ids)]}))
-        yield pd.concat(out)
+        at, place = np.full(len(a), -1), np.intersect1d(a, b, return_indices=True)[1:]
+        at[place[0]] = place[1]
+        tops, masses = np.full(len(b), -np.inf), np.zeros(len(b))
+        for some in tiles.steps(len(a), len(b)):
+            z = x[some] @ y.T
+            z = scale * (z if digits is None else np.round(z, digits))
+            i = np.flatnonzero(at[some] >= 0)
+            j = at[some][i]
+            own[0, i + some.start] = own[1, j] = z[i, j]
+            top = z.max(axis=1)
+            yield pd.DataFrame({"batch": row["batch"], "side": 0, "id": a[some], "top": top, "mass": np.exp(z - top[:, None]).sum(axis=1), "own": own[0, : len(a)][some]})
+            top = np.maximum(tops, z.max(axis=0))
+            tops, masses = top, masses * np.exp(tops - top) + np.exp(z - top).sum(axis=0)
+        yield pd.DataFrame({"batch": row["batch"], "side": 1, "id": b, "top": tops, "mass": masses, "own": own[1, : len(b)]})
 
     found = tiles.each_pair(_grid(left, right, parts), both_ways, f"batch {of}, side int, id {kind}, top double, mass double, own double")
     each = found.groupBy("batch", "side", "id").agg(F.collect_list(F.struct("top", "mass")).alias("parts"), F.max(F.nanvl("own", F.lit(None))).alias("own"))  # a part a tile
@@ -83,12 +91,22 @@ def uniformity(pairs: DataFrame, sides=("x", "y"), batch: str | None = None, row
     batch, on unit vectors; 0 where no batch has two rows."""
     own, parts, _ = _sides(pairs, batch, list(sides), rows)
 
-    def total(row: pd.Series) -> pd.DataFrame:
+    def total(row: pd.Series) -> Iterator[pd.DataFrame]:
         a, b = _unit(row["a"], len(row["a_ids"])), _unit(row["b"], len(row["b_ids"]))
-        dot = a @ b.T
-        e = np.exp(-2 * (2 - 2 * (dot if digits is None else np.round(dot, digits))))
-        e = e[np.triu_indices(len(a), 1)] if row["a_tile"] == row["b_tile"] else e
-        yield pd.DataFrame({"n": [e.size], "e": [e.sum()]})
+        n, e = 0, 0.0
+        for own in tiles.steps(len(a), len(b)):
+            x = a[own] @ b.T
+            if digits is not None:
+                x *= 10.0**digits
+                np.rint(x, out=x)
+                x *= 10.0**-digits
+            x *= 4  # -2 d^2 is 4 x - 4
+            x -= 4
+            np.exp(x, out=x)
+            if row["a_tile"] == row["b_tile"]:
+                x = x[np.arange(len(b))[None] > np.arange(len(a))[own, None]]
+            n, e = n + x.size, e + x.sum()
+        yield pd.DataFrame({"n": [n], "e": [e]})
 
     def one(side: DataFrame, name: str) -> DataFrame:
         found = tiles.each_pair(_grid(side, side, parts).where("a_tile <= b_tile"), total, "n long, e double")
