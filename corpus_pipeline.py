@@ -30,7 +30,8 @@ def exact_dedup(spark, docs, sf_dir):
 
 
 def near_dedup(spark, docs, sf_dir):
-    """One document of each group of near copies (five-word Jaccard of 0.8 or more) stays (the smallest doc_id)."""
+    """One document of each group of near copies (five-word Jaccard of 0.8 or more) stays (the smallest doc_id); pairs come from
+    SimHash fingerprints within two bits, those beyond from MinHash bands, and each is verified."""
     return drop_similar(docs, scan_only=True)
 
 

@@ -22,7 +22,7 @@ table gives an empty result. Long texts are hashed in pieces, all of their shing
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import partial
 
 import numpy as np
@@ -67,14 +67,19 @@ def shingle_hashes(text: bytes, shingle: int) -> Iterator[np.ndarray]:
         yield np.array([hashed(b" ".join(carry))], np.uint64)
 
 
-def simhash(text: bytes, shingle: int = SHINGLE) -> int:
+def majority(hashes: Iterable[np.ndarray]) -> int:
+    """The fingerprint of hashes that come in parts: a bit is 1 if set in over half of them."""
     ones, n = np.zeros(BITS, np.int64), 0
-    for h in shingle_hashes(text, shingle):
+    for h in hashes:
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         n += len(h)
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
+def simhash(text: bytes, shingle: int = SHINGLE) -> int:
+    return majority(shingle_hashes(text, shingle))
+
+
 @F.arrow_udf(LongType())
 def _simhash(texts: pa.Array) -> pa.Array:
     prints = [simhash(t.as_buffer().to_pybytes()) if t.is_valid and t.as_py() else 0 for t in texts.cast(pa.binary())]

@@ -1,8 +1,11 @@
-"""Near copies by shingle similarity: MinHash candidates, each verified by the exact Jaccard index.
+"""Near copies by shingle similarity: SimHash and MinHash candidates, each verified by the exact Jaccard index.
 
 Two texts are near copies if their sets of shingles (five words each, as XXH64 of seed 42) have a Jaccard index of 0.8 or
-more. Rows of one set are one class. A class has a MinHash signature, cut into bands; two classes that share a band meet
-in its bucket. With 24 bands of 5, a pair of index 0.8 shares no bucket with a probability of 0.00007.
+more. Rows of one set are one class. A class has a SimHash fingerprint of its shingles, and the vantage-point tree of
+``near_dedup`` finds all fingerprints within two bits; a fingerprint's bucket holds its classes and those of its links.
+At an index of 0.8 texts differ in about 10 bits, where no tree prunes. For pairs beyond the two bits a class has a MinHash
+signature too, cut into bands, each of them a bucket. Classes that share a bucket of either kind meet in it. With 24 bands of
+5, a pair of index 0.8 shares no band with a probability of 0.00007.
 
 What two sets can share is bounded without looking at them: a shingle that no other candidate has (a lone one) is in no
 common part, so with n and m shingles, u and v of them lone, the common part is at most k = min(n - u, m - v) and the index
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from segmentry.llm.common import stored, with_row_key
-from segmentry.llm.near_dedup import components, keep_first, placed_rows, shingle_hashes
+from segmentry.llm.near_dedup import RADIUS, components, keep_first, links, majority, placed_rows, shingle_hashes
 
 SHINGLE, LEAST = 5, 0.8
 BANDS, BAND_ROWS = 24, 5
@@ -47,14 +50,15 @@ def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
 
 
 def signature(shingles: np.ndarray) -> list[int]:
-    """A print of the set, its size, and a hash of each band; no bands for the empty set."""
+    """A print of the set, its size, its SimHash fingerprint, and a hash of each band; no bands for the empty set."""
     if not len(shingles):
-        return [0, 0]
+        return [0, 0, 0]
     low = np.full(len(_FACTORS), 2**64 - 1, np.uint64)
-    for at in range(0, len(shingles), CHUNK):
-        low = np.minimum(low, (shingles[at : at + CHUNK, None] * _FACTORS + _TERMS).min(axis=0))
+    chunks = [shingles[at : at + CHUNK] for at in range(0, len(shingles), CHUNK)]
+    for chunk in chunks:
+        low = np.minimum(low, (chunk[:, None] * _FACTORS + _TERMS).min(axis=0))
     bands = [xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(low.reshape(BANDS, BAND_ROWS))]
-    signed = np.array([xxhash.xxh64_intdigest(shingles.tobytes(), 42), *bands], np.uint64).view(np.int64).tolist()
+    signed = np.array([xxhash.xxh64_intdigest(shingles.tobytes(), 42), majority(chunks), *bands], np.uint64).view(np.int64).tolist()
     return [signed[0], len(shingles), *signed[1:]]
 
 
@@ -119,16 +123,27 @@ def _lone(sets: DataFrame) -> DataFrame:
     return seen.where("n = 1").groupBy("p").agg(F.count(F.lit(1)).alias("u"))
 
 
-def similar_groups(keyed: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
+def _near_prints(one: DataFrame, radius: int) -> DataFrame:
+    """(p, n, bucket) of the classes ``one`` (print, n, fingerprint): a fingerprint's bucket holds its own classes and those of
+    the fingerprints within ``radius`` bits that ``links`` gives it; every two that are linked share one."""
+    one = stored(one.where("n > 0").select("print", "n", "fingerprint"), "fingerprints")
+    found = links(stored(one.select(F.col("fingerprint").alias("print")).distinct(), "distinct-fingerprints"), radius)
+    near = stored(found.select(F.col("a").alias("bucket"), F.col("b").alias("fingerprint")), "print-links")
+    own = one.select(F.col("print").alias("p"), "n", F.col("fingerprint").alias("bucket"))
+    return own.unionByName(one.join(near, "fingerprint").select(F.col("print").alias("p"), "n", "bucket"))
+
+
+def similar_groups(keyed: DataFrame, shingle: int = SHINGLE, least: float = LEAST, radius: int = RADIUS) -> DataFrame:
     """doc_id, key, print, component_id, label for each row of ``with_row_key``."""
     sign, given = _udfs(shingle)
     rows = keyed.select("key_file", "key_row", F.col("row.doc_id").alias("doc_id"), sign(F.col("row.text")).alias("s"))
-    rows = stored(rows.select("*", F.col("s")[0].alias("print"), F.col("s")[1].alias("n"), F.slice("s", 3, BANDS).alias("bands")).drop("s"), "signatures")
+    rows = stored(rows.select("*", F.col("s")[0].alias("print"), F.col("s")[1].alias("n"), F.col("s")[2].alias("fingerprint"), F.slice("s", 4, BANDS).alias("bands")).drop("s"), "signatures")
     known = rows.select("doc_id", "key_file", "key_row", "print")
     key = F.struct("key_file", "key_row")
     classes = stored(known.groupBy("print").agg(F.min("doc_id").alias("first_id"), F.min(key).alias("key")), "classes")
     one = rows.join(classes.select("key.*"), ["key_file", "key_row"], "left_semi")
-    placed = stored(one.select(F.col("print").alias("p"), "n", F.explode("bands").alias("bucket")), "buckets")
+    banded = one.select(F.col("print").alias("p"), "n", F.explode("bands").alias("bucket"))
+    placed = stored(_near_prints(one, radius).unionByName(banded), "buckets")
 
     met = stored(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket"), "met")
     placed = stored(placed.join(met, "bucket"), "shared")
@@ -172,7 +187,7 @@ def similar_groups(keyed: DataFrame, shingle: int = SHINGLE, least: float = LEAS
     return placed_rows(known, classes, components(linked.unionByName(more)))
 
 
-def drop_similar(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, scan_only: bool = False) -> DataFrame:
+def drop_similar(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, radius: int = RADIUS, scan_only: bool = False) -> DataFrame:
     """One row of each component of near copies stays: the one with the smallest doc_id, then the smallest row key."""
     keyed = with_row_key(docs, scan_only)
-    return keep_first(keyed, stored(similar_groups(keyed, shingle, least), "similar-groups"))
+    return keep_first(keyed, stored(similar_groups(keyed, shingle, least, radius), "similar-groups"))

@@ -7,6 +7,7 @@ from itertools import combinations
 import pytest
 
 from segmentry.llm import similar_dedup
+from segmentry.llm.near_dedup import majority
 
 
 def shingles(text):
@@ -60,3 +61,32 @@ def test_stage_on_odd_rows(spark, docs):
     kept = similar_dedup.drop_similar(docs)
     want = Counter(frozenset(shingles(r["text"])) for r in rows)
     assert kept.columns == docs.columns and kept.count() == len(want)
+
+
+def test_fingerprints_alone_find_near_copies(spark, make, monkeypatch):
+    """Without bands the stage has SimHash: what is within two bits and of index 0.8 goes, and nothing else."""
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    texts = []
+    for _ in range(30):
+        text = [word() for _ in range(400)]
+        texts += [" ".join(text), " ".join([*text, word()]), " ".join([*text[:200], *(word() for _ in range(200))])]
+    rows = list(enumerate(texts))
+    prints = {i: majority([similar_dedup.shingle_set(t.encode())]) for i, t in rows}
+    near = {j for i, j in combinations(prints, 2) if bin(prints[i] ^ prints[j]).count("1") <= 2 and len(shingles(texts[i]) & shingles(texts[j])) >= 0.8 * len(shingles(texts[i]) | shingles(texts[j]))}
+    assert 20 < len(near) <= 30
+    monkeypatch.setattr(similar_dedup, "BANDS", 0)
+    kept = corpus_pipeline.near_dedup(spark, make([(i, t, "en", "a") for i, t in rows]), None)
+    assert {r["doc_id"] for r in kept.collect()} == set(prints) - near
+
+
+def test_linked_fingerprints_share_a_bucket(spark):
+    """Different sets of one fingerprint, and of fingerprints within two bits, in one bucket; the empty set in none."""
+    one = spark.createDataFrame([(1, 9, 0), (2, 9, 0), (3, 9, 0b11), (4, 9, 0b111), (5, 9, -1), (0, 0, 0)], "print long, n int, fingerprint long")
+    buckets = {}
+    for r in similar_dedup._near_prints(one, 2).collect():
+        buckets.setdefault(r["bucket"], set()).add(r["p"])
+    met = {pair for b in buckets.values() for pair in combinations(sorted(b), 2)}
+    assert {(1, 2), (1, 3), (2, 3), (3, 4)} <= met and not any(5 in pair or 0 in pair for pair in met)
