@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from segmentry.llm.common import read
+from segmentry.llm.common import in_small_batches, read
 
 #: The table of known words is emptied beyond so many words, or characters in them.
 PIECE_CHARS, KNOWN_WORDS, KNOWN_CHARS = 1 << 18, 150_000, 1 << 24
@@ -252,7 +252,7 @@ def round_trip(text: Column | str, path: str | None = None) -> Column:
 
 
 def round_trips(docs: DataFrame, path: str | None = None) -> DataFrame:
-    return docs.select("doc_id", round_trip("text", path).alias("t")).select("doc_id", "t.*")
+    return in_small_batches(docs).select("doc_id", round_trip("text", path).alias("t")).select("doc_id", "t.*")
 
 
 def op8_bpe_round_trip(spark, sf_dir):

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from segmentry.llm.common import crc_mod, read, stored, text_or_empty
+from segmentry.llm.common import crc_mod, in_small_batches, read, stored, text_or_empty
 
 MAX_DOCS, LANGS_AT_ONCE, ROUNDS, SMOOTH = 5000, 200, 3, 0.02
 #: Longer words are scored one by one, and learned from in parts; the table of known words is emptied beyond so many.
@@ -289,6 +289,7 @@ def predicted(rows: DataFrame, text: str, blocks: list[Block], path: str | None
     shared folder between them, so a task holds one block."""
     if not blocks:
         return rows.withColumn("l", F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score")))
+    rows = in_small_batches(rows)
     for i, (langs, p) in enumerate(blocks):
         found = likelihoods(F.col(text), langs, p, path)
         if i:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from segmentry.llm.common import read, stored, with_row_key
+from segmentry.llm.common import in_small_batches, read, stored, with_row_key
 
 SHINGLE, RADIUS, BITS = 3, 2, 64
 #: A node of more classes is split, while bits are left (eight levels of eight bits).
@@ -88,7 +88,7 @@ def _simhash(texts: pa.Array) -> pa.Array:
 
 def fingerprints(keyed: DataFrame) -> DataFrame:
     """(doc_id, key_file, key_row, print: the 64 bits as a signed long) for rows of ``with_row_key``."""
-    keyed = keyed.select("key_file", "key_row", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"))
+    keyed = in_small_batches(keyed).select("key_file", "key_row", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"))
     return keyed.select("doc_id", "key_file", "key_row", _simhash("text").alias("print"))
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from segmentry.llm.common import stored, with_row_key
+from segmentry.llm.common import in_small_batches, stored, with_row_key
 from segmentry.llm.near_dedup import RADIUS, components, keep_first, links, majority, placed_rows, shingle_hashes
 
 SHINGLE, LEAST = 5, 0.8
@@ -136,7 +136,7 @@ def _near_prints(one: DataFrame, radius: int) -> DataFrame:
 def similar_groups(keyed: DataFrame, shingle: int = SHINGLE, least: float = LEAST, radius: int = RADIUS) -> DataFrame:
     """doc_id, key, print, component_id, label for each row of ``with_row_key``."""
     sign, given = _udfs(shingle)
-    rows = keyed.select("key_file", "key_row", F.col("row.doc_id").alias("doc_id"), sign(F.col("row.text")).alias("s"))
+    rows = in_small_batches(keyed).select("key_file", "key_row", F.col("row.doc_id").alias("doc_id"), sign(F.col("row.text")).alias("s"))
     rows = stored(rows.select("*", F.col("s")[0].alias("print"), F.col("s")[1].alias("n"), F.col("s")[2].alias("fingerprint"), F.slice("s", 4, BANDS).alias("bands")).drop("s"), "signatures")
     known = rows.select("doc_id", "key_file", "key_row", "print")
     key = F.struct("key_file", "key_row")
