@@ -28,6 +28,12 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     return F.try_divide(inner_product(a, b), norm(a) * norm(b))
 
 
+def rounded(c: Column | str, digits: int) -> Column:
+    """As ``std::round`` and DuckDB: the double ``c * 10^digits`` to the next whole number, halves away from zero. Spark's round takes the
+    decimal that a double is printed as, which for some halves gives the other neighbour."""
+    return F.round(_col(c) * 10.0**digits) / 10.0**digits
+
+
 def l2_normalize(a: Column | str) -> Column:
     """Unit length; a zero vector stays zero."""
     size = F.transform(F.array(norm(a)), lambda n: F.transform(_col(a), lambda x: F.when(n == 0, F.lit(0.0)).otherwise(x.cast("double") / n)))

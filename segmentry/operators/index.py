@@ -23,9 +23,10 @@ class Index:
     centroids: list = field(repr=False)
     spread: float = 0.0
 
-    def rows(self, spark: SparkSession) -> DataFrame:
-        """(id, vec, batch, cell_id)"""
-        return spark.read.schema("id long, vec array<double>, batch int, cell_id int").parquet(f"{self.path}/rows")
+    def rows(self, spark: SparkSession, unit: bool = True) -> DataFrame:
+        """(id, vec, batch, cell_id): vectors of unit length, or as they were given, which is how they are stored."""
+        given = spark.read.schema("id long, vec array<double>, batch int, cell_id int").parquet(f"{self.path}/rows")
+        return given.withColumn("vec", l2_normalize("vec")) if unit else given
 
 
 def build(rows: DataFrame, path: str, cells: int | None = None, k: int = 5, least: float = 0.9, measure: bool = True) -> Index:
@@ -41,7 +42,7 @@ def build(rows: DataFrame, path: str, cells: int | None = None, k: int = 5, leas
     cells = min(cells or max(int(n**0.5), 1), MOST_CELLS, n)
     index = Index(path, dim, 0, *find.train_cells(rows.withColumn("vec", l2_normalize("vec")), cells))
     add(index, rows, 0)
-    index.nprobe = find.probes(index.rows(spark), index.centroids, k, least) if measure else len(index.centroids)
+    index.nprobe = find.probes(index.rows(spark, unit=False), index.centroids, k, least) if measure else len(index.centroids)
     spark.createDataFrame(list(enumerate(index.centroids)), "cell_id int, center array<double>").coalesce(1).write.parquet(f"{path}/cells")
     spark.createDataFrame([(dim, index.nprobe, index.spread)], "dim int, nprobe int, spread double").coalesce(1).write.parquet(f"{path}/params")
     return index
@@ -58,8 +59,8 @@ def add(index: Index, rows: DataFrame, batch: int) -> None:
     A vector of another size is an error."""
     size = F.size("vec")
     fits = F.when(size == index.dim, F.col("vec")).otherwise(F.raise_error(F.concat(F.lit("size of a vector: "), size.cast("string"))).cast(rows.schema["vec"].dataType))
-    unit = rows.select(F.col("id").cast("long").alias("id"), fits.alias("vec")).withColumn("vec", l2_normalize("vec"))
-    placed = find.nearest_cells(unit, index.centroids, 1)
+    given = rows.select(F.col("id").cast("long").alias("id"), fits.cast("array<double>").alias("vec"))
+    placed = find.nearest_cells(given, index.centroids, 1, unit=True)
     # by ranges, so a large cell is spread over tasks and a task writes few files
     placed.repartitionByRange("cell_id", "id").sortWithinPartitions("cell_id").write.partitionBy("cell_id").mode("overwrite").parquet(f"{index.path}/rows/batch={batch}")
 
@@ -75,9 +76,10 @@ def trained_again(index: Index, spark: SparkSession, path: str, most: float = 1.
     batches = [r["batch"] for r in index.rows(spark).select("batch").distinct().collect()]
     if all((drift(index, spark, b) or 0) <= most for b in batches if b):
         return index
-    return build(index.rows(spark).select("id", "vec"), path, **how)
+    return build(index.rows(spark, unit=False).select("id", "vec"), path, **how)
 
 
-def search(index: Index, queries: DataFrame, k: int = 5, nprobe: int | None = None) -> DataFrame:
-    """(query_id, id, score, rank): the ``k`` best in the ``nprobe`` nearest cells of each query (query_id, vec)."""
-    return find.knn_ivf(index.rows(queries.sparkSession), queries, index.centroids, k, nprobe or index.nprobe)
+def search(index: Index, queries: DataFrame, k: int = 5, nprobe: int | None = None, normalize: bool = True) -> DataFrame:
+    """(query_id, id, score, rank): the ``k`` best in the ``nprobe`` nearest cells of each query (query_id, vec), by cosine, or
+    without ``normalize`` by the inner product of the vectors as they were given."""
+    return find.knn_ivf(index.rows(queries.sparkSession, unit=False), queries, index.centroids, k, nprobe or index.nprobe, normalize=normalize)
