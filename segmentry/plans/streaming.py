@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from segmentry.functions.vectors import rounded
 from segmentry.operators import index, search
 from segmentry.plans.registry import query, table
 from segmentry.plans.retrieval import IP, asked, corpus
@@ -24,8 +25,8 @@ def stream_ingest(spark, d):
     built = index.build(rows.where("id % 5 <> 0"), shared_folder(spark, "index"), measure=False)
     arriving = jobs.source(rows.where("id % 5 = 0"), "arrivals")
     jobs.run_batches(arriving, lambda batch, n: index.add(built, batch, n + 1), "ingest")
-    found = index.search(built, asked(spark, d), 5, len(built.centroids))
-    return found.select("query_id", "id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
+    found = index.search(built, asked(spark, d), 5, len(built.centroids), normalize=False)
+    return found.select("query_id", "id", rounded("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("stream_dedup", "select source, 1::bigint as kept from documents group by source")

@@ -73,7 +73,7 @@ def of_any_length(spark):
     return spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").repartition(3)
 
 
-@pytest.mark.parametrize("name", ["index_incremental", "index_roundtrip"])
+@pytest.mark.parametrize("name", ["index_incremental", "index_roundtrip", "stream_ingest"])
 def test_index_answers_by_vectors_as_given(spark, tmp_path, name):
     """Unit vectors of floats are not quite of unit length; the stored ones were, so scores differed from SQL in the last digit."""
     same_as_sql(spark, tmp_path, name, embeddings=of_any_length(spark))
