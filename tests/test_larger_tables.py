@@ -85,3 +85,20 @@ def test_rounded_like_duckdb(spark):
     got = {r["x"]: r["y"] for r in at.select("x", rounded("x", 4).alias("y")).collect()}
     halves = duckdb.connect().sql("select x, round(x, 4) from (select i / 1e6::double as x from range(-1000000, 1000000) t(i) where i % 100 in (50, -50)) t").fetchall()
     assert all(got[x] == y for x, y in halves if x in got) and len(got) == 10000
+
+
+@pytest.mark.parametrize("most", [tiles.BROADCAST_BYTES, 0])
+@pytest.mark.parametrize("name, rows", [("paired_recall", 149)])
+def test_every_row_asks(spark, tmp_path, monkeypatch, name, rows, most):
+    """Not only every twentieth."""
+    monkeypatch.setattr(tiles, "BROADCAST_BYTES", most)
+    same_as_sql(spark, tmp_path, name, embeddings=of_any_length(spark))
+    got = registry.QUERIES[name](spark, str(tmp_path))
+    assert (got.first()["n"] if "n" in got.columns else got.count()) == rows
+
+
+def test_places_of_repeated_and_null_pairs(spark):
+    rows = [(1, [1.0], [2.0]), (1, [3.0], [1.0]), (2, [1.0], [2.0]), (3, [1.0], [2.0]), (4, None, [9.0]), (5, [1.0], None)]
+    got = search.own_places(spark.createDataFrame(rows, "id long, x array<double>, y array<double>"))
+    # 1: its best product is 6; of those with 1.0 nothing, of those with 3.0 one (27) is greater. 2, 3: after 9, and after equal ones
+    assert {r["id"]: r["place"] for r in got.collect()} == {1: 1 + 1 + 1, 2: 1 + 1 + 1, 3: 1 + 1 + 2, 4: 1, 5: 1}
