@@ -88,7 +88,7 @@ def test_rounded_like_duckdb(spark):
 
 
 @pytest.mark.parametrize("most", [tiles.BROADCAST_BYTES, 0])
-@pytest.mark.parametrize("name, rows", [("paired_recall", 149)])
+@pytest.mark.parametrize("name, rows", [("paired_recall", 149), ("pairwise_similarity", 150 * 150)])
 def test_every_row_asks(spark, tmp_path, monkeypatch, name, rows, most):
     """Not only every twentieth."""
     monkeypatch.setattr(tiles, "BROADCAST_BYTES", most)
